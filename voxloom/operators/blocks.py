@@ -199,37 +199,34 @@ def islands(
         return p.isNull() | F.coalesce(start(p, c, n), F.lit(False))
 
     rn, n = F.col("_rn"), F.col("_n")
+    no_prev, no_next = F.col("_prev").isNull(), F.col("_next").isNull()
     base = _blocked(df, keys, block)
-    local = (
-        base.withColumns(
-            {
-                "_cur": cur,
-                "_rn": F.row_number().over(w),
-                "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys, BLK)),
-            }
-        )
-        .withColumns({"_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)})
+    local = base.withColumn("_cur", cur).withColumns(
+        {"_rn": F.row_number().over(w), "_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)}
     )
-    inner = (rn > 1) & (rn < n)
-    summary = local.groupBy(*keys, BLK).agg(
-        F.max("_n").alias("_n"),
-        F.max_by("_cur", F.when(rn == 1, 1)).alias("_e1"),
-        F.max_by("_cur", F.when(rn == 2, 1)).alias("_e2"),
-        F.max_by("_cur", F.when(rn == n - 1, 1)).alias("_e3"),
-        F.max_by("_cur", F.when(rn == n, 1)).alias("_e4"),
-        F.max(F.when(inner & opens(F.col("_prev"), F.col("_cur"), F.col("_next")), rn)).alias("_in"),
-        _pin(base),
+    # Only a block's edge rows and the rows that surely open an island reach the summary.
+    inner = ~no_prev & ~no_next & opens(F.col("_prev"), F.col("_cur"), F.col("_next"))
+    summary = (
+        local.where(no_prev | no_next | inner)
+        .groupBy(*keys, BLK)
+        .agg(
+            F.max("_rn").alias("_n"),
+            F.max_by(F.struct("_cur", "_next"), F.when(no_prev, 1)).alias("_first"),
+            F.max_by(F.struct("_prev", "_cur"), F.when(no_next, 1)).alias("_last"),
+            F.max(F.when(inner, rn)).alias("_in"),
+            _pin(base),
+        )
     )
     wk = Window.partitionBy(*keys).orderBy(BLK)
     edges = summary.withColumns(
         {
             "_before": F.coalesce(F.sum("_n").over(wk.rowsBetween(*BEFORE)), F.lit(0)),
-            "_pl": F.lag("_e4").over(wk),
-            "_nf": F.lead("_e1").over(wk),
+            "_pl": F.lag("_last._cur").over(wk),
+            "_nf": F.lead("_first._cur").over(wk),
         }
     )
-    first_opens = opens(F.col("_pl"), F.col("_e1"), F.when(n > 1, F.col("_e2")).otherwise(F.col("_nf")))
-    last_opens = (n > 1) & opens(F.col("_e3"), F.col("_e4"), F.col("_nf"))
+    first_opens = opens(F.col("_pl"), F.col("_first._cur"), F.coalesce("_first._next", "_nf"))
+    last_opens = (n > 1) & opens(F.col("_last._prev"), F.col("_last._cur"), F.col("_nf"))
     edges = edges.withColumn(
         "_open",
         F.col("_before") + F.coalesce(F.when(last_opens, n), F.col("_in"), F.when(first_opens, F.lit(1))) - 1,
@@ -246,8 +243,8 @@ def islands(
     out = _rejoin(local, carry, keys).withColumns(
         {
             "idx": F.col("_before") + rn - 1,
-            "prev": F.when(rn == 1, F.col("_pl")).otherwise(F.col("_prev")),
-            "next": F.when(rn == n, F.col("_nf")).otherwise(F.col("_next")),
+            "prev": F.coalesce("_prev", "_pl"),
+            "next": F.coalesce("_next", "_nf"),
         }
     )
     opened = F.when(opens(F.col("prev"), F.col("_cur"), F.col("next")), F.col("idx"))
@@ -312,7 +309,7 @@ def nest_pages(
     numbered = row_numbers(df.withColumn("_item", item), keys, order, block, "_no")
     page = F.floor((F.col("_no") - 1) / page_rows).cast("long")
     nested = numbered.groupBy(*keys, page.alias("page_no")).agg(
-        F.array_sort(F.collect_list(F.struct("_no", "_item"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct("_no", "_item"))).alias("_l")
     )
     return nested.select(*keys, "page_no", F.transform("_l", lambda x: x["_item"]).alias(name))
 

@@ -68,9 +68,11 @@ def attribute_words(
         # The same partitioning serves the ordered operators that follow.
         .repartition("recording_id", blocks.BLK)
     )
-    keys = [*words.columns, blocks.BLK]
+    keys = ["recording_id", blocks.BLK, "pos"]
     out = hits.groupBy(*keys).agg(
-        F.min("_mid")["speaker_id"].alias("at_midpoint"), F.max("_ovl")["speaker_id"].alias("by_overlap")
+        *[F.first(c).alias(c) for c in words.columns if c not in keys],
+        F.min("_mid")["speaker_id"].alias("at_midpoint"),
+        F.max("_ovl")["speaker_id"].alias("by_overlap"),
     )
     return out.withColumn(
         "speaker_id", F.coalesce("at_midpoint", "by_overlap", F.lit(UNKNOWN_SPEAKER))

@@ -9,6 +9,7 @@ from voxloom.functions.text import strip
 from voxloom.operators import blocks
 from voxloom.operators.intervals import attribute_words
 from voxloom.params import BLOCK_ROWS, DEFAULTS, UNKNOWN_SPEAKER
+from voxloom.session import cut
 
 REC = ["recording_id"]
 
@@ -56,15 +57,16 @@ def sessionise(
 
 def build_utterances(words: DataFrame) -> DataFrame:
     """One row per ``utt_key``: start of the first word, end of the last, joined text."""
-    token = strip(F.col("word"))
-    rows = words.withColumn("_tok", F.when(token != "", F.struct("pos", token.alias("t"))))
+    rows = words.withColumn("_t", strip(F.col("word")))
+    rows = rows.withColumn("_tok", F.when(F.col("_t") != "", F.struct("pos", F.col("_t").alias("t"))))
     out = rows.groupBy("recording_id", "utt_key").agg(
+        F.count("_tok").alias("_n"),
         F.min_by("speaker_id", "pos").alias("speaker_id"),
         F.min_by("start_time", "pos").alias("start_time"),
         F.max_by("end_time", "pos").alias("end_time"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("_tok")), lambda x: x["t"]), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("_tok")), lambda x: x["t"]), " ").alias("text"),
     )
-    return out.where(F.col("text") != "")
+    return out.where("_n > 0").drop("_n")
 
 
 def normalise_speakers(utterances: DataFrame, order: str = "utt_key", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -104,8 +106,9 @@ def fuse(
     """Words and speaker segments to utterances: (recording_id, utt_key, speaker_id, start_time, end_time, text)."""
     cols = ["recording_id", "pos", "word", "start_time", "end_time"]
     spoken = attribute_words(words.select(*cols), segments, block_rows=block_rows).select(*cols, "speaker_id")
-    smooth = smooth_speakers(spoken, block_rows)
-    built = build_utterances(sessionise(smooth, max_silence, block_rows))
+    # Written tables are restart points when executors are lost, and keep each plan short.
+    smooth = cut(smooth_speakers(spoken, block_rows), "smooth")
+    built = cut(build_utterances(sessionise(smooth, max_silence, block_rows)), "utterances")
     return normalise_speakers(built, block_rows=block_rows).select(
         "recording_id", "utt_key", "speaker_id", "start_time", "end_time", "text"
     )

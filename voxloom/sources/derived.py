@@ -2,21 +2,42 @@
 
 The sample data has no audio, so words, segments, jobs and signals are built
 from whole sample tables by fixed arithmetic. Times are integer milliseconds
-divided by 1000.
+divided by 1000. Tables that need a shuffle to build are written once per
+session to the shared folder, as they would exist in production, and then
+scanned like any other table.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators import blocks
+from voxloom.session import cut
 
 TURN_BLOCK = 4096
 SAMPLES_PER_RECORDING = 2000
 SAMPLE_RATE = 1000
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(build):
+    """Write the derived table on first use in a session, read it afterwards."""
+
+    @wraps(build)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _STAGED:
+            _STAGED[key] = cut(build(spark, sf_dir), build.__name__)
+        return _STAGED[key]
+
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +65,7 @@ def _ms(pos: Column, turn: Column) -> Column:
     return pos * 400 + turn * 500 + div(pos, 23) * 2000
 
 
+@staged
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """300 ms words every 400 ms, a longer pause per turn and every 23 words."""
     tok = _turns(spark, sf_dir).select("recording_id", "turn", "role", "off", F.posexplode("ws").alias("i", "word"))
@@ -61,6 +83,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One speaker segment per turn, late on odd turns and spilling over on every
     third; a one-word noise segment comes earlier in list order on even turns."""
@@ -84,6 +107,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("recording_id", F.inline(both))
 
 
+@staged
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech activity: one interval per 23 words, every fifth one missing."""
     return (
@@ -94,6 +118,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation; the duration is unknown for every fourth."""
     conv = table(spark, sf_dir, "conversations")
@@ -105,6 +130,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns decorated with greetings, a role trigger, questions and repeats; 60 ms per character."""
     conv = table(spark, sf_dir, "conversations")
@@ -209,6 +235,7 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delivery per order line, numbered within its job by ship date."""
     cols = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
@@ -227,6 +254,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def window_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     n = blocks.row_numbers(emb, ["label"], ["vec_id"], div(F.col("vec_id"), 4096), "no")
@@ -235,6 +263,7 @@ def window_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@staged
 def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
