@@ -140,69 +140,35 @@ def other_speaker(speaker: Column) -> Column:
     return F.when(speaker == FIRST_SPEAKER, SECOND_SPEAKER).otherwise(FIRST_SPEAKER)
 
 
-def _piece(speaker: Column, start: Column, end: Column, text: Column) -> Column:
-    return F.struct(
-        speaker.alias("speaker_id"), start.alias("start_time"), end.alias("end_time"), text.alias("text")
-    )
-
-
-def split_role_transition(
-    triggers: Sequence[str],
-    speaker: Column,
-    start: Column,
-    end: Column,
-    text: Column,
-    min_offset: int = DEFAULTS.trigger_min_offset,
-) -> Column:
-    """Array of one or two pieces: split before the first trigger (list order)
-    whose first occurrence lies at ``min_offset`` characters or later."""
-    whole = strip(text)
-    lowered = F.lower(whole)
+def trigger_place(lowered: Column, triggers: Sequence[str], min_offset: int = DEFAULTS.trigger_min_offset) -> Column:
+    """1-based place of the first trigger (list order) whose first occurrence
+    lies at ``min_offset`` characters or later; 0 if there is none."""
     places = [F.instr(lowered, t) for t in triggers]
-    at = F.coalesce(*[F.when(p > min_offset, p) for p in places], F.lit(0)) if places else F.lit(0)
-    head = strip(F.substring(whole, F.lit(1), at - 1))
-    tail = strip(F.substring(whole, at, F.length(whole)))
-    cut = exact_round(start + (end - start) * (F.length(head) / F.length(whole)))
-    both = F.array(_piece(speaker, start, cut, head), _piece(other_speaker(speaker), cut, end, tail))
-    return F.when((at > 0) & (head != "") & (tail != ""), both).otherwise(
-        F.array(_piece(speaker, start, end, text))
-    )
+    return F.coalesce(*[F.when(p > min_offset, p) for p in places], F.lit(0)) if places else F.lit(0)
 
 
-def split_questions(speaker: Column, start: Column, end: Column, text: Column) -> Column:
-    """Array of pieces cut after each run of question marks, speakers alternating.
-
-    A piece lasts its share of the characters; the rounded end of one piece is
-    the start of the next, and the last piece ends with the utterance.
-    """
-    whole = strip(text)
+def question_pieces(whole: Column) -> Column:
+    """Stripped text cut after each run of question marks; a run shrinks to one
+    mark, except that a run with nothing before it stands for itself."""
     runs = F.regexp_extract_all(whole, F.lit(r"([^?]*)(\?+|$)"), F.lit(0))
 
     def mark(s: Column) -> Column:
         body = strip(F.regexp_replace(s, r"\?+$", ""))
-        # A run with nothing before it stands for itself; elsewhere it shrinks to one mark.
         return F.when(body == "", strip(s)).otherwise(F.concat(body, F.when(s.endswith("?"), "?").otherwise("")))
 
-    segs = F.filter(F.transform(runs, mark), lambda s: s != "")
-    total, length = F.greatest(F.length(whole), F.lit(1)), end - start
+    return F.filter(F.transform(runs, mark), lambda s: s != "")
 
-    ends = F.aggregate(
-        segs,
+
+def piece_ends(lengths: Column, start: Column, length: Column, total: Column) -> Column:
+    """Start of the first piece, then each piece's rounded end; every end is the next one's start."""
+    return F.aggregate(
+        lengths,
         F.array(start),
-        lambda acc, s: F.concat(
-            acc, F.array(exact_round(F.element_at(acc, -1) + F.length(s) / total * length))
-        ),
-    )
-    last = F.size(segs) - 1
-    pieces = F.transform(
-        segs,
-        lambda s, i: _piece(
-            F.when(i % 2 == 0, speaker).otherwise(other_speaker(speaker)),
-            exact_round(F.get(ends, i)),
-            F.when(i == last, end).otherwise(F.get(ends, i + 1)),
-            s,
-        ),
+        lambda acc, n: F.concat(acc, F.array(exact_round(F.element_at(acc, -1) + n / total * length))),
     )
-    return F.when(whole.contains("?") & (F.size(segs) > 1), pieces).otherwise(
-        F.array(_piece(speaker, start, end, text))
+
+
+def piece(speaker: Column, start: Column, end: Column, text: Column) -> Column:
+    return F.struct(
+        speaker.alias("speaker_id"), start.alias("start_time"), end.alias("end_time"), text.alias("text")
     )

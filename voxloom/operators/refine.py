@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as T
+from voxloom.functions.numbers import exact_round
 from voxloom.operators import blocks
 from voxloom.params import BLOCK_ROWS, DEFAULTS, Params
 
@@ -20,21 +21,62 @@ def clean_text(utterances: DataFrame) -> DataFrame:
     return utterances.withColumn("text", T.normalise_turkish(T.clean_repetition(F.col("text"))))
 
 
-def _explode(utterances: DataFrame, pieces: Column, name: str) -> DataFrame:
-    keep = [c for c in utterances.columns if c not in CONTENT]
-    out = utterances.select(*keep, F.posexplode(pieces).alias(name, "_p"))
+def _explode(rows: DataFrame, columns: Sequence[str], pieces: Column, name: str) -> DataFrame:
+    keep = [c for c in columns if c not in CONTENT]
+    out = rows.select(*keep, F.posexplode(pieces).alias(name, "_p"))
     return out.select(*keep, F.col(name).cast("long").alias(name), "_p.*")
 
 
 def split_roles(utterances: DataFrame, triggers: Sequence[str], min_offset: int = DEFAULTS.trigger_min_offset) -> DataFrame:
-    """Adds ``part``: 0, or 0 and 1 where a trigger phrase marks a change of role."""
-    pieces = T.split_role_transition(triggers, *[F.col(c) for c in CONTENT], min_offset=min_offset)
-    return _explode(utterances, pieces, "part")
+    """Split before the first role trigger; the second part goes to the other speaker.
+
+    Adds ``part``: 0, or 0 and 1. The time is shared by characters.
+    """
+    speaker, start, end = F.col("speaker_id"), F.col("start_time"), F.col("end_time")
+    at = F.col("_at")
+    # Column by column, so that no expression is repeated in the generated code.
+    rows = utterances.withColumn("_s", T.strip(F.col("text"))).withColumn("_low", F.lower("_s"))
+    rows = rows.withColumn("_at", T.trigger_place(F.col("_low"), triggers, min_offset))
+    rows = rows.withColumns(
+        {
+            "_h": F.when(at > 0, T.strip(F.substring("_s", F.lit(1), at - 1))),
+            "_t": F.when(at > 0, T.strip(F.substring("_s", at, F.length("_s")))),
+        }
+    )
+    rows = rows.withColumn("_c", start + (end - start) * (F.length("_h") / F.length("_s")))
+    rows = rows.withColumn("_c", exact_round(F.col("_c")))
+    both = F.array(
+        T.piece(speaker, start, F.col("_c"), F.col("_h")),
+        T.piece(T.other_speaker(speaker), F.col("_c"), end, F.col("_t")),
+    )
+    whole = F.array(T.piece(speaker, start, end, F.col("text")))
+    pieces = F.when((at > 0) & (F.col("_h") != "") & (F.col("_t") != ""), both).otherwise(whole)
+    return _explode(rows, utterances.columns, pieces, "part")
 
 
 def split_questions(utterances: DataFrame) -> DataFrame:
-    """Adds ``sub``: place of the piece after cutting at question marks."""
-    return _explode(utterances, T.split_questions(*[F.col(c) for c in CONTENT]), "sub")
+    """Split after question marks, speakers alternating; adds ``sub``.
+
+    A piece lasts its share of the characters; the last ends with the utterance.
+    """
+    speaker, start, end = F.col("speaker_id"), F.col("start_time"), F.col("end_time")
+    rows = utterances.withColumn("_s", T.strip(F.col("text")))
+    rows = rows.withColumn("_q", F.when(F.col("_s").contains("?"), T.question_pieces(F.col("_s"))))
+    rows = rows.withColumn("_q", F.when(F.size("_q") > 1, F.col("_q")))
+    lengths = F.transform("_q", F.length)
+    rows = rows.withColumn("_e", T.piece_ends(lengths, start, end - start, F.greatest(F.length("_s"), F.lit(1))))
+    last = F.size("_q") - 1
+    pieces = F.transform(
+        "_q",
+        lambda s, i: T.piece(
+            F.when(i % 2 == 0, speaker).otherwise(T.other_speaker(speaker)),
+            exact_round(F.get("_e", i)),
+            F.when(i == last, end).otherwise(F.get("_e", i + 1)),
+            s,
+        ),
+    )
+    whole = F.array(T.piece(speaker, start, end, F.col("text")))
+    return _explode(rows, utterances.columns, F.coalesce(pieces, whole), "sub")
 
 
 def _join_texts(order: str) -> Column:

@@ -151,7 +151,7 @@ def turkish(text: str) -> str:
 
 SQL["clean_repetition"] = sql("utterances", "SELECT recording_id, utt_no, text FROM cleaned", clean("utterances", "recording_id, utt_no"))
 SQL["normalise_turkish"] = sql("utterances", f"""
-SELECT recording_id, utt_no, {turkish("concat(text, ' Cumagünü geldi , bir  beyni tüpçe AKICIK arkadaşıar salısabahı !')")} AS text FROM utterances""")
+SELECT recording_id, utt_no, {turkish("concat(text, ' Cumagünü geldi , bir  beyni tüpçe akıcık arkadaşıar salısabahı !')")} AS text FROM utterances""")
 
 TRIGGERS = [
     "buyurun", "müşteri hizmetleri", "nasıl yardımcı olabilirim", "anladım hanımefendi", "anladım beyefendi", "anladım efendim",
@@ -164,10 +164,10 @@ def roles(source: str, triggers: list[str], keys: str = "recording_id, utt_no")
     other = "CASE WHEN speaker_id = 'SPEAKER_00' THEN 'SPEAKER_01' ELSE 'SPEAKER_00' END"
     cut = R2.format("start_time + (end_time - start_time) * (length(h)::DOUBLE / length(s))")
     return f"""
-r1 AS (SELECT *, coalesce({at}, 0) AS at FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM {source})),
-r2 AS (SELECT *, rtrim(left(s, at - 1), E' \\n\\t\\r') AS h, substring(s, at) AS tl FROM r1 WHERE at > 0),
+r1 AS (SELECT *, coalesce({at}, 0) AS cutp FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM {source})),
+r2 AS (SELECT *, rtrim(left(s, cutp - 1), E' \\n\\t\\r') AS h, substring(s, cutp) AS tl FROM r1 WHERE cutp > 0),
 r3 AS (SELECT {keys}, speaker_id, start_time, end_time, h, tl, {cut} AS c FROM r2),
-split AS (SELECT {keys}, 0::BIGINT AS part, speaker_id, start_time, end_time, text FROM r1 WHERE at = 0
+split AS (SELECT {keys}, 0::BIGINT AS part, speaker_id, start_time, end_time, text FROM r1 WHERE cutp = 0
  UNION ALL SELECT {keys}, 0, speaker_id, start_time, c, h FROM r3
  UNION ALL SELECT {keys}, 1, {other}, c, end_time, tl FROM r3),
 """
@@ -382,13 +382,13 @@ SELECT stage, le, count(*) FILTER (seconds <= b) AS cumulative, round(sum(second
 FROM stages, (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1), ('2.5', 2.5), ('5.0', 5), ('10.0', 10), ('30.0', 30), ('60.0', 60), ('120.0', 120), ('+Inf', 'infinity'::DOUBLE)) v(le, b) GROUP BY stage, le""")
 SQL["queue_gauges"] = sql("job_events jobs", """
 SELECT (SELECT count(*) + count(*) FILTER (value > 50) FROM job_events)::BIGINT AS queue_depth, (SELECT count(*) FROM jobs WHERE status = 'PENDING' AND updated_at < TIMESTAMP '1998-01-01') AS pending_jobs,
- round(greatest(0, epoch(TIMESTAMP '2024-01-15') - (SELECT min(epoch_ms(ts)) FROM job_events) / 1000.0), 3) AS oldest_age_seconds""")
+ round(greatest(0, epoch(TIMESTAMP '2024-01-15') - (SELECT min(epoch_us(ts) // 1000) FROM job_events) / 1000.0), 3) AS oldest_age_seconds""")
 RTF = """
 runs AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CASE WHEN user_id % 3 = 0 THEN 'feedback' ELSE 'full' END AS profile, value * 10 AS audio, value * 0.125 AS d, value * 0.25 AS v, value * 0.5 AS s, value * 0.875 AS t FROM events)
 """
 SQL["rtf_k"] = sql("", """
-SELECT model, profile, GROUPING(model, profile) AS level, round(sum(audio), 3) AS audio_seconds, round(sum(d), 3) AS decode_seconds, round(sum(v), 3) AS vad_seconds, round(sum(s), 3) AS stt_seconds,
- round(sum(t), 3) AS total_seconds, round(sum(t) / sum(audio), 6) AS rtf, round(sum(t * 4) / sum(audio), 6) AS k FROM runs GROUP BY ROLLUP (model, profile)""", RTF)
+SELECT model, profile, GROUPING(model, profile) AS level, round(sum(audio), 6) AS audio_seconds, round(sum(d), 6) AS decode_seconds, round(sum(v), 6) AS vad_seconds, round(sum(s), 6) AS stt_seconds,
+ round(sum(t), 6) AS total_seconds, round(sum(t) / sum(audio), 6) AS rtf, round(sum(t * 4) / sum(audio), 6) AS k FROM runs GROUP BY ROLLUP (model, profile)""", RTF)
 SQL["capacity_plan"] = sql("", """
 SELECT model, profile, sec AS message_seconds, w AS workers, sec * 4000 AS total_audio, round(sec * 4000 * k / 3600, 6) AS cores_needed, round(sec * 4000 * rtf / w / 3600, 6) AS hours, w * 1.5::DOUBLE AS ram_gb
 FROM (SELECT model, profile, sum(t) / sum(audio) AS rtf, sum(t * 4) / sum(audio) AS k FROM runs GROUP BY model, profile), (VALUES (10), (30), (60)) a(sec), (VALUES (1), (2), (4)) b(w)""", RTF)
@@ -440,9 +440,9 @@ vad AS (SELECT * FROM vad1 UNION ALL SELECT recording_id, 0.0, {R2.format('dur')
 
 def resampled(rate: int) -> str:
     return f"""
-out AS (SELECT recording_id, i, i * (1000 / {rate}.0::DOUBLE) AS at, n FROM (SELECT recording_id, n, unnest(range(CAST(floor(n / (1000 / {rate}.0::DOUBLE)) AS BIGINT))) AS i FROM (SELECT recording_id, count(*) AS n FROM samples GROUP BY recording_id))),
-res AS (SELECT o.recording_id, i AS pos, CASE WHEN b.value IS NULL THEN a.value ELSE a.value * (1 - (at - floor(at))) + b.value * (at - floor(at)) END AS value, {rate} AS sample_rate
- FROM out o JOIN samples a ON a.recording_id = o.recording_id AND a.pos = CAST(floor(at) AS BIGINT) LEFT JOIN samples b ON b.recording_id = o.recording_id AND b.pos = CAST(floor(at) AS BIGINT) + 1),
+out AS (SELECT recording_id, i, i * (1000 / {rate}.0::DOUBLE) AS q, n FROM (SELECT recording_id, n, unnest(range(CAST(floor(n / (1000 / {rate}.0::DOUBLE)) AS BIGINT))) AS i FROM (SELECT recording_id, count(*) AS n FROM samples GROUP BY recording_id))),
+res AS (SELECT o.recording_id, i AS pos, CASE WHEN b.value IS NULL THEN a.value ELSE a.value * (1 - (q - floor(q))) + b.value * (q - floor(q)) END AS value, {rate} AS sample_rate
+ FROM out o JOIN samples a ON a.recording_id = o.recording_id AND a.pos = CAST(floor(q) AS BIGINT) LEFT JOIN samples b ON b.recording_id = o.recording_id AND b.pos = CAST(floor(q) AS BIGINT) + 1),
 """
 
 
@@ -479,7 +479,7 @@ SELECT recording_id, win_idx, last_value(c IGNORE NULLS) OVER (PARTITION BY reco
  SELECT recording_id, win_idx, CASE WHEN win_idx = 0 OR energy < h OR (min(label) OVER f = max(label) OVER f AND min(energy) OVER f < h) THEN label END AS c
  FROM (SELECT *, quantile_cont(energy, 0.2) OVER (PARTITION BY recording_id) AS h FROM filled) WINDOW f AS (PARTITION BY recording_id ORDER BY win_idx ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))""", FILLED)
 SQL["labels_to_segments"] = sql("window_labels", """
-SELECT recording_id, k - 1 AS seg_no, 'SPEAKER_' || lpad(label::VARCHAR, 2, '0') AS speaker_id, CASE WHEN k = 1 THEN 0.0 ELSE round(win_idx * 0.3 + 0.6, 6) END AS start_time, round(coalesce(nx * 0.3 + 0.6, n * 0.3 + 1.2), 6) AS end_time FROM (
+SELECT recording_id, k - 1 AS seg_no, 'SPEAKER_' || lpad(label::VARCHAR, 2, '0') AS speaker_id, CASE WHEN k = 1 THEN 0.0 ELSE round(win_idx * 0.3::DOUBLE + 0.6, 6) END::DOUBLE AS start_time, round(coalesce(nx * 0.3::DOUBLE + 0.6, n * 0.3::DOUBLE + 1.2), 6)::DOUBLE AS end_time FROM (
  SELECT *, row_number() OVER r AS k, lead(win_idx) OVER r AS nx FROM (SELECT * FROM (SELECT *, lag(label) OVER r AS pl FROM filled """ + R + """) WHERE pl IS NULL OR pl <> label) """ + R + ")", FILLED)
 
 # --- containers ---

@@ -176,7 +176,7 @@ def clean_repetition(spark, sf):
 @query
 def normalise_turkish(spark, sf):
     u = D.utterances(spark, sf)
-    fused = F.concat("text", F.lit(" Cumagünü geldi , bir  beyni tüpçe AKICIK arkadaşıar salısabahı !"))
+    fused = F.concat("text", F.lit(" Cumagünü geldi , bir  beyni tüpçe akıcık arkadaşıar salısabahı !"))
     return u.select("recording_id", "utt_no", T.normalise_turkish(fused).alias("text"))
 
 
@@ -671,7 +671,7 @@ def _rtf(spark, sf):
 @query
 def rtf_k(spark, sf):
     num = ["audio_seconds", *STAGES, "total_seconds"]
-    return _rtf(spark, sf).select("model", "profile", "level", *[F.round(c, 3).alias(c) for c in num], F.round("rtf", 6).alias("rtf"), F.round("k", 6).alias("k"))
+    return _rtf(spark, sf).select("model", "profile", "level", *[F.round(c, 6).alias(c) for c in num], F.round("rtf", 6).alias("rtf"), F.round("k", 6).alias("k"))
 
 
 @query
@@ -693,7 +693,7 @@ def operate(spark, sf):
 @query
 def downmix(spark, sf):
     s = D.samples(spark, sf)
-    pair = F.array(F.struct(F.lit(0).alias("channel"), F.col("value").alias("v")), F.struct(F.lit(1), F.col("value") / 2 + 0.01))
+    pair = F.array(F.struct(F.lit(0).alias("channel"), F.col("value").alias("v")), F.struct(F.lit(1).alias("channel"), (F.col("value") / 2 + 0.01).alias("v")))
     two = s.select("recording_id", "pos", "sample_rate", F.inline(pair)).withColumnRenamed("v", "value")
     return signal.downmix(two).select("recording_id", "pos", F.round("value", 8).alias("value"))
 
