@@ -315,14 +315,16 @@ def nest_pages(
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = 16) -> DataFrame:
-    """Distinct non-negative values with their 0-based rank range and the key's row count.
+    """Distinct values with their 0-based rank range and the key's row count.
 
     Columns: keys, value, ``cnt``, ``lo`` (rank of the first copy), ``hi`` (last), ``total``.
     Equal values are counted before the shuffle; the order is cut by magnitude.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     v = F.col(value)
-    block = F.when(v > 0, F.floor(F.log2(v) * per_octave)).otherwise(F.lit(-(2**40)))
+    far = 2**40
+    size = F.floor(F.log2(F.abs(v)) * per_octave)
+    block = F.when(v > 0, F.lit(far) + size).when(v < 0, F.lit(-far) - size).otherwise(F.lit(0))
     ranked = running(
         counts, keys, [value], block, sums={"hi": F.col("cnt")}, total_sums={"total": F.col("cnt")}
     )
