@@ -351,12 +351,12 @@ def _dropped_merges(merges: DataFrame, n_clusters: int | None, threshold: float,
     return top.withColumn("_k", F.row_number().over(whole)).where(F.col("_k") <= limit).select(*REC, "child")
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """Follow (recording_id, cid, parent) to the top by doubling; a root is its own parent."""
+def follow_to_root(parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Follow (keys, cid, parent) to the top by doubling; a root is its own parent."""
     while True:
-        up = parents.select(*REC, F.col("cid").alias("parent"), F.col("parent").alias("_gp"))
-        step = cut(parents.join(up, [*REC, "parent"]).select(*REC, "cid", "parent", "_gp"), "roots")
-        parents = step.select(*REC, "cid", F.col("_gp").alias("parent"))
+        up = parents.select(*keys, F.col("cid").alias("parent"), F.col("parent").alias("_gp"))
+        step = cut(parents.join(up, [*keys, "parent"]).select(*keys, "cid", "parent", "_gp"), "roots")
+        parents = step.select(*keys, "cid", F.col("_gp").alias("parent"))
         if not step.where("parent <> _gp").take(1):
             return parents
 
@@ -392,7 +392,7 @@ def linkage_large(
     done = tree.join(_dropped_merges(tree, n_clusters, threshold, max_clusters), [*REC, "child"], "left_anti")
     up = done.select(*REC, F.col("child").alias("cid"), F.col("cid").alias("parent"))
     parents = leaves.join(up, [*REC, "cid"], "left").select(*REC, "cid", F.coalesce("parent", "cid").alias("parent"))
-    roots = _roots(cut(parents, "parents"))
+    roots = follow_to_root(cut(parents, "parents"), REC)
     # Clusters carry the number of their first window, so root order is order of first appearance.
     names = roots.where("cid = parent").select(*REC, "parent")
     names = names.withColumn("label", F.row_number().over(blocks.Window.partitionBy(*REC).orderBy("parent")) - 1)
