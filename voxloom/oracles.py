@@ -490,3 +490,37 @@ SELECT event_id, CASE WHEN w THEN event_id % 2 + 1 ELSE 1 END::INTEGER AS channe
  CASE WHEN w THEN (event_id % 5000) * 4 // ((event_id % 2 + 1) * 2) END AS frames,
  CASE WHEN w THEN round(((event_id % 5000) * 4 // ((event_id % 2 + 1) * 2)) / (8000 + event_id % 7 * 1000)::DOUBLE, 6) ELSE 0.0 END AS duration_sec,
  CASE WHEN w THEN 'WAV' ELSE 'MP3' END AS format, CASE WHEN NOT w THEN (CASE (event_id // 4) % 7 WHEN 5 THEN 4 WHEN 6 THEN 2 ELSE 14 END) END::BIGINT AS file_size_bytes FROM (SELECT *, event_id % 4 <> 3 AS w FROM events)"""
+
+# --- job history and streams ---
+STATES = sql("job_events", """
+SELECT job_id, status, attempts, token_us, updated_us FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS last FROM st) WHERE last = 1 AND status IS NOT NULL""",
+"""ev AS (SELECT job_id, kind, epoch_us(ts) AS us, value > 150 AS perm, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM job_events),
+st AS (WITH RECURSIVE s AS (
+ SELECT DISTINCT job_id, 0::BIGINT AS k, NULL::VARCHAR AS status, 0 AS attempts, NULL::BIGINT AS token_us, NULL::BIGINT AS updated_us FROM ev
+ UNION ALL
+ SELECT s.job_id, e.k,
+  CASE WHEN kind = 'submit' AND status IS NULL THEN 'PENDING' WHEN kind = 'claim' AND (status = 'PENDING' OR (status = 'PROCESSING' AND us - updated_us > 36000000000)) THEN 'PROCESSING'
+   WHEN status = 'PROCESSING' AND kind = 'complete' THEN 'COMPLETED' WHEN status = 'PROCESSING' AND kind = 'fail' THEN CASE WHEN perm OR attempts + 1 >= 3 THEN 'FAILED' ELSE 'PENDING' END ELSE status END,
+  CASE WHEN status = 'PROCESSING' AND kind = 'fail' THEN attempts + 1 ELSE attempts END,
+  CASE WHEN kind = 'claim' AND (status = 'PENDING' OR (status = 'PROCESSING' AND us - updated_us > 36000000000)) THEN us ELSE token_us END,
+  CASE WHEN (kind = 'submit' AND status IS NULL) OR (kind = 'claim' AND (status = 'PENDING' OR (status = 'PROCESSING' AND us - updated_us > 36000000000)))
+   OR (status = 'PROCESSING' AND kind IN ('heartbeat', 'complete', 'fail')) THEN us ELSE updated_us END
+ FROM s JOIN ev e ON e.job_id = s.job_id AND e.k = s.k + 1) SELECT * FROM s)""")
+SQL["job_states"] = STATES
+SQL["stream_job_states"] = STATES
+SQL["stream_rate_limit"] = sql("job_events", """
+SELECT job_id % 5 AS client, epoch_us(ts) // 3600000000 AS period, count(*) AS requests, greatest(0, count(*) - 5) AS rejected FROM job_events GROUP BY ALL""")
+SQL["stream_dedupe"] = sql("job_events", """
+SELECT external_id, CASE WHEN external_id IS NULL THEN count(*) ELSE 1 END AS n FROM (SELECT CASE WHEN event_id % 4 <> 0 THEN 'ext-' || job_id END AS external_id FROM job_events) GROUP BY external_id""")
+SQL["stream_status_counts"] = sql("job_events", "SELECT kind AS status, count(*) AS n FROM job_events GROUP BY kind")
+SQL["stream_stage_histogram"] = sql("job_events", """
+SELECT kind AS stage, b.i AS bucket, count(*) FILTER (value / 10 <= b.le) AS cumulative, count(*) AS n
+FROM job_events, (VALUES (0, 0.01), (1, 0.05), (2, 0.1), (3, 0.5), (4, 1), (5, 2.5), (6, 5), (7, 10), (8, 30), (9, 60), (10, 120), (11, 'infinity'::DOUBLE)) b(i, le) GROUP BY kind, b.i""")
+SQL["stream_delivery_results"] = """
+SELECT event_id AS delivery_id, CASE WHEN event_id % 10 = 0 THEN 'DEAD' WHEN event_id % 3 = 0 THEN 'SUCCESS' WHEN event_id % 6 + 1 >= 5 THEN 'DEAD' ELSE 'PENDING' END AS status, CAST(event_id % 6 + 1 AS INTEGER) AS attempts,
+ CASE WHEN event_id % 10 <> 0 AND event_id % 3 <> 0 AND event_id % 6 + 1 < 5 THEN ts + to_seconds(CAST(5 * power(2, event_id % 6) AS INTEGER)) ELSE ts END AS next_attempt_at FROM events"""
+SQL["stream_route_outcomes"] = sql("job_events", """
+SELECT event_id, CASE kind WHEN 'fail' THEN 'dead_letter' WHEN 'claim' THEN 'republish' ELSE 'ack' END AS route,
+ CASE WHEN kind = 'claim' THEN TIMESTAMP '2024-01-15' + to_seconds(CAST(least(30, power(2, greatest(0, event_id % 7 - 1))) AS INTEGER)) END AS not_before FROM job_events""")
+SQL["stream_jobs"] = """
+SELECT event_id AS job_id, CASE WHEN event_id % 2 = 0 THEN 'a.wav' END AS file_name, CASE WHEN event_id % 4 = 1 THEN 'single' ELSE 'diarise' END AS gate FROM events"""

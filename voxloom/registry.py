@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom import session
 from voxloom.functions import audio, guards
 from voxloom.functions import text as T
 from voxloom.operators import blocks, diarise, intervals, jobs, metrics, refine, signal, utterances
+from voxloom.operators import cluster, lifecycle
 from voxloom.operators import transcripts as X
 from voxloom.params import Params
+from voxloom.plans import diarise as diarise_plan
 from voxloom.plans import jobs as jobs_plan
 from voxloom.sources import contracts
 from voxloom.sources import derived as D
+from voxloom.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -833,3 +837,136 @@ def wav_metadata(spark, sf):
     return _wav(spark, sf).select("event_id", audio.wav_metadata(F.col("content"), F.col("path")).alias("m")).select(
         "event_id", "m.channels", "m.sample_rate", "m.frames", F.round("m.duration_sec", 6).alias("duration_sec"), "m.format", "m.file_size_bytes"
     )
+
+
+# --- clustering --------------------------------------------------------------------
+
+
+def _embedded(spark, sf):
+    """Embedding windows with an energy per window."""
+    w = D.window_embeddings(spark, sf)
+    return w.withColumn("energy", (F.col("vec_id") * 37 % 101 + 1) / 100.0)
+
+
+def _embedded_durations(spark, sf):
+    w = D.window_embeddings(spark, sf)
+    return w.groupBy("recording_id").agg(((F.max("win_idx") + 1) * 0.3 + 0.9).alias("duration_seconds"))
+
+
+@query
+def cluster_bisect(spark, sf):
+    return cluster.cluster_bisect(D.window_embeddings(spark, sf))
+
+
+@query
+def cluster_average_linkage(spark, sf):
+    return cluster.cluster_average_linkage(D.window_embeddings(spark, sf))
+
+
+@query
+def diarise_windows(spark, sf):
+    return diarise_plan.diarise_windows(_embedded(spark, sf), _embedded_durations(spark, sf))
+
+
+@query
+def diarise_spectral(spark, sf):
+    return diarise_plan.diarise_spectral(_embedded(spark, sf), _embedded_durations(spark, sf))
+
+
+# --- job history and streams -------------------------------------------------------
+
+
+def _history(events):
+    """Job events with tokens unchecked; large fail values are permanent errors."""
+    return events.select(
+        "job_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_id",
+        "kind",
+        F.lit(None).cast("timestamp").alias("token"),
+        (F.col("value") > 150).alias("permanent"),
+    )
+
+
+@query
+def job_states(spark, sf):
+    return lifecycle.job_states(_history(D.job_events(spark, sf)), stale_seconds=36_000)
+
+
+def _event_stream(spark, sf):
+    schema = D.table(spark, sf, "events").schema
+    return D.events_as_jobs(streams.file_stream(spark, sf, "events.parquet", schema))
+
+
+@query
+def stream_job_states(spark, sf):
+    out = streams.job_states(_history(_event_stream(spark, sf)), stale_seconds=36_000)
+    last = streams.latest(streams.run_to_table(out, spark, "states", "update"), ["job_id"])
+    return last.select("job_id", "status", "attempts", "token_us", "updated_us")
+
+
+@query
+def stream_rate_limit(spark, sf):
+    r = _event_stream(spark, sf).select((F.col("job_id") % 5).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = streams.request_counts(r, limit=5, period_seconds=3600, late="30 days")
+    return streams.latest(streams.run_to_table(counts, spark, "rates", "update"), ["client", "period"])
+
+
+@query
+def stream_dedupe(spark, sf):
+    e = _event_stream(spark, sf)
+    sub = e.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("ext-"), F.col("job_id").cast("string"))).alias("external_id"))
+    kept = streams.run_to_table(streams.dedupe(sub, "60 days"), spark, "dedupe")
+    return kept.groupBy("external_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_status_counts(spark, sf):
+    changes = _event_stream(spark, sf).select(F.col("kind").alias("status"))
+    return streams.latest(streams.run_to_table(streams.status_counts(changes), spark, "status", "update"), ["status"])
+
+
+@query
+def stream_stage_histogram(spark, sf):
+    st = _event_stream(spark, sf).select(F.col("kind").alias("stage"), (F.col("value") / 10.0).alias("seconds"))
+    h = streams.latest(streams.run_to_table(streams.stage_counts(st, metrics.BUCKETS), spark, "stages", "update"), ["stage"])
+    return h.select("stage", F.posexplode("cumulative").alias("bucket", "cumulative"), "n")
+
+
+@query
+def stream_delivery_results(spark, sf):
+    e = _event_stream(spark, sf)
+    i = F.col("event_id")
+    tries = e.select(
+        i.alias("delivery_id"),
+        F.lit("https://h.example.com/cb").alias("url"),
+        (i % 6).cast("int").alias("attempts"),
+        F.when(i % 3 == 0, 200).otherwise(500).alias("outcome_code"),
+        F.lit("x").alias("outcome_text"),
+        F.col("ts").alias("next_attempt_at"),
+        F.array(F.when(i % 10 == 0, "10.0.0.1").otherwise("93.184.216.34")).alias("ips"),
+    )
+    out = streams.run_to_table(streams.delivery_results(tries, F.col("next_attempt_at")), spark, "deliveries")
+    return out.select("delivery_id", "status", "attempts", "next_attempt_at")
+
+
+@query
+def stream_route_outcomes(spark, sf):
+    e = _event_stream(spark, sf)
+    kind = F.col("kind")
+    done = e.select("event_id", (F.col("event_id") % 7).alias("attempts"), F.when(kind == "complete", "COMPLETED").when(kind == "fail", "FAILED").when(kind == "claim", "RETRY").otherwise("SKIPPED").alias("result"))
+    out = session.shared_dir(spark, "routes")
+    q = streams.route(done, _at(EVENTS_AS_OF), out, session.shared_dir(spark, "routes-progress"))
+    q.awaitTermination()
+    return spark.read.option("basePath", out).parquet(out).select("event_id", "route", "not_before")
+
+
+@query
+def stream_jobs(spark, sf):
+    """Every job of the event stream handled once."""
+    e = _event_stream(spark, sf)
+    raw = e.select(F.col("event_id").cast("string").alias("job_id"), F.when(F.col("event_id") % 2 == 0, "a.wav").otherwise("").alias("file_name"), F.lit("").alias("callback_url"), (F.col("event_id") % 4).cast("string").alias("num_speakers"))
+    out = session.shared_dir(spark, "handled")
+    q = streams.process_jobs(streams.queue_entries(raw), lambda b: b.withColumn("gate", F.when(F.col("num_speakers") == 1, "single").otherwise("diarise")), out, session.shared_dir(spark, "handled-progress"))
+    q.awaitTermination()
+    return spark.read.option("basePath", out).parquet(out).select("job_id", "file_name", "gate")

@@ -207,8 +207,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_jobs(table(spark, sf_dir, "events"))
+
+
+def events_as_jobs(events: DataFrame) -> DataFrame:
+    """Job history from the event table or a stream of it."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("job_id"),
         "ts",
         "event_id",
