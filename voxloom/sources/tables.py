@@ -28,7 +28,8 @@ def scan_recordings(spark: SparkSession, path: str, pattern: str = "*", metadata
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The table in its declared column order (folder columns would come last)."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def write_table(df: DataFrame, path: str, schema: T.StructType, partition_by: str | None = "status", mode: str = "errorifexists") -> None:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxloom.functions import guards
 from voxloom.operators import jobs, lifecycle
-from voxloom.params import DEFAULTS, PROCESSING
+from voxloom.params import DEFAULTS, FAILED, PENDING, PROCESSING
 from voxloom.session import shared_dir
 
 SALTS = 32
@@ -169,8 +169,9 @@ def job_states(
 ) -> DataFrame:
     """State per job, emitted whenever its events arrive (columns as ``lifecycle.job_states``).
 
-    With ``watch_stale`` an event-time timer also reports jobs whose claim
-    lapsed: ``action`` reset_republish while attempts remain, else fail.
+    With ``watch_stale`` an event-time timer also repairs jobs whose claim
+    lapsed, as the batch sweep does: back to PENDING (``action``
+    reset_republish) while attempts remain, else FAILED (``action`` fail).
     """
     stale_us = stale_seconds * 1_000_000
     us = F.unix_micros("ts")
@@ -185,7 +186,12 @@ def job_states(
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = lifecycle.State(*state.get) if state.exists else lifecycle.State()
         if state.hasTimedOut:
-            yield row(key, s, "reset_republish" if s.attempts < max_attempts else "fail")
+            if s.status == PROCESSING:
+                again = s.attempts < max_attempts
+                now = state.getCurrentWatermarkMs() * 1000
+                s = lifecycle.State(PENDING if again else FAILED, s.attempts + (not again), s.token, now)
+                state.update((s.status, s.attempts, s.token, s.updated))
+                yield row(key, s, "reset_republish" if again else "fail")
             return
         # One job's events of one micro-batch; the trigger size bounds them.
         got = pd.concat(list(chunks)).sort_values(["us", "event_id"])
