@@ -306,7 +306,11 @@ def nest_pages(
 
     A key's pages, read in order, hold all of its rows; most keys have one page.
     """
-    numbered = row_numbers(df.withColumn("_item", item), keys, order, block, "_no")
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(
+        *keys, *[o.alias(n) for o, n in zip(_cols(order), names)], block.alias("_page_blk"), item.alias("_item")
+    )
+    numbered = row_numbers(rows, keys, names, F.col("_page_blk"), "_no")
     page = F.floor((F.col("_no") - 1) / page_rows).cast("long")
     nested = numbered.groupBy(*keys, page.alias("page_no")).agg(
         F.sort_array(F.collect_list(F.struct("_no", "_item"))).alias("_l")

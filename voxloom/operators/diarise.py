@@ -63,21 +63,15 @@ def fill_labels(windows: DataFrame, label: str = "raw_label", block_rows: int =
     return run.withColumn("label", F.coalesce("_l", "_f", F.lit(0))).drop("_l", "_f")
 
 
-def _with_size(windows: DataFrame, block_rows: int) -> DataFrame:
-    """Adds ``_len`` (windows in the recording) without gathering a recording."""
-    sizes = windows.groupBy(*REC).agg((F.max(IDX) + 1).alias("_len"))
-    return blocks.attach(windows, sizes, REC, blocks.block_of(IDX, block_rows))
-
-
 def majority_vote(windows: DataFrame, label: str = "label", k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Centred mode of ``k`` labels, ties to the smallest; the first and last k//2 stay as they are."""
     half = k // 2
-    near = blocks.halo(_with_size(windows, block_rows), IDX, block_rows, half, half)
-    w = blocks.halo_window(REC, IDX).rowsBetween(-half, half)
-    edge = (F.col("_len") < k) | (F.col(IDX) < half) | (F.col(IDX) >= F.col("_len") - half)
-    voted = near.withColumn("_m", F.mode(label, True).over(w))
-    out = blocks.drop_halo(voted).withColumn(label, F.when(edge, F.col(label)).otherwise(F.col("_m")))
-    return out.drop("_m", "_len")
+    near = blocks.halo(windows, IDX, block_rows, half, half)
+    w = blocks.halo_window(REC, IDX)
+    edge = F.lag(IDX, half).over(w).isNull() | F.lead(IDX, half).over(w).isNull()
+    voted = near.withColumns({"_e": edge, "_m": F.mode(label, True).over(w.rowsBetween(-half, half))})
+    out = blocks.drop_halo(voted).withColumn(label, F.when(F.col("_e"), F.col(label)).otherwise(F.col("_m")))
+    return out.drop("_m", "_e")
 
 
 def median_filter(windows: DataFrame, label: str = "label", k: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -87,35 +81,46 @@ def median_filter(windows: DataFrame, label: str = "label", k: int | None = None
     """
     top = k or 7
     half = top // 2
-    near = blocks.halo(_with_size(windows, block_rows), IDX, block_rows, half, half)
-    w = blocks.halo_window(REC, IDX).rowsBetween(-half, half)
-    if k:
-        width = F.lit(k)
-    else:
-        n = F.least(F.lit(7), F.col("_len"))
-        width = F.when(n % 2 == 0, F.greatest(F.lit(1), n - 1)).otherwise(n)
-    reach = F.floor(width / 2)
+    # Rows up to top - 1 away are in view, so a shorter recording is seen whole and its length known.
+    near = blocks.halo(windows, IDX, block_rows, top - 1, top - 1)
+    w = blocks.halo_window(REC, IDX)
+    size = F.least(F.lit(top), F.count(F.lit(1)).over(w.rowsBetween(1 - top, top - 1)))
     at = F.struct(F.col(IDX).alias("i"), F.col(label).cast("long").alias("v"))
-    framed = blocks.drop_halo(near.withColumn("_f", F.collect_list(at).over(w)))
-    close = F.transform(F.filter("_f", lambda x: F.abs(x["i"] - F.col(IDX)) <= reach), lambda x: x["v"])
-    padded = F.concat(close, F.array_repeat(F.lit(0).cast("long"), (width - F.size(close)).cast("int")))
-    median = F.element_at(F.sort_array(padded), (reach + 1).cast("int"))
-    return framed.withColumn(label, median).drop("_f", "_len")
+    framed = near.withColumns({"_n": size, "_f": F.collect_list(at).over(w.rowsBetween(-half, half))})
+    framed = blocks.drop_halo(framed)
+    odd = F.when(F.col("_n") % 2 == 0, F.greatest(F.lit(1), F.col("_n") - 1)).otherwise(F.col("_n"))
+    framed = framed.withColumn("_w", F.lit(k) if k else odd).withColumn("_r", F.floor(F.col("_w") / 2))
+    close = F.transform(F.filter("_f", lambda x: F.abs(x["i"] - F.col(IDX)) <= F.col("_r")), lambda x: x["v"])
+    framed = framed.withColumn("_f", close)
+    zeros = F.array_repeat(F.lit(0).cast("long"), (F.col("_w") - F.size("_f")).cast("int"))
+    median = F.element_at(F.sort_array(F.concat("_f", zeros)), (F.col("_r") + 1).cast("int"))
+    return framed.withColumn(label, median).drop("_f", "_n", "_w", "_r")
 
 
 def smooth_labels(windows: DataFrame, label: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Majority vote where a recording has more than two labels, else the three-wide median."""
+    """Majority vote where a recording has more than two labels, else the three-wide median;
+    fewer than three windows stay as they are."""
     kinds = windows.select(*REC, label).distinct().groupBy(*REC).agg((F.count(F.lit(1)) > 2).alias("_many"))
     rows = blocks.attach(windows, kinds, REC, blocks.block_of(IDX, block_rows)).withColumn("_v", F.col(label))
-    sized = _with_size(rows, block_rows)
-    near = blocks.halo(sized, IDX, block_rows, 1, 1)
+    near = blocks.halo(rows, IDX, block_rows, 2, 2)
     w = blocks.halo_window(REC, IDX)
-    values = F.array(*[F.coalesce(c.cast("long"), F.lit(0).cast("long")) for c in (F.lag("_v").over(w), F.col("_v"), F.lead("_v").over(w))])
-    framed = near.withColumns({"_m": F.mode("_v", True).over(w.rowsBetween(-1, 1)), "_t": F.element_at(F.sort_array(values), 2)})
-    edge = (F.col(IDX) < 1) | (F.col(IDX) >= F.col("_len") - 1)
-    short = F.col("_len") < 3
-    new = F.when(short | (F.col("_many") & edge), F.col("_v")).when(F.col("_many"), F.col("_m")).otherwise(F.col("_t"))
-    return blocks.drop_halo(framed).withColumn(label, new).drop("_m", "_t", "_v", "_many", "_len")
+    zero = F.lit(0).cast("long")
+    before, after = F.lag("_v").over(w), F.lead("_v").over(w)
+    trio = F.array(*[F.coalesce(c.cast("long"), zero) for c in (before, F.col("_v"), after)])
+    framed = blocks.drop_halo(
+        near.withColumns(
+            {
+                "_m": F.mode("_v", True).over(w.rowsBetween(-1, 1)),
+                "_t": trio,
+                "_e": F.lag(IDX).over(w).isNull() | F.lead(IDX).over(w).isNull(),
+                "_s": F.count(F.lit(1)).over(w.rowsBetween(-2, 2)) < 3,
+            }
+        )
+    )
+    vote = F.when(F.col("_e"), F.col("_v")).otherwise(F.col("_m"))
+    median = F.element_at(F.sort_array("_t"), 2)
+    new = F.when(F.col("_s"), F.col("_v")).when(F.col("_many"), vote).otherwise(median)
+    return framed.withColumn(label, new).drop("_m", "_t", "_e", "_s", "_v", "_many")
 
 
 def gate_transitions(windows: DataFrame, hold: DataFrame, label: str = "raw_label", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -9,6 +9,7 @@ from voxloom.functions import guards
 from voxloom.operators import blocks
 from voxloom.params import COMPLETED, DEFAULTS, FAILED, PENDING, PROCESSING, Params
 from voxloom.operators.transcripts import failed_payload, ordinals
+from voxloom.session import cut
 
 SALTS = 64
 
@@ -184,7 +185,7 @@ def resolve_edits(utterances: DataFrame, edits: DataFrame, tie: list[str]) -> tu
     place = numbered.select("recording_id", F.col("utt_no").alias("utt_index"), F.col("utterance_id").alias("_by_place"))
     named = edits.join(place, ["recording_id", "utt_index"], "left")
     target = F.when(F.col("op") == "add", F.col("utterance_id")).otherwise(F.coalesce("utterance_id", "_by_place"))
-    return named.withColumn("target_id", target).drop("_by_place"), numbered
+    return cut(named.withColumn("target_id", target).drop("_by_place"), "edits"), numbered
 
 
 def apply_edits(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import blocks
+
 # Upper bounds of the stage-duration histogram, in seconds.
 BUCKETS = (0.01, 0.05, 0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, float("inf"))
 
@@ -44,18 +46,26 @@ def queue_gauges(groups: DataFrame, messages: DataFrame, jobs: DataFrame, as_of_
     Depth is lag plus pending over consumer groups, or the stream length when there are none.
     Message ids start with their epoch milliseconds.
     """
-    g = groups.agg(
-        F.sum(F.coalesce("lag", F.lit(0)) + F.coalesce("pending", F.lit(0))).alias("_d"), F.count(F.lit(1)).alias("_g")
-    )
+    depth = F.coalesce("lag", F.lit(0)) + F.coalesce("pending", F.lit(0))
     ms = F.split_part("msg_id", F.lit("-"), F.lit(1)).try_cast("bigint")
-    m = messages.agg(F.count(F.lit(1)).alias("_len"), F.min(ms).alias("_ms"))
-    p = jobs.agg(F.count_if((F.col("status") == "PENDING") & (F.col("updated_at") < as_of)).alias("pending_jobs"))
-    one = F.lit(1).alias("_one")
-    joined = g.select(one, "*").join(m.select(one, "*"), "_one").join(p.select(one, "*"), "_one")
-    return joined.select(
-        F.when(F.col("_g") > 0, F.col("_d")).otherwise(F.col("_len")).alias("queue_depth"),
+    waiting = (F.col("status") == "PENDING") & (F.col("updated_at") < as_of)
+    parts = [
+        groups.agg(F.sum(depth).alias("a"), F.count(F.lit(1)).alias("b")).select(F.lit("group").alias("k"), "a", "b"),
+        messages.agg(F.min(ms).alias("a"), F.count(F.lit(1)).alias("b")).select(F.lit("message").alias("k"), "a", "b"),
+        jobs.agg(F.count_if(waiting).alias("a")).select(F.lit("job").alias("k"), "a", F.lit(None).cast("bigint").alias("b")),
+    ]
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    one = blocks.union_all(parts).agg(
+        of("group", "a").alias("depth"),
+        of("group", "b").alias("groups"),
+        of("message", "b").alias("length"),
+        of("message", "a").alias("ms"),
+        of("job", "a").alias("pending_jobs"),
+    )
+    return one.select(
+        F.when(F.col("groups") > 0, F.col("depth")).otherwise(F.col("length")).alias("queue_depth"),
         "pending_jobs",
-        F.greatest(F.lit(0.0), F.coalesce(as_of_seconds - F.col("_ms") / 1000.0, F.lit(0.0))).alias("oldest_age_seconds"),
+        F.greatest(F.lit(0.0), F.coalesce(as_of_seconds - F.col("ms") / 1000.0, F.lit(0.0))).alias("oldest_age_seconds"),
     )
 
 

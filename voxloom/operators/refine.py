@@ -11,6 +11,7 @@ from voxloom.functions import text as T
 from voxloom.functions.numbers import exact_round
 from voxloom.operators import blocks
 from voxloom.params import BLOCK_ROWS, DEFAULTS, Params
+from voxloom.session import cut
 
 REC = ["recording_id"]
 ORDER = ["utt_no", "part", "sub"]
@@ -98,6 +99,7 @@ def lock_greetings(
         blocks.block_of(order[0], block_rows),
         sums={"_n": F.lit(1), "_late": F.when(F.col("start_time") > horizon, 1).otherwise(0)},
     ).withColumn("_idx", F.col("_n") - 1)
+    run = cut(run, "opening")
     hit = (F.col("_late") == 0) & T.has_any(F.lower("text"), T.GREETINGS)
     merges = (
         run.where(hit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.numbers import exact_round
 from voxloom.operators import blocks
 from voxloom.params import DEFAULTS
+from voxloom.session import cut
 
 REC = ["recording_id"]
 FRAME_BLOCK = 4096
@@ -49,16 +50,24 @@ def linear_resample(samples: DataFrame, target_rate: int = 16000, block_rows: in
     return resampled.withColumn("sample_rate", F.lit(target_rate))
 
 
+def _frame_sums(samples: DataFrame, size: Column) -> DataFrame:
+    """One row per frame, also for a cut-off last one: sum of squares and sample count."""
+    return samples.groupBy(
+        *REC, F.floor(F.col("pos") / size).alias("frame"), size.cast("long").alias("_size"), "sample_rate"
+    ).agg(F.sum(F.col("value") * F.col("value")).alias("_e"), F.count(F.lit(1)).alias("_n"))
+
+
+def _whole_frames(sums: DataFrame) -> DataFrame:
+    energy = F.col("_e") / F.col("_size")
+    return sums.where(F.col("_n") == F.col("_size")).select(
+        *REC, "frame", energy.alias("energy"), F.sqrt(energy).alias("rms")
+    )
+
+
 def frame_energy(samples: DataFrame, frame_size: Column | int, threshold: float = 0.02) -> DataFrame:
     """Whole non-overlapping frames: mean square, RMS and ``loud`` (RMS at or above the threshold)."""
     n = F.lit(frame_size) if isinstance(frame_size, int) else frame_size
-    frames = samples.groupBy(*REC, F.floor(F.col("pos") / n).alias("frame"), n.cast("long").alias("_size")).agg(
-        F.sum(F.col("value") * F.col("value")).alias("_e"), F.count(F.lit(1)).alias("_n")
-    )
-    energy = F.col("_e") / F.col("_size")
-    return frames.where(F.col("_n") == F.col("_size")).select(
-        *REC, "frame", energy.alias("energy"), F.sqrt(energy).alias("rms"), (F.sqrt(energy) >= threshold).alias("loud")
-    )
+    return _whole_frames(_frame_sums(samples, n)).withColumn("loud", F.col("rms") >= threshold)
 
 
 def seconds_to_samples(seconds: float) -> Column:
@@ -81,8 +90,10 @@ def sliding_energy(samples: DataFrame, window: int, step: int) -> DataFrame:
 
 def snr_db(samples: DataFrame) -> DataFrame:
     """Signal-to-noise estimate per recording: loudest 30 % of 20 ms frames over the quietest 20 %."""
-    size = samples.groupBy(*REC).agg(F.count(F.lit(1)).alias("_len"), F.max("sample_rate").alias("sample_rate"))
-    frames = frame_energy(samples, seconds_to_samples(0.02))
+    # Samples are read once; everything else works on the frame table.
+    sums = cut(_frame_sums(samples, seconds_to_samples(0.02)), "frames")
+    size = sums.select(*REC).distinct()
+    frames = _whole_frames(sums)
     ranks = blocks.value_ranks(frames, REC, "energy")
     top = F.greatest(F.lit(1), F.floor(F.lit(0.3) * F.col("total")))
     low = F.greatest(F.lit(1), F.floor(F.lit(0.2) * F.col("total")))
@@ -130,14 +141,14 @@ def energy_vad(samples: DataFrame, min_silence_ms: int = 400, frame_ms: int = 30
     an interval still open at the end runs to the end of the recording.
     Recordings without any interval count as speech throughout.
     """
-    size = samples.groupBy(*REC).agg(F.count(F.lit(1)).alias("_len"), F.max("sample_rate").alias("_sr"))
-    size = size.select(*REC, (F.col("_len") / F.col("_sr")).alias("_dur"))
     n = F.floor(F.col("sample_rate") * frame_ms / 1000).cast("long")
-    frames = frame_energy(samples, n).select(*REC, "frame", "rms")
+    sums = cut(_frame_sums(samples, n), "frames")
+    size = sums.groupBy(*REC).agg((F.sum("_n") / F.max("sample_rate")).alias("_dur"))
+    frames = _whole_frames(sums).select(*REC, "frame", "rms")
     hush = max(1, min_silence_ms // frame_ms)
     limits = energy_thresholds(frames, "rms").select(*REC, "speech")
     counts = frames.groupBy(*REC).agg(F.count(F.lit(1)).alias("_frames"))
-    facts = limits.join(counts, "recording_id").join(size, "recording_id")
+    facts = cut(limits.join(counts, "recording_id").join(size, "recording_id"), "facts")
     block = blocks.block_of("frame", FRAME_BLOCK)
     speech = blocks.attach(frames, facts, REC, block).where(F.col("rms") > F.col("speech"))
     runs = blocks.islands(
@@ -156,7 +167,7 @@ def energy_vad(samples: DataFrame, min_silence_ms: int = 400, frame_ms: int = 30
     found = chunks.select(
         *REC, at("_a").alias("start_time"), F.when(still_open, exact_round(F.col("_dur"))).otherwise(at("_b")).alias("end_time"), still_open.alias("_o")
     ).where(F.col("_o") | (F.col("end_time") > F.col("start_time")))
-    found = found.select(*REC, "start_time", "end_time")
+    found = cut(found.select(*REC, "start_time", "end_time"), "intervals")
     none = size.join(found.select(*REC).distinct(), "recording_id", "left_anti")
     whole = none.select(*REC, F.lit(0.0).alias("start_time"), exact_round(F.col("_dur")).alias("end_time"))
     return found.unionByName(whole)

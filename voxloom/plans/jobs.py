@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import blocks, intervals, jobs, metrics, refine, utterances
 from voxloom.operators import signal as sig
 from voxloom.params import BLOCK_ROWS, DEFAULTS, FIRST_SPEAKER, Params
+from voxloom.session import cut
 from voxloom.sources import contracts
 
 
@@ -69,7 +70,7 @@ def analyse(
     used = real.unionByName(single_speaker_segments(gated, params.unbounded_duration))
     heard = words.select("recording_id", "pos", "word", "start_time", "end_time")
     if speech is not None:
-        heard = intervals.vad_filter(heard, speech, params.vad_tolerance, block_rows=block_rows)
+        heard = cut(intervals.vad_filter(heard, speech, params.vad_tolerance, block_rows=block_rows), "heard")
     timed = intervals.effective_duration(gated, heard, used)
     pairs = intervals.overlap_pairs(used, params.overlap_floor)
     fused = utterances.fuse(heard, used, params.max_silence, block_rows)
@@ -86,7 +87,7 @@ class Signal:
 
 def signal(samples: DataFrame, target_rate: int = 16000, params: Params = DEFAULTS) -> Signal:
     """Mix down, resample, measure noise, find speech."""
-    mono = sig.linear_resample(sig.downmix(samples), target_rate)
+    mono = cut(sig.linear_resample(sig.downmix(samples), target_rate), "mono")
     snr = sig.denoise_gate(sig.snr_db(mono), True, params.profile, params.min_snr_db)
     return Signal(mono, sig.energy_vad(mono), snr)
 

@@ -452,7 +452,8 @@ def fallback_counts(spark, sf):
 
 @query
 def utterance_ordinals(spark, sf):
-    return X.ordinals(D.stored_utterances(spark, sf), ["created_no", "utterance_id"]).select("recording_id", "utterance_id", "utt_no")
+    u = D.stored_utterances(spark, sf).select("recording_id", "utterance_id", "start_time", "created_no")
+    return X.ordinals(u, ["created_no", "utterance_id"]).select("recording_id", "utterance_id", "utt_no")
 
 
 @query
@@ -483,13 +484,14 @@ def _day(col):
 
 @query
 def fifo_capacity(spark, sf):
-    out = jobs.newest_within(D.jobs(spark, sf), ["created_at", "job_id"], _day("created_at"), 9000, 10**12)
+    j = D.jobs(spark, sf).select("job_id", "created_at", "size_bytes")
+    out = jobs.newest_within(j, ["created_at", "job_id"], _day("created_at"), 9000, 10**12)
     return out.select("job_id", "size_bytes")
 
 
 @query
 def stream_trim(spark, sf):
-    e = D.job_events(spark, sf)
+    e = D.job_events(spark, sf).select("event_id", "kind", "ts")
     return jobs.trim_stream(e, ["ts", "event_id"], _day("ts"), 6000).select("event_id", "kind")
 
 
@@ -566,7 +568,8 @@ def delivery_step(spark, sf):
 
 @query
 def host_waves(spark, sf):
-    out = jobs.host_waves(D.deliveries(spark, sf), _day("next_attempt_at"))
+    d = D.deliveries(spark, sf).select("delivery_id", "url", "next_attempt_at")
+    out = jobs.host_waves(d, _day("next_attempt_at"))
     return out.select("delivery_id", "host", "wave")
 
 
