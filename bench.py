@@ -55,6 +55,9 @@ def main() -> None:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench")
     builder = builder.config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
     builder = builder.config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
+    # Small data on one machine: keep small partitions so that all cores have work.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+    builder = builder.config("spark.sql.files.openCostInBytes", "65536")
     spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
 

@@ -47,8 +47,8 @@ def test_clean_repetition_matches_plain_rule(spark):
     vocab = ["a", "A", "b", "B,", "b,", ",", "ı", "i", "I", "İ", "a,a", "evet", "Evet", "x,"]
     texts = [" ".join(rng.choice(vocab[: rng.choice([2, 4, 14])]) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     texts += ["", "   ", " \n ", "bu sefer bu sefer bu sefer bu sefer", "yavaş yavaş", "evet evet evet", "a a\x1ca  b", "x " * 5000]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select("t", T.clean_repetition(F.col("t")).alias("c")).collect()
+    df = spark.createDataFrame([(t, t) for t in texts], "t string, text string")
+    got = refine.clean_repetition(df).withColumnRenamed("text", "c").collect()
     bad = [(r.t, r.c, plain_clean(r.t)) for r in got if r.c != plain_clean(r.t)]
     assert not bad, bad[:3]
 

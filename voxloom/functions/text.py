@@ -19,10 +19,17 @@ def strip(col: Column) -> Column:
 
 
 def words_of(col: Column) -> Column:
-    return F.filter(F.split(col, rf"(?U){SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(col, rf"(?U){SPACE}+"), "")
 
 
-def _drop_long_runs(items: Column, lowered: Column) -> Column:
+# Repeats in a lower-case text of single-blank words, or of parts joined by ", ".
+# Possessive groups: no backtracking, no recursion on long runs.
+PHRASE_REPEATS = r"(?<!\S)(\S++) (\S++)(?: \1 \2(?!\S)){2}"
+WORD_REPEATS = r"(?<!\S)(\S++)(?: \1(?!\S)){2}"
+PART_REPEATS = r"(?:^|, )([^,]++)(?:, \1(?=,|$)){2}"
+
+
+def drop_long_runs(items: Column, lowered: Column) -> Column:
     """Keep one item of every run of three or more equal ones; pairs stay."""
 
     def keep(x: Column, i: Column) -> Column:
@@ -34,7 +41,7 @@ def _drop_long_runs(items: Column, lowered: Column) -> Column:
     return F.filter(items, keep)
 
 
-def _collapse_phrases(items: Column, lowered: Column) -> Column:
+def collapse_phrases(items: Column, lowered: Column) -> Column:
     """Keep one copy of a two-word phrase said three or more times in a row.
 
     Words are numbered inside one string; a back-reference over the lower-case
@@ -45,40 +52,7 @@ def _collapse_phrases(items: Column, lowered: Column) -> Column:
     word = rf"([^\s\x01]+){tag}(\d+)"
     repeat = rf"(?U)(?<!\S){word} {word}(?: \1{tag}\d+ \3{tag}\d+(?!\S)){{2,}}+"
     left = F.split(F.regexp_replace(numbered, repeat, "$1\u0001$2 $3\u0001$4"), " ")
-    chosen = F.transform(left, lambda t: F.get(items, F.substring_index(t, "\x01", -1).cast("int")))
-    return F.when(F.size(items) >= 6, chosen).otherwise(items)
-
-
-def clean_repetition(col: Column) -> Column:
-    """Remove runs of three or more equal phrases, words and comma parts.
-
-    White space collapses to single blanks and commas are re-spaced; a text of
-    blanks only is returned unchanged.
-    """
-    lower = lambda a: F.transform(a, F.lower)
-
-    def on(value: Column, fn) -> Column:
-        """Let-binding: evaluates ``value`` once and hands it to ``fn``."""
-        return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-    def parts_of(ws: Column) -> Column:
-        text = F.array_join(ws, " ")
-        parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
-        return on(
-            F.struct(text.alias("t"), parts.alias("p")),
-            lambda s: F.when(F.size(s["p"]) == 0, s["t"]).otherwise(
-                F.array_join(_drop_long_runs(s["p"], lower(s["p"])), ", ")
-            ),
-        )
-
-    pair = lambda a: F.struct(a.alias("w"), lower(a).alias("l"))
-    cleaned = on(
-        pair(words_of(col)),
-        lambda s: on(
-            pair(_collapse_phrases(s["w"], s["l"])), lambda q: parts_of(_drop_long_runs(q["w"], q["l"]))
-        ),
-    )
-    return F.when(strip(col) == "", col).otherwise(cleaned)
+    return F.transform(left, lambda t: F.get(items, F.substring_index(t, "\x01", -1).cast("int")))
 
 
 # Day names, day suffixes and phonetic corrections.

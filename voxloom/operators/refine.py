@@ -18,8 +18,35 @@ ORDER = ["utt_no", "part", "sub"]
 CONTENT = ["speaker_id", "start_time", "end_time", "text"]
 
 
+def _rebuild(rows: DataFrame, pattern: str, rule, glue: str) -> DataFrame:
+    """Apply a list rule to the pieces of ``_j`` where its lower-case form shows a repeat."""
+    rows = rows.withColumn("_l", F.lower("_j"))
+    shorter = F.array_join(rule(F.split("_j", glue), F.split("_l", glue)), glue)
+    return rows.withColumn("_j", F.when(F.col("_l").rlike(pattern), shorter).otherwise(F.col("_j")))
+
+
+def clean_repetition(utterances: DataFrame) -> DataFrame:
+    """Remove runs of three or more equal phrases, words and comma parts.
+
+    White space collapses to single blanks and commas are re-spaced; a text of
+    blanks only stays. Only texts in which a pattern finds a repeat are rebuilt
+    word by word.
+    """
+    rows = utterances.withColumn("_w", T.words_of(F.col("text")))
+    rows = rows.withColumn("_j", F.array_join("_w", " "))
+    rows = _rebuild(rows, T.PHRASE_REPEATS, T.collapse_phrases, " ")
+    rows = _rebuild(rows, T.WORD_REPEATS, T.drop_long_runs, " ")
+    parts = F.array_join(F.array_remove(F.split("_j", " *, *"), ""), ", ")
+    rows = rows.withColumn("_p", F.when(F.col("_j").contains(","), parts).otherwise(F.col("_j")))
+    rows = rows.withColumn("_j", F.when(F.col("_p") == "", F.col("_j")).otherwise(F.col("_p")))
+    rows = _rebuild(rows, T.PART_REPEATS, T.drop_long_runs, ", ")
+    text = F.when(F.size("_w") == 0, F.col("text")).otherwise(F.col("_j"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in utterances.columns])
+
+
 def clean_text(utterances: DataFrame) -> DataFrame:
-    return utterances.withColumn("text", T.normalise_turkish(T.clean_repetition(F.col("text"))))
+    rows = clean_repetition(utterances)
+    return rows.withColumn("text", T.normalise_turkish(F.col("text")))
 
 
 def _explode(rows: DataFrame, columns: Sequence[str], pieces: Column, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session.apply(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 # --- words, speakers, utterances -------------------------------------------------
@@ -173,8 +179,7 @@ def validate_inputs(spark, sf):
 @query
 def clean_repetition(spark, sf):
     """Steps 2 and 3 are checked by SQL; phrases are unit-tested."""
-    u = D.utterances(spark, sf)
-    return u.select("recording_id", "utt_no", T.clean_repetition(F.col("text")).alias("text"))
+    return refine.clean_repetition(D.utterances(spark, sf).select("recording_id", "utt_no", "text"))
 
 
 @query

@@ -22,6 +22,12 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def apply(spark: SparkSession) -> None:
+    """Set the same on a running session; times are UTC throughout."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
