@@ -37,8 +37,8 @@ def little_endian(raw: Column) -> Column:
     return F.conv(F.concat(pair(3), pair(2), pair(1), pair(0)), 16, 10).cast("bigint")
 
 
-def _chunk(content: Column, name: bytes, limit: int = 64) -> Column:
-    """Offset of a RIFF chunk found by walking the chunk list; null if absent."""
+def _chunk(content: Column, name: bytes, limit: int = 256) -> Column:
+    """Offset of a RIFF chunk found by walking the chunk list (``limit`` chunks at most); null if absent."""
     size = lambda at: F.coalesce(little_endian(_at(content, at + 4, 4)), F.lit(0))
     step = lambda at, _: F.when(
         _is(content, at, name) | (at + 8 > F.length(content)), at
