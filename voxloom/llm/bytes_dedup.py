@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxloom.llm.common import Rolling, map_arrow, sliding_min, union_runs, written
-from voxloom.llm.packed import FLAG, flagged, lean, spans_of, with_spans
+from voxloom.llm.packed import FLAG, body_of, flagged, lean, spans_of, with_spans
 from voxloom.llm.suffixes import grouped, refine
 
 LENGTH = 100
 GRAM = 16
 BREAK = 255  # in no UTF-8 text
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 PLACE_BITS = np.uint64(28)
 
 
@@ -179,7 +179,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for i, body in enumerate(batch.column("body")):
-                text = body.as_py()
+                text = body_of(body)
                 first, last = spans_of(batch.column("spans"), i)
                 start, end = union_runs(first, last + length)
                 digest, at = hashlib.sha256(), 0

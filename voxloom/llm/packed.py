@@ -23,16 +23,34 @@ RUN = np.dtype([("order", "<i8"), ("key", "<i8"), ("first", "<i8"), ("windows",
 FLAG = np.dtype([("order", "<i8"), ("key", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
+LEVEL = 6
+
+
+def _columns(rows: np.ndarray) -> bytes:
+    """Field by field, the orders as differences: what repeats or grows slowly packs well."""
+    return b"".join((np.diff(rows[f], prepend=0) if f in ("order", "key") else rows[f]).tobytes() for f in rows.dtype.names)
+
+
+def _rows(body: bytes, kind: np.dtype, n: int, at: int) -> tuple[np.ndarray, int]:
+    rows = np.zeros(n, kind)
+    for f in kind.names:
+        cell = np.frombuffer(body, kind[f], n, at)
+        rows[f] = np.cumsum(cell) if f in ("order", "key") else cell
+        at += cell.nbytes
+    return rows, at
+
+
 def pack(runs: np.ndarray, strings: list[bytes], flags: np.ndarray) -> bytes:
-    body = struct.pack("<qq", len(runs), len(flags)) + runs.tobytes() + flags.tobytes() + b"".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    body = struct.pack("<qq", len(runs), len(flags)) + _columns(runs) + _columns(flags) + b"".join(strings)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(body)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     body = zstandard.ZstdDecompressor().decompress(blob)
     n, m = struct.unpack_from("<qq", body)
-    at = 16 + n * RUN.itemsize
-    return np.frombuffer(body, RUN, n, 16), np.frombuffer(body, FLAG, m, at), body[at + m * FLAG.itemsize :]
+    runs, at = _rows(body, RUN, n, 16)
+    flags, at = _rows(body, FLAG, m, at)
+    return runs, flags, body[at:]
 
 
 def order_of(doc_id: int | None) -> int:
@@ -117,15 +135,29 @@ def flagged(docs: DataFrame, cut: Cut, find: Callable, same_document: bool, buck
 
 
 def with_spans(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``: pairs (first, last) flagged in the row, as one binary of 64-bit numbers (null: none)."""
+    """doc_id, key, body (packed, see ``body_of``) and ``spans``, the pairs (first, last) flagged in the row (null: none)."""
+
+    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for part in blocks(batches, ["doc_id", "key", "body"], "body"):
+            yield part | {"body": [packer.compress(body) for body in part["body"]]}
+
+    small = map_arrow(docs, squeeze, "doc_id long, key long, body binary")
     packed = flags.groupBy("_order", "_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     order = F.coalesce(F.col("doc_id"), F.lit(int(LAST)))
-    return docs.join(packed, (docs["key"] == packed["_key"]) & (order == packed["_order"]), "left").drop("_order", "_key")
+    return small.join(packed, (small["key"] == packed["_key"]) & (order == packed["_order"]), "left").drop("_order", "_key")
+
+
+def body_of(cell: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(cell.as_py())
 
 
 def lean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, body. The key tells rows of one id apart; where every id is there once, it is 0 throughout."""
     text: Column = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), text).alias("key"), payload(text).alias("body"))
+    again = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    key = row_key(F.col(id_col), text) if again else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), payload(text).alias("body"))
 
 
 def spans_of(rows: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:

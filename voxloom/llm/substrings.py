@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Rolling, map_arrow, mix, row_key, sliding_min, union_runs, written
-from voxloom.llm.packed import FLAG, flagged, lean, spans_of, with_spans
+from voxloom.llm.common import Rolling, map_arrow, mix, payload, sliding_min, union_runs, written
+from voxloom.llm.packed import FLAG, body_of, flagged, lean, spans_of, with_spans
 
 WINDOW = 13
 SEED_WORDS = 3
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 SPACE, BREAK = 32, 10
 
 
@@ -127,7 +128,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_words": [], "n_removed": [], "kept_sha256": [], "n_spans": []}
             for i, body in enumerate(batch.column("body")):
-                words = body.as_py().split()
+                words = body_of(body).split()
                 start, end = _removed(len(words), *spans_of(batch.column("spans"), i), window)
                 kept, at = [], 0
                 for s, e in zip(start.tolist(), end.tolist(), strict=True):
@@ -151,9 +152,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {"_id": [], "_k": [], "_new": []}
+            out: dict[str, list] = {"_id": [], "_text": [], "_new": []}
             for i, body in enumerate(batch.column("body")):
-                text = body.as_py()
+                text = body_of(body)
                 raw = np.frombuffer(text, np.uint8)
                 space = (raw == SPACE) | ((raw >= 9) & (raw <= 13))
                 begin = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)) < 0)
@@ -165,14 +166,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     at = edge[e]
                 kept.append(text[at:])
                 out["_id"].append(batch.column("doc_id")[i])
-                out["_k"].append(batch.column("key")[i])
+                out["_text"].append(zlib.crc32(text))
                 out["_new"].append(b"".join(kept))
-            yield {k: [x.as_py() if isinstance(x, pa.Scalar) else x for x in v] for k, v in out.items()}
+            yield out | {"_id": [x.as_py() for x in out["_id"]]}
 
     found = repeated_windows(docs, window=window).where("spans is not null")
-    changed = map_arrow(found, work, "_id long, _k long, _new binary").dropDuplicates(["_id", "_k"])
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(changed, (keyed["_key"] == changed["_k"]) & keyed["doc_id"].eqNullSafe(changed["_id"]), "left")
+    changed = map_arrow(found, work, "_id long, _text long, _new binary").dropDuplicates(["_id", "_text"])
+    keyed = docs.withColumn("_crc", F.crc32(payload(F.col("text"))))
+    joined = keyed.join(changed, (keyed["_crc"] == changed["_text"]) & keyed["doc_id"].eqNullSafe(changed["_id"]), "left")
     new = F.col("_new").cast("string")
     joined = joined.where(F.col("_new").isNull() | new.rlike(r"[^\x20\x09-\x0D]"))
     columns = {"text": F.when(F.col("_new").isNull(), F.col("text")).otherwise(new)}
