@@ -83,16 +83,19 @@ def prefix_classes(text: np.ndarray, length: int) -> np.ndarray:
     border[fresh] = True
     asked = np.flatnonzero(~border)
     low, high = onward[asked - 1], onward[asked]
+    newly = np.zeros(n, bool)
     for _ in range(1, length):
         if not len(fresh) or not len(asked):
             break
-        if len(fresh) * 8 > n:
-            upto = np.zeros(n, np.int32)
-            upto[fresh] = 1
-            upto = np.cumsum(upto, dtype=np.int32)
-            met = upto[high] > upto[low]
-        else:
-            met = np.searchsorted(fresh, high, "right") > np.searchsorted(fresh, low, "right")
+        newly[fresh] = True
+        met = newly[high]
+        wide = np.flatnonzero(~met & (high - low > 1))  # several borders in between: is one of them new?
+        if len(wide) * 16 > n:
+            upto = np.cumsum(newly, dtype=np.int32)
+            met[wide] = upto[high[wide]] > upto[low[wide]]
+        elif len(wide):
+            met[wide] = np.searchsorted(fresh, high[wide], "right") > np.searchsorted(fresh, low[wide], "right")
+        newly[fresh] = False
         fresh = asked[met]
         border[fresh] = True
         asked, low, high = asked[~met], low[~met], high[~met]
@@ -101,6 +104,22 @@ def prefix_classes(text: np.ndarray, length: int) -> np.ndarray:
     return number
 
 
+def _may_match(raw: np.ndarray, runs: np.ndarray, start: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Drops runs that share no window with another. Equal windows agree on the anchor and on ``length`` - ``gram`` bytes
+    around it, so on half of these before it or on half behind it."""
+    half = (length - gram + 1) // 2
+    odd = np.random.default_rng(1).integers(0, 2**63, half + gram, np.uint64) * np.uint64(2) + np.uint64(1)
+    shared = np.zeros(len(runs), bool)
+    at = start + runs["anchor"]
+    for first, fits in ((at, runs["anchor"] + gram + half <= runs["bytes"]), (at - half, runs["anchor"] >= half)):
+        own = np.flatnonzero(fits)
+        if len(own):
+            value = (raw[first[own][:, None] + np.arange(half + gram)].astype(np.uint64) * odd).sum(1, dtype=np.uint64)
+            _, kind, count = np.unique(value, return_inverse=True, return_counts=True)
+            shared[own] |= count[kind] > 1
+    return shared
+
+
 def _finder(length: int, gram: int):
     def find(runs: np.ndarray, data: bytes, start: np.ndarray) -> np.ndarray:
         """Windows that also start earlier, as flags: rows of equal anchors only, each different string once."""
@@ -113,9 +132,11 @@ def _finder(length: int, gram: int):
         fresh = np.r_[True, (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])]
         group = np.cumsum(fresh) - 1
         picked = np.sort(by[np.bincount(group)[group] > 1])
-        if not len(picked):
-            return np.zeros(0, FLAG)
         runs, start = runs[picked], start[picked]
+        sure = _may_match(raw, runs, start, length, gram)
+        runs, start = runs[sure], start[sure]
+        if not len(runs):
+            return np.zeros(0, FLAG)
         priority = np.lexsort((runs["first"], runs["key"], runs["order"]))
         runs, start = runs[priority], start[priority]
         kinds: dict[tuple[bytes, int], int] = {}
