@@ -152,12 +152,16 @@ def body_of(cell: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(cell.as_py())
 
 
-def lean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, body. The key tells rows of one id apart; where every id is there once, it is 0 throughout."""
-    text: Column = F.col(text_col)
+def key_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart; where every id is there once, it is 0 throughout."""
     again = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    key = row_key(F.col(id_col), text) if again else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), payload(text).alias("body"))
+    return row_key(F.col(id_col), F.col(text_col)) if again else F.lit(0).cast("long")
+
+
+def lean(docs: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """doc_id, key, body."""
+    key = key_of(docs, id_col, text_col) if key is None else key
+    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), payload(F.col(text_col)).alias("body"))
 
 
 def spans_of(rows: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Rolling, map_arrow, mix, payload, sliding_min, union_runs, written
-from voxloom.llm.packed import FLAG, body_of, flagged, lean, spans_of, with_spans
+from voxloom.llm.common import LAST, Rolling, map_arrow, mix, sliding_min, union_runs, written
+from voxloom.llm.packed import FLAG, body_of, flagged, key_of, lean, spans_of, with_spans
 
 WINDOW = 13
 SEED_WORDS = 3
@@ -145,38 +145,40 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(repeated_windows(docs, id_col, text_col, window), work, schema)
 
 
+def cut_words(text: str, spans: list[int], window: int) -> str:
+    """``text`` without the words that windows cover; ``spans`` are first and last windows in turn."""
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    space = (raw == SPACE) | ((raw >= 9) & (raw <= 13))
+    begin = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)) < 0)
+    pairs = np.asarray(spans, np.int64).reshape(-1, 2)
+    start, end = _removed(len(begin), pairs[:, 0], pairs[:, 1], window)
+    edge = np.r_[begin, len(raw)].tolist()
+    kept, at = [], 0
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        kept.append(data[at : edge[s]])
+        at = edge[e]
+    return b"".join([*kept, data[at:]]).decode()
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated words taken out of ``text`` and n_chars, where there
-    is one, counted anew. What stands between kept words stays; a text that loses nothing is unchanged; one that loses
-    every word becomes empty and its row goes."""
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            out: dict[str, list] = {"_id": [], "_text": [], "_new": []}
-            for i, body in enumerate(batch.column("body")):
-                text = body_of(body)
-                raw = np.frombuffer(text, np.uint8)
-                space = (raw == SPACE) | ((raw >= 9) & (raw <= 13))
-                begin = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)) < 0)
-                start, end = _removed(len(begin), *spans_of(batch.column("spans"), i), window)
-                edge = np.r_[begin, len(raw)].tolist()
-                kept, at = [], 0
-                for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                    kept.append(text[at : edge[s]])
-                    at = edge[e]
-                kept.append(text[at:])
-                out["_id"].append(batch.column("doc_id")[i])
-                out["_text"].append(zlib.crc32(text))
-                out["_new"].append(b"".join(kept))
-            yield out | {"_id": [x.as_py() for x in out["_id"]]}
-
-    found = repeated_windows(docs, window=window).where("spans is not null")
-    changed = map_arrow(found, work, "_id long, _text long, _new binary").dropDuplicates(["_id", "_text"])
-    keyed = docs.withColumn("_crc", F.crc32(payload(F.col("text"))))
-    joined = keyed.join(changed, (keyed["_crc"] == changed["_text"]) & keyed["doc_id"].eqNullSafe(changed["_id"]), "left")
-    new = F.col("_new").cast("string")
-    joined = joined.where(F.col("_new").isNull() | new.rlike(r"[^\x20\x09-\x0D]"))
-    columns = {"text": F.when(F.col("_new").isNull(), F.col("text")).otherwise(new)}
+    is one, counted anew. What stands between kept words stays; a text that loses nothing is unchanged; the row of one
+    that loses every word goes."""
+    key = key_of(docs, "doc_id", "text")
+    flags = flagged(lean(docs, "doc_id", "text", key), _cutter(window, min(SEED_WORDS, window)), _finder(window), False, BUCKET_BYTES)
+    packed = written(flags, "spans").groupBy("_order", "_key").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("_spans"))
+    own = docs.withColumn("_own", key).withColumn("_place", F.coalesce(F.col("doc_id"), F.lit(int(LAST))))
+    joined = own.join(packed, (own["_own"] == packed["_key"]) & (own["_place"] == packed["_order"]), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_words(t, s, window) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+    hit = F.col("_spans").isNotNull()
+    joined = joined.withColumn("_new", cut(F.when(hit, F.col("text")), "_spans"))
+    joined = joined.where(~hit | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {"text": F.when(hit, F.col("_new")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.char_length(new)).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(hit, F.char_length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
