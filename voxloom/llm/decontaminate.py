@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import row_key, written
+from voxloom.llm.common import bounded, row_key, written
 
 BITS = 64
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -26,11 +25,6 @@ def shingles(column: str, size: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if it was counted and has at most ``BROADCAST_ROWS`` rows; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def simhash(grams: DataFrame, keys: list[str]) -> DataFrame:
     """Fingerprint ``fp`` per key of a table with one row per shingle: a bit is set if more than half have it."""
     total = F.count("*")

@@ -8,18 +8,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm import files
-from voxloom.llm.common import LAST, blocks, map_arrow, mix, numbered, payload, written
+from voxloom.llm.common import LAST, blocks, bounded, grouped_arrow, map_arrow, mix, payload, written
 from voxloom.llm.tokens import END, encoder, paths
 from voxloom.session import shared_dir
 
 MAGIC = b"SLOT"
 HEAD = "<4sIQQ"  # magic, tokens of a record, first slot, records
 RECORD = "<qiI"  # document, piece, tokens used
-HEAD_BYTES, RECORD_BYTES = struct.calcsize(HEAD), struct.calcsize(RECORD)
+SLOTTED = "<qqiI"  # slot and the same, on the way to its shard
+HEAD_BYTES, RECORD_BYTES, SLOTTED_BYTES = struct.calcsize(HEAD), struct.calcsize(RECORD), struct.calcsize(SLOTTED)
 SHARD_RECORDS = 8192
 
 
@@ -73,50 +75,54 @@ def materialise(
     t // shard_records at the byte of record t % shard_records. Shards are written whole and moved into place, so a
     repeated task changes nothing. Null and empty texts are a sequence of the end id; a null id is written as the largest number.
     """
-    made = written(sequences(docs, stride, id_col, text_col, vocabulary), "sequences")
-    total = made.count()
-
-    order = [F.col(c) for c in ("doc_id", "piece", "n_tokens", "ids")]
-    lean = numbered(made.withColumn("_tie", F.xxhash64("doc_id", "piece", "ids")), order, F.col("_tie"), "index").drop("_tie")
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            out = {name: batch.column(name) for name in ("doc_id", "piece", "n_tokens", "ids")}
-            out["slot"] = permuted(batch.column("index").to_numpy(), total, key)
-            out["shard"] = out["slot"] // shard_records
-            yield out
-
-    slots = map_arrow(lean, place, "doc_id long, piece int, n_tokens int, ids binary, slot long, shard long")
-    shards = max(1, -(-total // shard_records))
-    dealt = slots.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    spark = docs.sparkSession
+    source = shared_dir(spark, "sequences")
+    packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+    sequences(docs, stride, id_col, text_col, vocabulary).write.options(**packed).parquet(source)
+    made = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+
+    # numbers without gaps: the rows of the files before, and the row in its own file
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = written(made.groupBy("file").agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    starts = sizes.select(F.col("file").alias("_file"), F.coalesce(before, F.lit(0)).alias("_from"))
+    starts = bounded(starts, sizes.count())
+    dealt = made.join(starts, made["file"] == starts["_file"]).select("doc_id", "piece", "n_tokens", "ids", (F.col("_from") + F.col("nth")).alias("index"))
     size = RECORD_BYTES + 2 * stride
 
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[bytes] = []
-        now, first, done = None, 0, []
-
-        def close() -> None:
-            path = f"{folder}/shard-{now:08d}.bin"
-            body = struct.pack(HEAD, MAGIC, stride, first, len(held)) + b"".join(held)
-            files.put(path, lambda out: out.write(body))
-            done.append((now, path, first, len(held), len(body), zlib.crc32(body)))
-
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
-            columns = [batch.column(name) for name in ("shard", "slot", "doc_id", "piece", "n_tokens", "ids")]
-            for shard, slot, doc_id, piece, n, ids in zip(*columns, strict=True):
-                if shard.as_py() != now:
-                    if held:
-                        close()
-                    now, first, held = shard.as_py(), slot.as_py(), []
-                own = doc_id.as_py()
-                record = struct.pack(RECORD, int(LAST) if own is None else own, piece.as_py(), n.as_py()) + ids.as_py()
-                held.append(record.ljust(size, b"\0"))
-        if held:
-            close()
-        names = ("shard", "path", "first_slot", "n_records", "bytes", "crc32")
-        yield {name: [row[i] for row in done] for i, name in enumerate(names)}
-
-    return written(map_arrow(dealt, write, "shard long, path string, first_slot long, n_records long, bytes long, crc32 long"), "shards")
+            slot = permuted(batch.column("index").to_numpy(), total, key)
+            shard = slot // shard_records
+            by = np.argsort(shard, kind="stable")
+            columns = [batch.column(name) for name in ("doc_id", "piece", "n_tokens", "ids")]
+            for own in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+                if len(own):
+                    rows = [struct.pack(SLOTTED, slot[i], LAST if (d := columns[0][i].as_py()) is None else d, columns[1][i].as_py(), columns[2][i].as_py()) for i in own.tolist()]
+                    body = b"".join(rows) + b"".join(columns[3][i].as_py() for i in own.tolist())
+                    yield {"shard": [shard[own[0]]], "blob": [packer.compress(struct.pack("<q", len(own)) + body)]}
+
+    def write(group: pa.Table) -> dict:
+        shard = group.column("shard")[0].as_py()
+        first = shard * shard_records
+        count = min(shard_records, total - first)
+        out = bytearray(count * size)
+        for blob in group.column("blob"):
+            body = zstandard.ZstdDecompressor().decompress(blob.as_py())
+            n = struct.unpack_from("<q", body)[0]
+            at = 8 + n * SLOTTED_BYTES
+            for slot, doc_id, piece, used in struct.iter_unpack(SLOTTED, body[8:at]):
+                record = struct.pack(RECORD, doc_id, piece, used) + body[at : at + 2 * used]
+                out[(slot - first) * size : (slot - first) * size + len(record)] = record
+                at += 2 * used
+        path = f"{folder}/shard-{shard:08d}.bin"
+        body = struct.pack(HEAD, MAGIC, stride, first, count) + bytes(out)
+        files.put(path, lambda stream: stream.write(body))
+        return {"shard": [shard], "path": [path], "first_slot": [first], "n_records": [count], "bytes": [len(body)], "crc32": [zlib.crc32(body)]}
+
+    sent = map_arrow(dealt, place, "shard long, blob binary")
+    return written(grouped_arrow(sent, "shard", write, "shard long, path string, first_slot long, n_records long, bytes long, crc32 long"), "shards")
 
 
 def read_shards(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
