@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import files
-from voxloom.llm.common import map_arrow, payload, written
+from voxloom.llm.common import blocks, map_arrow, payload, written
 from voxloom.session import shared_dir
 
 # Fixed values of the two formats.
@@ -159,22 +159,33 @@ def parsed(frame: bytes) -> dict:
     return {"fields": fields, "payload": body, "payload_bytes": length if length is not None else len(body), "payload_digest": own}
 
 
+def _squeezed(pages: DataFrame) -> DataFrame:
+    """page_id, url, n_bytes, digest and the packed payload of each row (page_id, url, body)."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for part in blocks(batches, ["page_id", "url", "body"], "body"):
+            bodies = part.pop("body")
+            yield part | {"n_bytes": [len(b) for b in bodies], "digest": [digest(b) for b in bodies], "packed": [packer.compress(b) for b in bodies]}
+
+    return map_arrow(pages, work, "page_id long, url string, n_bytes long, digest string, packed binary")
+
+
 def referred(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, body) with payload_hex, refers_to and refers_url: of equal payloads of at least
-    ``least_bytes`` the one with the largest page_id is the response (all its rows, if repeated), others refer to it."""
-    sized = pages.withColumn("payload_hex", F.sha1("body"))
-    large = sized.where(F.length("body") >= least_bytes)
-    top = large.groupBy("payload_hex").agg(F.max(F.struct("page_id", "url")).alias("top")).where("top.page_id is not null")
-    top = top.select(F.col("payload_hex").alias("_hex"), F.col("top.page_id").alias("_top"), F.col("top.url").alias("_url"))
-    joined = sized.join(top, (sized["payload_hex"] == top["_hex"]) & (F.length("body") >= least_bytes), "left")
+    """Rows of ``_squeezed`` with refers_to and refers_url: of equal payloads of at least ``least_bytes`` the one with the
+    largest page_id is the response (all its rows, if repeated), others refer to it."""
+    large = pages.where(F.col("n_bytes") >= least_bytes)
+    top = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("top")).where("top.page_id is not null")
+    top = top.select(F.col("digest").alias("_digest"), F.col("top.page_id").alias("_top"), F.col("top.url").alias("_url"))
+    joined = pages.join(top, (pages["digest"] == top["_digest"]) & (pages["n_bytes"] >= least_bytes), "left")
     other: Column = F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top"))
-    return joined.select("page_id", "url", "body", "payload_hex", F.when(other, F.col("_top")).alias("refers_to"), F.when(other, F.col("_url")).alias("refers_url"))
+    return joined.select("page_id", "url", "packed", "digest", F.when(other, F.col("_top")).alias("refers_to"), F.when(other, F.col("_url")).alias("refers_url"))
 
 
 def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes an archive per task below ``folder``; returns path, n_records and bytes of each. Null html is an empty payload."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload(F.col(html_col)).alias("body"))
-    spread = referred(rows, least_bytes).repartition(F.xxhash64("page_id", "payload_hex"))
+    spread = referred(_squeezed(rows), least_bytes).repartition(F.xxhash64("page_id", "digest"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         context = TaskContext.get()
@@ -187,12 +198,12 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 yield from one_batch(batch)
 
         def one_batch(batch: pa.RecordBatch) -> Iterator[bytes]:
-            columns = [batch.column(c) for c in ("page_id", "url", "body", "payload_hex", "refers_to", "refers_url")]
-            for page, url, body, hexed, refers, refers_url in zip(*columns, strict=True):
-                own = base64.b32encode(bytes.fromhex(hexed.as_py())).decode()
-                yield record(page.as_py(), url.as_py(), body.as_py(), own, refers.as_py(), refers_url.as_py())
+            columns = [batch.column(c) for c in ("page_id", "url", "packed", "digest", "refers_to", "refers_url")]
+            for page, url, packed, own, refers, refers_url in zip(*columns, strict=True):
+                body = unpack(packed.as_py())
+                yield record(page.as_py(), url.as_py(), body, own.as_py(), refers.as_py(), refers_url.as_py())
 
-        source = iter(batches)
+        source, unpack = iter(batches), zstandard.ZstdDecompressor().decompress
         head = next((b for b in source if b.num_rows), None)
         if head is None:
             yield {"path": [], "n_records": []}
@@ -210,6 +221,7 @@ def read_warcs(archives: DataFrame, path_col: str = "path") -> DataFrame:
     that names the archive.
     """
     wanted = archives.select(F.col(path_col).alias("path"))
+    tasks = max(1, 2 * wanted.count())
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
     def number(text: str | None) -> int | None:
@@ -232,7 +244,7 @@ def read_warcs(archives: DataFrame, path_col: str = "path") -> DataFrame:
                         raise WarcError(f"{path}: {e}") from e
                 yield {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    return map_arrow(wanted.repartition(F.xxhash64("path")), work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_arrow(wanted.repartition(tasks, "path"), work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
