@@ -36,6 +36,16 @@ def payload(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """Whole rows as column ``_row``, so that no column of theirs meets a name used here."""
+    return docs.select(F.struct("*").alias("_row"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share an id but not a text; equal rows share it."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))

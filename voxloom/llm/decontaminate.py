@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import bounded, row_key, written
+from voxloom.llm.common import bounded, boxed, row_key, unboxed, written
 
 BITS = 64
 
@@ -120,7 +120,6 @@ def contaminated_windows(
 def without_benchmark(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the documents that hold a window of an item."""
     found = written(contaminated_windows(docs, items, **options).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "found")
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    hit = bounded(found, found.count())
-    left = keyed.join(hit, (keyed["_key"] == hit["_k"]) & keyed["doc_id"].eqNullSafe(hit["_d"]), "left_anti")
-    return left.select(*docs.columns)
+    id_ = F.col("_row.doc_id")
+    same = (row_key(id_, F.col("_row.text")) == F.col("_k")) & id_.eqNullSafe(F.col("_d"))
+    return unboxed(boxed(docs).join(bounded(found, found.count()), same, "left_anti"), docs)

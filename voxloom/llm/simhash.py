@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, map_arrow, payload, row_key, written
+from voxloom.llm.common import blocks, boxed, map_arrow, payload, row_key, unboxed, written
 
 BITS = 64
 
@@ -215,11 +215,8 @@ def near_duplicates_out(
     an id only where no other is). The narrow first pass shrinks large groups, so the wide ones meet few of their members. Of
     rows equal in id and text one stays; null and empty texts are copies of each other.
     """
-    own = list(docs.columns)
-    key = row_key(F.col("doc_id"), F.col("text"))
-    left = docs.withColumn("_k", key)
-    left = left.dropDuplicates(["_k"])
+    left = boxed(docs).withColumn("_k", row_key(F.col("_row.doc_id"), F.col("_row.text"))).dropDuplicates(["_k"])
     for radius, seed in passes:
-        gone = written(_one_pass(left.select("doc_id", "text"), shingle, least, radius, seed), "gone")
-        left = left.join(gone, left["_k"] == gone["_gone"], "left_anti")
-    return left.select(*own)
+        gone = written(_one_pass(left.select("_row.doc_id", "_row.text"), shingle, least, radius, seed), "gone")
+        left = left.join(gone, F.col("_k") == F.col("_gone"), "left_anti")
+    return unboxed(left, docs)

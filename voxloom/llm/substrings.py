@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import LAST, Rolling, map_arrow, mix, sliding_min, union_runs, written
+from voxloom.llm.common import LAST, Rolling, map_arrow, mix, sliding_min, unboxed, union_runs, written
 from voxloom.llm.packed import FLAG, body_of, flagged, key_of, lean, spans_of, with_spans
 
 WINDOW = 13
@@ -168,17 +168,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = key_of(docs, "doc_id", "text")
     flags = flagged(lean(docs, "doc_id", "text", key), _cutter(window, min(SEED_WORDS, window)), _finder(window), False, BUCKET_BYTES)
     packed = written(flags, "spans").groupBy("_order", "_key").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("_spans"))
-    own = docs.withColumn("_own", key).withColumn("_place", F.coalesce(F.col("doc_id"), F.lit(int(LAST))))
-    joined = own.join(packed, (own["_own"] == packed["_key"]) & (own["_place"] == packed["_order"]), "left")
+    id_, text = F.col("_row.doc_id"), F.col("_row.text")
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_own"))
+    joined = keyed.join(packed, (F.col("_own") == F.col("_key")) & (F.coalesce(id_, F.lit(int(LAST))) == F.col("_order")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_words(t, s, window) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     hit = F.col("_spans").isNotNull()
-    joined = joined.withColumn("_new", cut(F.when(hit, F.col("text")), "_spans"))
+    joined = joined.withColumn("_new", cut(F.when(hit, text), "_spans"))
     joined = joined.where(~hit | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    columns = {"text": F.when(hit, F.col("_new")).otherwise(F.col("text"))}
+    changed = {"text": F.when(hit, F.col("_new")).otherwise(text)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(hit, F.char_length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.when(hit, F.char_length("_new")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unboxed(joined, docs, **changed)
