@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,13 @@ def blocks(batches: Iterable[pa.RecordBatch], columns: list[str], size: str, lim
             yield held
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and idle ones would go on holding it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a generator of column dictionaries."""
     names = [part.split()[0] for part in schema.split(",")]
@@ -79,6 +88,7 @@ def map_arrow(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -91,7 +101,9 @@ def grouped_arrow(df: DataFrame, key: str, work: Callable[[pa.Table], dict], sch
 
     def run(group: pa.Table) -> pa.Table:
         out = work(group)
-        return pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        table = pa.table([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
+        return table
 
     return df.groupBy(key).applyInArrow(run, schema)
 

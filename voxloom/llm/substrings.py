@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,9 +171,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("_row"), key.alias("_own"))
     joined = keyed.join(packed, (F.col("_own") == F.col("_key")) & (F.coalesce(id_, F.lit(int(LAST))) == F.col("_order")), "left")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cut_words(t, s, window) for t, s in zip(text, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([None if t is None else cut_words(t, s, window) for t, s in rows], pa.string())
 
     hit = F.col("_spans").isNotNull()
     joined = joined.withColumn("_new", cut(F.when(hit, text), "_spans"))
