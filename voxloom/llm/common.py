@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from voxloom.session import shared_dir
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
+ARROW_BYTES = "8m"
 BROADCAST_ROWS = 1_000_000
 LAST = np.int64(2**63 - 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -72,6 +73,11 @@ def blocks(batches: Iterable[pa.RecordBatch], columns: list[str], size: str, lim
             yield held
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of its input at once, in the JVM and in Python, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and idle ones would go on holding it."""
     pa.default_memory_pool().release_unused()
@@ -90,6 +96,7 @@ def map_arrow(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -105,6 +112,7 @@ def grouped_arrow(df: DataFrame, key: str, work: Callable[[pa.Table], dict], sch
         give_back()
         return table
 
+    small_batches(df.sparkSession)
     return df.groupBy(key).applyInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ RUN = np.dtype([("order", "<i8"), ("key", "<i8"), ("first", "<i8"), ("windows",
 FLAG = np.dtype([("order", "<i8"), ("key", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
-LEVEL = 1
+LEVEL = 3
 
 
 def _columns(rows: np.ndarray) -> bytes:
