@@ -9,7 +9,7 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from voxloom.session import configure
 
     builder = SparkSession.builder.master("local[8]").appName("tests")
@@ -19,6 +19,7 @@ def spark():
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+    builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session = configure(builder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

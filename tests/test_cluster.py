@@ -65,9 +65,9 @@ def test_linkage_large_equals_small(spark):
         assert small == large
 
 
-def test_bisect_large_equals_small(spark):
+def test_bisect_is_the_same_in_any_blocks(spark):
     df, _ = make(spark, [70, 12], speakers=2, seed=1, noise=0.9)
-    assert labels(cluster.cluster_bisect(df)) == labels(cluster.cluster_bisect(df, max_rows=10))
+    assert labels(cluster.cluster_bisect(df)) == labels(cluster.cluster_bisect(df, block_rows=10))
 
 
 def test_bisect_separates_two_speakers(spark):

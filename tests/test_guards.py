@@ -114,3 +114,14 @@ def test_wav_metadata_and_scan(spark, tmp_path):
     assert (c.channels, c.sample_rate, c.frames, c.duration_sec, c.format, c.file_size_bytes) == (1, 16000, None, 0.0, "MP3", 23)
     assert got["c.mp3"].container == "MP3"
     assert tables.scan_recordings(spark, str(tmp_path), "*.wav", metadata=False).count() == 2
+
+
+def test_wav_chunks_beyond_the_first_hundreds(spark):
+    import struct
+
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16)
+    small = (b"junk" + struct.pack("<I", 2) + b"xx") * 300
+    body = b"WAVE" + small + fmt + b"data" + struct.pack("<I", 40) + b"\0" * 40
+    blob = b"RIFF" + struct.pack("<I", len(body)) + body
+    got = spark.createDataFrame([(blob, "a.wav")], "content binary, path string").select(audio.wav_metadata(F.col("content"), F.col("path")).alias("m")).first().m
+    assert (got.channels, got.sample_rate, got.frames) == (2, 8000, 10)

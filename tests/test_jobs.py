@@ -36,7 +36,7 @@ def test_fencing(spark):
     results = spark.createDataFrame([(1, a), (1, b), (1, None), (2, a), (3, a), (3, b), (4, None), (9, a)], "job_id bigint, token timestamp_ntz")
     got = sorted((r.job_id, str(r.token), r.verdict) for r in jobs.completion_verdicts(state, results).collect())
     assert got == sorted([
-        (1, str(a), "stale"), (1, str(b), "applied"), (1, "None", "applied"), (2, str(a), "applied"), (3, str(a), "already_done"),
+        (1, str(a), "stale"), (1, str(b), "already_done"), (1, "None", "applied"), (2, str(a), "applied"), (3, str(a), "already_done"),
         (3, str(b), "stale"), (4, "None", "stale"), (9, str(a), "missing")])
 
 
@@ -123,3 +123,10 @@ def test_contracts(spark):
         contracts.check_schema(good.drop("speaker_id"), contracts.SEGMENTS)
     with pytest.raises(TypeError):
         contracts.check_schema(good.withColumn("start_time", F.lit("x")), contracts.SEGMENTS)
+
+
+def test_second_result_of_a_job_finds_it_done(spark):
+    job_rows = spark.createDataFrame([(1, "PROCESSING", None)], "job_id bigint, status string, processing_started_at timestamp")
+    results = spark.createDataFrame([(1, None, "a", 2), (1, None, "b", 1), (2, None, "c", 3)], "job_id bigint, token timestamp, payload string, at int")
+    got = {r.payload: r.verdict for r in jobs.completion_verdicts(job_rows, results, ["at"]).collect()}
+    assert got == {"b": "applied", "a": "already_done", "c": "missing"}

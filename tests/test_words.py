@@ -149,3 +149,15 @@ def test_analyse_gates(spark):
     assert {r.recording_id: r.gate for r in out.summaries.collect()} == {1: "single", 2: "short", 3: "diarise"}
     assert {r.recording_id: r.speaker_id for r in out.utterances.collect()} == {1: "SPEAKER_00", 2: "SPEAKER_UNKNOWN", 3: "SPEAKER_00"}
     assert plans.single_speaker_segments(plans.diarise_gate(rec)).select(F.max("end_time")).first()[0] == 30.0
+
+
+def test_words_without_times_are_kept(spark):
+    words = spark.createDataFrame(
+        [(1, 0, 0.0, 1.0, "a"), (1, 1, None, None, "b")], "recording_id bigint, pos bigint, start_time double, end_time double, word string"
+    )
+    segments = spark.createDataFrame(
+        [(1, 0, "S", 0.0, 2.0), (1, 1, "T", None, None)], "recording_id bigint, seg_no bigint, speaker_id string, start_time double, end_time double"
+    )
+    from voxloom.operators import intervals
+
+    assert intervals.attribute_words(words, segments).count() == 2

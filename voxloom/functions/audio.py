@@ -37,19 +37,20 @@ def little_endian(raw: Column) -> Column:
     return F.conv(F.concat(pair(3), pair(2), pair(1), pair(0)), 16, 10).cast("bigint")
 
 
-def _walk(content: Column, name: bytes, steps: int) -> Column:
+def _walk(content: Column, name: bytes, steps: Column) -> Column:
     """Offset of a RIFF chunk within the first ``steps`` chunks; null if it is not there."""
     size = lambda at: F.coalesce(little_endian(_at(content, at + 4, 4)), F.lit(0))
     step = lambda at, _: F.when(
         _is(content, at, name) | (at + 8 > F.length(content)), at
     ).otherwise(at + 8 + F.floor((size(at) + 1) / 2) * 2)
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(12).cast("bigint"), step)
+    found = F.aggregate(F.sequence(F.lit(1), steps), F.lit(12).cast("bigint"), step)
     return F.when(_is(content, found, name), found)
 
 
 def _chunk(content: Column, name: bytes) -> Column:
-    """The chunk is nearly always among the first few; only otherwise is the long walk (256 chunks) taken."""
-    return F.coalesce(_walk(content, name, 4), _walk(content, name, 256))
+    """The chunk is nearly always among the first few; only otherwise is every chunk of the file (8 bytes or more) walked."""
+    most = F.greatest(F.lit(1), F.floor(F.length(content) / 8).cast("int"))
+    return F.coalesce(_walk(content, name, F.lit(4)), _walk(content, name, most))
 
 
 def wav_metadata(content: Column, path: Column) -> Column:

@@ -39,41 +39,12 @@ def _by_size(windows: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame, b
 # --- two speakers: cosine k-means seeded along the first principal axis ---
 
 
-def bisect_labels(x: np.ndarray, max_iter: int = 50) -> np.ndarray:
-    if len(x) < 2:
-        return np.zeros(len(x), dtype=np.int64)
-    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
-    centred = unit - unit.mean(axis=0)
-    axis = _leading_axis(centred.T @ centred)
-    side = unit @ axis
-    seed = (side > np.median(side)).astype(np.int64)
-    labels = seed
-    centres = _centres(unit, labels)
-    for _ in range(max_iter):
-        new = (unit @ centres[1] > unit @ centres[0]).astype(np.int64)
-        if np.array_equal(new, labels):
-            return labels
-        if new.min() == new.max():
-            return seed
-        labels, centres = new, _centres(unit, new)
-    return labels
-
-
 def _leading_axis(scatter: np.ndarray) -> np.ndarray:
-    """Main eigenvector; its largest component is made positive, so both forms agree on the sign."""
+    """Main eigenvector; its largest component is made positive."""
     axis = np.linalg.eigh(scatter)[1][:, -1]
     return axis if axis[np.argmax(np.abs(axis))] > 0 else -axis
 
 
-def _centres(unit: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    means = []
-    for k in (0, 1):
-        member = unit[labels == k]
-        mean = member.mean(axis=0) if len(member) else np.zeros(unit.shape[1])
-        means.append(mean / (np.linalg.norm(mean) + 1e-8))
-    return np.vstack(means)
-
-
 def _label_group(fn):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
@@ -123,8 +94,8 @@ def _centroids(rows: DataFrame) -> DataFrame:
     return vec.groupBy(*REC).agg(pick(0), pick(1))
 
 
-def bisect_large(windows: DataFrame, max_iter: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distributed ``bisect_labels``: block sums for the axis, exact median, then rounds of assignment.
+def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Label 0 or 1 per window: block sums for the axis, exact median, then rounds of assignment.
 
     Every round is written to the shared folder; finished recordings keep their labels.
     """
@@ -163,13 +134,6 @@ def bisect_large(windows: DataFrame, max_iter: int = 50, block_rows: int = BLOCK
     return blocks.union_all(finished)
 
 
-def cluster_bisect(windows: DataFrame, max_iter: int = 50, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Label 0 or 1 per window."""
-    small, large, any_large = _by_size(windows.select(*REC, IDX, "embedding"), max_rows)
-    out = small.groupBy(*REC).applyInPandas(_label_group(lambda x: bisect_labels(x, max_iter)), LABELS)
-    return out.unionByName(bisect_large(large, max_iter)) if any_large else out
-
-
 # --- unknown number of speakers: average linkage over cosine distance ---
 #
 # For unit vectors the mean distance between two clusters is 1 - (Sa . Sb) / (na * nb)

@@ -28,8 +28,9 @@ def contains_timestamp(at: Column, start: Column, end: Column) -> Column:
 
 
 def bins(start: Column, end: Column, width: float) -> Column:
+    """One row per bin; a row without times keeps a row, in no bin."""
     lo, hi = F.floor(start / width), F.floor(end / width)
-    return F.explode(F.sequence(lo, F.greatest(lo, hi)))
+    return F.explode_outer(F.sequence(lo, F.greatest(lo, hi)))
 
 
 def attribute_words(

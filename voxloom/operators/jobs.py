@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import guards
@@ -80,9 +82,12 @@ def cascade_delete(
     )
 
 
-def completion_verdicts(jobs: DataFrame, results: DataFrame) -> DataFrame:
+def completion_verdicts(jobs: DataFrame, results: DataFrame, arrival: Sequence[Column | str] = ()) -> DataFrame:
     """Adds ``verdict`` to results (job_id, token, ...): applied, already_done, stale or missing.
 
+    Of several results that could be applied to one job the first by ``arrival`` (then by all columns) is; the
+    others find it done.
+
     A result counts only while its job is PROCESSING under the same claim
     token; a null token on either side is not checked.
     """
@@ -94,7 +99,11 @@ def completion_verdicts(jobs: DataFrame, results: DataFrame) -> DataFrame:
         .when((F.col("_s") == PROCESSING) & same, "applied")
         .otherwise("stale")
     )
-    return results.join(state, "job_id", "left").withColumn("verdict", verdict).drop("_s", "_p")
+    judged = results.join(state, "job_id", "left").withColumn("verdict", verdict).drop("_s", "_p")
+    order = [*arrival, *[c for c, kind in results.dtypes if not kind.startswith("map")]]
+    nth = F.row_number().over(Window.partitionBy("job_id", "verdict").orderBy(*order))
+    late = (F.col("verdict") == "applied") & (F.col("_nth") > 1)
+    return judged.withColumn("_nth", nth).withColumn("verdict", F.when(late, "already_done").otherwise(F.col("verdict"))).drop("_nth")
 
 
 def apply_completions(jobs: DataFrame, verdicts: DataFrame, as_of: Column) -> DataFrame:
@@ -110,7 +119,7 @@ def apply_completions(jobs: DataFrame, verdicts: DataFrame, as_of: Column) -> Da
         "status": F.when(hit, COMPLETED).otherwise(F.col("status")),
         "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at")),
         "error_message": F.when(~hit, F.col("error_message")),
-        "language": F.coalesce("_lang", "language"),
+        "language": F.coalesce(F.nullif("_lang", F.lit("")), "language"),
         "overlap_summary": F.coalesce("_sum", "overlap_summary"),
     }
     rows = jobs.join(done, "job_id", "left")

@@ -54,12 +54,11 @@ def diarise_spectral(
     windows: DataFrame,
     durations: DataFrame,
     step_seconds: float = 0.25,
-    max_rows: int = cluster.MAX_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Two speakers from standardised features; speakers change only around quiet windows."""
     z = diarise.standardise(windows, block_rows)
-    labels = cluster.cluster_bisect(z, max_rows=max_rows).withColumnRenamed("label", "raw_label")
+    labels = cluster.cluster_bisect(z, block_rows=block_rows).withColumnRenamed("label", "raw_label")
     rows = cut(windows.select(*REC, "win_idx", "energy").join(labels, [*REC, "win_idx"]), "labels")
     gated = diarise.gate_transitions(rows, signal.energy_thresholds(rows), block_rows=block_rows)
     final = diarise.median_filter(cut(gated, "gated").select(*REC, "win_idx", "label"), block_rows=block_rows)

@@ -464,8 +464,10 @@ def utterance_ordinals(spark, sf):
 @query
 def list_jobs(spark, sf):
     page = jobs.list_page(D.jobs(spark, sf), 20, 50).select(F.col("job_id").alias("recording_id"), "created_at")
-    pages = X.record_pages(page, D.stored_utterances(spark, sf), ["created_no", "utterance_id"])
-    return pages.select("recording_id", "created_at", F.size("utterances").alias("n"))
+    block = blocks.block_of("start_time", 600.0)
+    listed = blocks.attach(D.stored_utterances(spark, sf), page.select("recording_id"), ["recording_id"], block, "left_semi")
+    pages = X.record_pages(page, listed, ["created_no", "utterance_id"])
+    return pages.groupBy("recording_id", "created_at").agg(F.sum(F.size("utterances")).cast("int").alias("n"))
 
 
 @query
