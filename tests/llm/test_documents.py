@@ -175,6 +175,18 @@ def test_licences(spark):
     assert licences.licence_scan(frame(spark, [])).collect() == []
 
 
+def test_notices_side_by_side():
+    """A worse match before a better one stays, and a long run of notices is searched piece by piece."""
+    wanted = licences.notices((("all rights reserved", "reserved"),), licences.CHARS_PER_EDIT)
+    worse, better = "all right reserved", "all rights reserved"
+    found = licences.scan(f"{worse} {better} x {worse} {worse} {better}".encode(), wanted, base=())
+    assert [(first, last, edits) for _, first, last, edits, _ in found["spans"]] == [(0, 2, 1), (3, 5, 0), (7, 9, 1), (10, 12, 1), (13, 15, 0)]
+    for text, edits in ((worse, 1), (better, 0)):
+        found = licences.scan(f"{text} ".encode() * 5000, wanted)
+        assert [(first, last, e) for _, first, last, e, _ in found["spans"]] == [(3 * i, 3 * i + 2, edits) for i in range(5000)]
+        assert found["n_base"] == 5000 * (not edits) and found["n_words"] == 15000
+
+
 def test_best_fit_pack(spark):
     data = rows()
     room = 256

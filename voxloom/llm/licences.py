@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -68,8 +70,23 @@ def _places(text: bytes, what: bytes) -> Iterator[int]:
         at = text.find(what, at + 1)
 
 
+def _best_first(text: bytes, notice: Notice, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """Matches in a short stretch: the best one, and what lies before and after it."""
+    if b - a < len(notice.text) - notice.edits:
+        return
+    m = notice.pattern.search(text, a, b)
+    if m is not None and m.end() > m.start():
+        yield from _best_first(text, notice, a, m.start())
+        yield m.start(), m.end(), sum(m.fuzzy_counts)
+        yield from _best_first(text, notice, m.end(), b)
+
+
 def find_notice(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the matches in single-spaced text, best first within each stretch around seeds."""
+    """(start, end, edits) of the matches in single-spaced text, from left to right.
+
+    Stretches around seeds are searched in steps of about two notices, so the work grows with their length however
+    many of them touch.
+    """
     around: list[list[int]] = []
     reach = len(notice.text) + notice.edits
     for at in sorted(p - offset for offset, seed in notice.seeds for p in _places(text, seed)):
@@ -78,10 +95,17 @@ def find_notice(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
             around[-1][1] = max(b, around[-1][1])
         else:
             around.append([a, b])
-    found = []
-    for a, b in around:
-        at = a
-        while (m := notice.pattern.search(text, at, b)) is not None and m.end() > m.start():
+    found: list[tuple[int, int, int]] = []
+    for at, b in around:
+        while b - at >= len(notice.text) - notice.edits:
+            m = notice.pattern.search(text, at, min(b, at + 2 * reach))
+            if m is None or m.end() == m.start():
+                at += reach
+                continue
+            found += _best_first(text, notice, at, m.start())
+            if m.start() >= at + reach:  # it may go on beyond this step
+                at = m.start()
+                continue
             found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
             at = m.end()
     return found
@@ -91,24 +115,26 @@ def scan(body: bytes, wanted: tuple[Notice, ...], base: tuple[tuple[str, str], .
     """Exact places of the base phrases and fuzzy matches of the notices in one text."""
     words = body.translate(PLAIN).split()
     text = b" " + b" ".join(words) + b" "
+    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     places, labels = [], set()
     for phrase, label in base:
-        own = [text.count(b" ", 0, p) for p in _places(text, b" %s " % phrase.encode())]
+        own = np.searchsorted(spaces, list(_places(text, b" %s " % phrase.encode()))).tolist()
         places += own
         if own:
             labels.add(label)
     base_labels = ",".join(sorted(labels))
     spans, best = [], 1.0 if places else 0.0
     matches = [(edits, start - end, start, end, notice) for notice in wanted for start, end, edits in find_notice(text, notice)]
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, ascending
     for edits, _, start, end, notice in sorted(matches, key=lambda m: m[:4]):
-        if all(end <= a or b <= start for a, b in taken):  # of overlapping notices the one with fewer edits, then the longer
-            taken.append((start, end))
+        at = bisect(taken, (start, end))
+        if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):  # fewer edits first, then the longer
+            taken.insert(at, (start, end))
             labels.add(notice.label)
             score = 1 - edits / len(notice.text)
             best = max(best, score)
-            first = text.count(b" ", 0, start + (text[start : start + 1] == b" ")) - 1
-            last = text.count(b" ", 0, end - (text[end - 1 : end] == b" ")) - 1
+            first = int(np.searchsorted(spaces, start + (text[start : start + 1] == b" "))) - 1
+            last = int(np.searchsorted(spaces, end - (text[end - 1 : end] == b" "))) - 1
             spans.append((notice.label, first, last, edits, score))
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
