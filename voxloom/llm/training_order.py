@@ -23,6 +23,7 @@ RECORD = "<qiI"  # document, piece, tokens used
 SLOTTED = "<qqiI"  # slot and the same, on the way to its shard
 HEAD_BYTES, RECORD_BYTES, SLOTTED_BYTES = struct.calcsize(HEAD), struct.calcsize(RECORD), struct.calcsize(SLOTTED)
 SHARD_RECORDS = 8192
+TOGETHER = 4  # shards written by one task: few, long strings on the way pack better than many short ones
 
 
 def permuted(index: np.ndarray, total: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -94,35 +95,41 @@ def materialise(
         packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             slot = permuted(batch.column("index").to_numpy(), total, key)
-            shard = slot // shard_records
-            by = np.argsort(shard, kind="stable")
+            part = slot // (shard_records * TOGETHER)
+            by = np.argsort(part, kind="stable")
             columns = [batch.column(name) for name in ("doc_id", "piece", "n_tokens", "ids")]
-            for own in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+            for own in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
                 if len(own):
                     rows = [struct.pack(SLOTTED, slot[i], LAST if (d := columns[0][i].as_py()) is None else d, columns[1][i].as_py(), columns[2][i].as_py()) for i in own.tolist()]
                     body = b"".join(rows) + b"".join(columns[3][i].as_py() for i in own.tolist())
-                    yield {"shard": [shard[own[0]]], "blob": [packer.compress(struct.pack("<q", len(own)) + body)]}
+                    yield {"part": [part[own[0]]], "blob": [packer.compress(struct.pack("<q", len(own)) + body)]}
 
     def write(group: pa.Table) -> dict:
-        shard = group.column("shard")[0].as_py()
-        first = shard * shard_records
-        count = min(shard_records, total - first)
-        out = bytearray(count * size)
+        part = group.column("part")[0].as_py()
+        begin = part * shard_records * TOGETHER
+        out = bytearray(min(shard_records * TOGETHER, total - begin) * size)
         for blob in group.column("blob"):
             body = zstandard.ZstdDecompressor().decompress(blob.as_py())
             n = struct.unpack_from("<q", body)[0]
             at = 8 + n * SLOTTED_BYTES
             for slot, doc_id, piece, used in struct.iter_unpack(SLOTTED, body[8:at]):
                 record = struct.pack(RECORD, doc_id, piece, used) + body[at : at + 2 * used]
-                out[(slot - first) * size : (slot - first) * size + len(record)] = record
+                out[(slot - begin) * size : (slot - begin) * size + len(record)] = record
                 at += 2 * used
-        path = f"{folder}/shard-{shard:08d}.bin"
-        body = struct.pack(HEAD, MAGIC, stride, first, count) + bytes(out)
-        files.put(path, lambda stream: stream.write(body))
-        return {"shard": [shard], "path": [path], "first_slot": [first], "n_records": [count], "bytes": [len(body)], "crc32": [zlib.crc32(body)]}
-
-    sent = map_arrow(dealt, place, "shard long, blob binary")
-    return written(grouped_arrow(sent, "shard", write, "shard long, path string, first_slot long, n_records long, bytes long, crc32 long"), "shards")
+        made: dict[str, list] = {"shard": [], "path": [], "first_slot": [], "n_records": [], "bytes": [], "crc32": []}
+        for first in range(begin, begin + len(out) // size, shard_records):
+            records = memoryview(out)[(first - begin) * size : (first - begin + shard_records) * size]
+            head = struct.pack(HEAD, MAGIC, stride, first, len(records) // size)
+            shard = first // shard_records
+            path = f"{folder}/shard-{shard:08d}.bin"
+            files.put(path, lambda stream, head=head, records=records: (stream.write(head), stream.write(records)))
+            row = (shard, path, first, len(records) // size, len(head) + len(records), zlib.crc32(records, zlib.crc32(head)))
+            for name, value in zip(made, row, strict=True):
+                made[name].append(value)
+        return made
+
+    sent = map_arrow(dealt, place, "part long, blob binary")
+    return written(grouped_arrow(sent, "part", write, "shard long, path string, first_slot long, n_records long, bytes long, crc32 long"), "shards")
 
 
 def read_shards(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
