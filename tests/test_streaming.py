@@ -74,6 +74,16 @@ def test_restart_handles_every_job_once(spark, tmp_path):
     assert spark.read.parquet(out).where("callback_url is not null").count() == 0
 
 
+def test_ids_of_any_form_and_dead_letters(spark, tmp_path):
+    """No entry is lost: string ids are handled, entries without one are dead letters."""
+    ids = ["3f2b8c1e-0b7a-4d43-9c1d-5a1f0e6b7a11", "17", "job a", "", None, "17"]
+    drop(spark, tmp_path / "in", [(i, "f.wav", f"u{k}", "2") for k, i in enumerate(ids)], ENTRY, "part0")
+    out = str(tmp_path / "out")
+    S.process_jobs(S.queue_entries(stream(spark, tmp_path / "in", ENTRY)), lambda b: b, out, str(tmp_path / "progress")).awaitTermination()
+    assert sorted(r.job_id for r in spark.read.parquet(out).collect()) == sorted({i for i in ids if i})
+    assert sorted(r.callback_url for r in spark.read.parquet(f"{out}-dead").collect()) == ["u3", "u4"]
+
+
 def test_dedupe(spark, tmp_path):
     schema = "job_id bigint, external_id string, ts timestamp"
     rows = [(i, None if i % 5 == 0 else ("hot" if i % 2 else f"e{i % 7}"), T0 + timedelta(seconds=i)) for i in range(300)]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def plain_turkish(text):
     return text
 
 
+def test_long_texts_with_repeats(spark):
+    """The middle of a long text shrinks; control characters in words stay."""
+    many = [f"w{i}" for i in range(20000)]
+    text = " ".join([*many, "Go", "on", "go", "ON", "go", "on", "ha", "Ha", "ha", "x\x01y", *many])
+    expected = " ".join([*many, "Go", "on", "ha", "x\x01y", *many])
+    utterances = spark.createDataFrame([(1, text)], "utt_no long, text string")
+    began = time.monotonic()
+    assert refine.clean_repetition(utterances).first().text == expected
+    assert time.monotonic() - began < 30
+
+
 def test_normalise_turkish(spark):
     rng = random.Random(6)
     vocab = ["Cumagünü", "cumartesigünü", "SALIsabahı", "pazarakşamı", "mi", "?", "!", "beyni bırak", "bir  beyni", "beyni", "arkadaşıar",

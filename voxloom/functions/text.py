@@ -44,15 +44,15 @@ def drop_long_runs(items: Column, lowered: Column) -> Column:
 def collapse_phrases(items: Column, lowered: Column) -> Column:
     """Keep one copy of a two-word phrase said three or more times in a row.
 
-    Words are numbered inside one string; a back-reference over the lower-case
-    form finds the repeats and the numbers that remain pick the original words.
+    Each word stands behind its lower-case form in one string; a back-reference
+    over the lower-case forms finds the repeats, and the words that remain are
+    taken out again (no word holds a line end). The work grows with the text's length.
     """
-    tag = "\\x01"
-    numbered = F.array_join(F.transform(lowered, lambda w, i: F.concat(w, F.lit("\x01"), i.cast("string"))), " ")
-    word = rf"([^\s\x01]+){tag}(\d+)"
-    repeat = rf"(?U)(?<!\S){word} {word}(?: \1{tag}\d+ \3{tag}\d+(?!\S)){{2,}}+"
-    left = F.split(F.regexp_replace(numbered, repeat, "$1\u0001$2 $3\u0001$4"), " ")
-    return F.transform(left, lambda t: F.get(items, F.substring_index(t, "\x01", -1).cast("int")))
+    paired = F.array_join(F.zip_with(lowered, items, lambda low, w: F.concat(low, F.lit("\n"), w)), " ")
+    word = r"(\S+)\n(\S+)"
+    repeat = rf"(?U)(?<!\S){word} {word}(?: \1\n\S+ \3\n\S+(?!\S)){{2,}}+"
+    left = F.split(F.regexp_replace(paired, repeat, "$1\n$2 $3\n$4"), " ")
+    return F.transform(left, lambda t: F.substring_index(t, "\n", -1))
 
 
 # Day names, day suffixes and phonetic corrections.

@@ -19,10 +19,15 @@ CONTENT = ["speaker_id", "start_time", "end_time", "text"]
 
 
 def _rebuild(rows: DataFrame, pattern: str, rule, glue: str) -> DataFrame:
-    """Apply a list rule to the pieces of ``_j`` where its lower-case form shows a repeat."""
+    """Apply a list rule to the pieces of ``_j`` where its lower-case form shows a repeat.
+
+    The lower-case pieces are a column of their own: inside a rule's lambda the
+    split would run again for every word.
+    """
     rows = rows.withColumn("_l", F.lower("_j"))
-    shorter = F.array_join(rule(F.split("_j", glue), F.split("_l", glue)), glue)
-    return rows.withColumn("_j", F.when(F.col("_l").rlike(pattern), shorter).otherwise(F.col("_j")))
+    rows = rows.withColumn("_b", F.when(F.col("_l").rlike(pattern), F.split("_l", glue)))
+    shorter = F.array_join(rule(F.split("_j", glue), F.col("_b")), glue)
+    return rows.withColumn("_j", F.when(F.col("_b").isNotNull(), shorter).otherwise(F.col("_j")))
 
 
 def clean_repetition(utterances: DataFrame) -> DataFrame:

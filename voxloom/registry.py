@@ -979,4 +979,4 @@ def stream_jobs(spark, sf):
     out = session.shared_dir(spark, "handled")
     q = streams.process_jobs(streams.queue_entries(raw), lambda b: b.withColumn("gate", F.when(F.col("num_speakers") == 1, "single").otherwise("diarise")), out, session.shared_dir(spark, "handled-progress"))
     q.awaitTermination()
-    return spark.read.option("basePath", out).parquet(out).select("job_id", "file_name", "gate")
+    return spark.read.option("basePath", out).parquet(out).select(F.col("job_id").cast("long").alias("job_id"), "file_name", "gate")

@@ -35,10 +35,10 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
 
 
 def queue_entries(raw: DataFrame) -> DataFrame:
-    """Typed queue entries: empty strings are nulls."""
+    """Typed queue entries: empty strings are nulls. Ids are strings of any form."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     return raw.select(
-        blank("job_id").try_cast("bigint").alias("job_id"),
+        blank("job_id").alias("job_id"),
         blank("file_name").alias("file_name"),
         blank("callback_url").alias("callback_url"),
         blank("num_speakers").try_cast("int").alias("num_speakers"),
@@ -86,9 +86,11 @@ def process_jobs(
     entries: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, **options
 ) -> StreamingQuery:
     """Run ``work`` once per queue entry. An entry counts as acknowledged when its batch is committed;
-    a crash before that redelivers the batch, which replaces the half-written output."""
+    a crash before that redelivers the batch, which replaces the half-written output. Entries without an id
+    can't be handled; they go to the dead letters, ``out`` with "-dead" appended."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.where(F.col("job_id").isNull()).write.mode("overwrite").parquet(f"{out}-dead/batch={batch_id}")
         once = batch.where(F.col("job_id").isNotNull()).dropDuplicates(["job_id"])
         work(once).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
