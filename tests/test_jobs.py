@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import blocks, jobs, metrics
+from voxloom.operators import blocks, jobs, metrics, transcripts
 from voxloom.sources import contracts, tables
 
 NOW = datetime(2024, 5, 1, 12)
@@ -71,6 +71,15 @@ def test_delivery_dies_at_the_last_attempt(spark):
     assert jobs.delivery_step(df, now(), F.lit(False)).where("delivery_id = 2").first().status == "DEAD"
 
 
+def test_rows_without_client_or_start_stay(spark):
+    requests = spark.sql("select id as event_id, timestamp'2024-01-01' as ts, if(id % 2 = 0, null, 'a') as client from range(6)")
+    got = {r.event_id: (r.client, r.request_no, r.code) for r in jobs.rate_limit(requests, 2).collect()}
+    assert got == {i: (None if i % 2 == 0 else "a", i // 2 + 1, 429 if i >= 4 else 202) for i in range(6)}
+    utterances = spark.createDataFrame([(1, 5.0, 1), (1, None, 2), (1, None, 3), (1, -700.0, 4)], "recording_id bigint, start_time double, seq int")
+    got = {r.seq: r.utt_no for r in transcripts.ordinals(utterances, ["seq"]).collect()}
+    assert got == {2: 0, 3: 1, 4: 2, 1: 3}
+
+
 def test_rate_limit_counts_bursts_in_order(spark):
     base = datetime(2024, 1, 1)
     rows = [(i, "c", base + timedelta(milliseconds=700 * i)) for i in range(120)] + [(500, "d", base)]

@@ -353,15 +353,17 @@ def rate_limit(
 
     Adds ``period`` (epoch period number), ``request_no``, ``code`` and ``retry_after``.
     A period is counted in time slices, so a client's burst is never one task.
+    Requests without a client are counted together, as a client of their own.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     width = period_seconds * 1_000_000
-    rows = requests.withColumn("period", F.floor(micros / width))
+    who = F.coalesce(F.concat(F.lit("="), F.col("client").cast("string")), F.lit(""))
+    rows = requests.withColumns({"period": F.floor(micros / width), "_who": who})
     run = blocks.row_numbers(
-        rows, ["client", "period"], ["ts", "event_id"], F.floor((micros % width) / (width / slices)), "request_no"
+        rows, ["_who", "period"], ["ts", "event_id"], F.floor((micros % width) / (width / slices)), "request_no"
     )
     over = F.col("request_no") > limit
-    return run.withColumns(
+    return run.drop("_who").withColumns(
         {"code": F.when(over, 429).otherwise(202), "retry_after": F.when(over, F.lit(60))}
     )
 

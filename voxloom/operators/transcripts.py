@@ -95,10 +95,9 @@ def render_prompts(
 
 
 def ordinals(utterances: DataFrame, tie: Sequence[str], block_seconds: float = 600.0) -> DataFrame:
-    """Adds ``utt_no``: 0-based place by start time, then the ``tie`` columns."""
-    numbered = blocks.row_numbers(
-        utterances, REC, ["start_time", *tie], blocks.block_of("start_time", block_seconds), "_no"
-    )
+    """Adds ``utt_no``: 0-based place by start time, then the ``tie`` columns. Rows without a start come first."""
+    block = F.coalesce(blocks.block_of("start_time", block_seconds), F.lit(-(1 << 62)).cast("long"))
+    numbered = blocks.row_numbers(utterances, REC, ["start_time", *tie], block, "_no")
     return numbered.select(*utterances.columns, (F.col("_no") - 1).alias("utt_no"))
 
 
