@@ -1,5 +1,6 @@
 """Operators 1, 2, 4, 5 and 8 against brute force."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -121,6 +122,25 @@ def test_near_duplicates_out(spark):
     assert set(lone) <= set(ids)
 
 
+def test_near_duplicates_out_finds_all_near_the_limit(spark):
+    rng = random.Random(5)
+
+    def changed(text, at):
+        return [*text[:at], f"new{rng.random()}", *text[at + 1 :]]
+
+    data, expected = [], set()
+    for i in range(0, 1200, 3):  # a ~ b ~ c with a and c apart, or a ~ b alone
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(50, 62))]
+        b = changed(a, 10)
+        c = changed(b, 30) if i % 2 else [f"v{rng.randrange(10**6)}" for _ in range(50)]
+        group = [" ".join(w).encode() for w in (a, b, c)]
+        assert 0.8 <= simhash.similarity(group[0], group[1], 5) <= 0.85 and simhash.similarity(group[0], group[2], 5) < 0.8
+        data += [(i + k, t.decode()) for k, t in enumerate(group)]
+        expected |= {i} if i % 2 else {i, i + 2}
+    found = {r.doc_id for r in simhash.near_duplicates_out(frame(spark, data)).collect()}
+    assert found == expected
+
+
 def test_quality(spark):
     data = rows()
     found = sorted(quality.repetition_quality(frame(spark, data)).collect(), key=str)

@@ -88,7 +88,7 @@ def give_back() -> None:
 def map_arrow(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a generator of column dictionaries."""
     names = [part.split()[0] for part in schema.split(",")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(name, kinds[part.split()[1]]) for name, part in zip(names, schema.split(","), strict=True)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
