@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import re
 import struct
 from collections import Counter
@@ -57,6 +58,37 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_windows(df, known.limit(0)).collect() == []
 
 
+def windows_by_hand(data, items, size=5, least=0.8):
+    found = set()
+    for i, t in data:
+        w = plain(t)
+        for item, text in items:
+            v = plain(text)
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a, b = (Counter(tuple(x[k : k + size]) for k in range(len(x) - size + 1)) for x in (w[s : s + len(v)], v))
+                both = sum((a & b).values())
+                if both / max(1, sum(a.values()) + sum(b.values()) - both) >= least:
+                    found.add((i, item, s, len(v)))
+    return found
+
+
+def test_decontamination_lays_every_window(spark):
+    rng = random.Random(3)
+
+    def fresh(k):
+        return [f"w{rng.randrange(10**6)}" for _ in range(k)]
+
+    v, u, r = fresh(60), fresh(25), fresh(6) * 5
+    items = [(1, " ".join(v)), (2, " ".join(u)), (3, " ".join(r)), (4, " ".join(v[:50]))]
+    swapped, thirds, edited = v[30:] + v[:30], u[12:] + u[:12], [*v[:20], "other", *v[21:]]
+    docs = [fresh(40) + v + fresh(40), fresh(40) + swapped + fresh(9), swapped, v[:57], u + fresh(3) + u, fresh(5) + thirds, r + r + fresh(4), fresh(3) + edited + v, fresh(80), v[:3]]
+    data = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    found = decontaminate.contaminated_windows(frame(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = windows_by_hand(data, items)
+    assert sorted((x.doc_id, x.item_id, x.start, x.n_words) for x in found) == sorted(expected)
+    assert {(1, 1, 40, 60), (2, 1, 0, 60), (3, 1, 0, 60), (0, 1, 39, 60), (0, 1, 41, 60)} <= expected
+
+
 def test_decontamination_is_native(spark):
     known = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     plan = decontaminate.contaminated_windows(frame(spark, rows()), known)._jdf.queryExecution().toString()

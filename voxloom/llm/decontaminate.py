@@ -62,10 +62,11 @@ def contaminated_windows(
     """Rows doc_id, item_id, start, n_words, distance, similarity: windows of a document as long as an item whose weighted
     shingles agree with the item's to ``least`` or more (sum of smaller counts over sum of larger).
 
-    A window that similar shares a shingle with its item, so windows are laid where a shared shingle puts the item
-    (moved inside the document at its edges). Their fingerprints and the items' are cut into radius + 1 blocks; equal
-    blocks of equal lengths give every pair within the radius, and those are verified. With 64 bits a similarity of
-    0.8 differs in under ten bits on average and in more than 18 about once in a thousand.
+    A window that similar holds at least a bound of shingles that occur in its item, wherever they stand, so every start
+    is laid whose window holds that many: for shared shingles at sorted places p, from p[i + bound - 1] - (window - 1)
+    to p[i]. Fingerprints of windows and items are cut into radius + 1 blocks; equal blocks of equal lengths give every
+    pair within the radius, and those are verified. With 64 bits a similarity of 0.8 differs in under ten bits on
+    average and in more than 18 about once in a thousand.
 
     Items of fewer than ``shingle`` words (null and empty ones too) and documents without words match nothing. Rows
     equal in id and text are reported once; null ids are kept.
@@ -75,13 +76,27 @@ def contaminated_windows(
     known = known.where(F.size("w") >= shingle).select("item_id", F.size("w").alias("n_words"), shingles("w", shingle).alias("grams"))
     known = known.withColumn("item_key", F.xxhash64("item_id", "grams")).dropDuplicates(["item_id", "item_key"])
     item_grams = written(known.select("item_id", "item_key", "n_words", F.posexplode("grams").alias("q", "h")), "item_grams")
-    seeds = item_grams.select(F.col("h").alias("_h"), "n_words", "q").distinct()
+    seeds = item_grams.select(F.col("h").alias("_h"), "item_id", "item_key", "n_words").distinct()
 
     tokens = own.select("doc_id", "key", words(F.col("_text")).alias("w"))
     places = tokens.select("doc_id", "key", F.size("w").alias("size"), F.posexplode(shingles("w", shingle)).alias("p", "h"))
     met = places.join(bounded(seeds, item_grams.count()), F.col("h") == F.col("_h"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n_words")))
-    windows = written(met.select("doc_id", "key", start.alias("start"), "n_words").distinct(), "windows")
+    shared = met.groupBy("doc_id", "key", "size", "item_id", "item_key", "n_words").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    # the shingles of a window and of the item, and how many the window must share at least
+    full, held = F.col("n_words") - (shingle - 1), F.least("n_words", "size") - (shingle - 1)
+    bound = F.greatest(F.lit(1), F.ceil((full + held) * (least / (1 + least)) - 1e-6)).cast("int")
+    shared = shared.withColumns({"held": held, "bound": bound, "latest": F.greatest(F.lit(0), F.col("size") - F.col("n_words"))})
+
+    def starts(i: Column) -> Column:
+        """Starts of the windows that hold ``bound`` places from the i-th on, without those laid for the place before."""
+        after = F.coalesce(F.get("at", i - 1), F.lit(-1)) + 1
+        low = F.greatest(after, F.get("at", i + F.col("bound") - 1) - F.col("held") + 1)
+        high = F.least(F.get("at", i), F.col("latest"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    laid = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("bound")), starts))
+    shared = shared.where(F.size("at") >= F.col("bound")).select("doc_id", "key", "n_words", F.explode(laid).alias("start"))
+    windows = written(shared.select("doc_id", "key", "start", "n_words").distinct(), "windows")
 
     touched = windows.select("doc_id", "key").distinct()
     touched = bounded(touched.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), windows.count())
