@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.numbers import exact_round
 from voxloom.operators import blocks as B
+from voxloom.operators import jobs, transcripts
 
 
 def windows():
@@ -107,3 +108,42 @@ def test_the_summary_reuses_the_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange" in plan
+
+
+def test_null_keys_and_blocks_lose_no_row(spark):
+    rows = [(k, i, f"{k}{i}{n}", 1.0 * n) for k in (None, 0, 1) for i in (None, 0, 1, 5, 9) for n in range(3)]
+    df = spark.createDataFrame(rows, "k long, i long, s string, v double")
+    blk = B.block_of("i", 3)
+    numbered = F.row_number().over(Window.partitionBy("k").orderBy("i", "s")).cast("long").alias("c")
+    same(B.row_numbers(df, ["k"], ["i", "s"], blk, "c"), df.select("*", numbered))
+    back = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("i"), F.desc("s"))).cast("long").alias("c")
+    same(B.row_numbers(df, ["k"], [F.desc("i"), F.desc("s")], -blk, "c"), df.select("*", back))
+    found = B.islands(df, ["k"], ["i", "s"], blk, ["i"], lambda p, c, n: c["i"] - p["i"] > 1)
+    same(found.select("k", "s", (F.col("idx") + 1).alias("c")), df.select("k", "s", numbered))
+    pages = B.nest_pages(df, ["k"], ["i", "s"], blk, F.col("s"), 4)
+    same(pages.select("k", F.explode("items").alias("s")), df.select("k", "s"))
+    ranks = B.value_ranks(df, ["k"], "v")
+    assert {(r.k, r.v, r.cnt, r.total) for r in ranks.collect()} == {(k, float(n), 5, 15) for k in (None, 0, 1) for n in range(3)}
+    stats = spark.createDataFrame([(0, "a")], "k long, t string")
+    counts = {how: B.attach(df, stats, ["k"], blk, how).count() for how in ("left", "inner", "left_semi", "left_anti")}
+    assert counts == {"left": 45, "inner": 15, "left_semi": 15, "left_anti": 30}
+    assert B.attach(df, stats, ["k"], blk).where("t = 'a'").count() == 15
+
+
+def test_rows_without_a_time_stay_in_records_waves_and_limits(spark):
+    u = spark.createDataFrame(
+        [("r", f"u{i}", "A", t, t, "x", i) for i, t in enumerate([None, 0.0, None, 700.0])],
+        "recording_id string, utterance_id string, speaker_id string, start_time double, end_time double, text string, created_no long",
+    )
+    records = spark.createDataFrame([("r",)], "recording_id string")
+    page = transcripts.record_pages(records, u, ["created_no", "utterance_id"]).collect()
+    assert [x.utterance_id for x in page[0].utterances] == ["u0", "u2", "u1", "u3"]
+    d = spark.createDataFrame([(f"d{i}", "http://a/b", t) for i, t in enumerate([None, 5, 6])], "delivery_id string, url string, next_attempt_at long")
+    assert {(r.delivery_id, r.wave) for r in jobs.host_waves(d, B.block_of("next_attempt_at", 4), 2).collect()} == {("d0", 0), ("d1", 0), ("d2", 1)}
+    q = spark.createDataFrame([("e0", "c", None), ("e1", "c", "2020-01-01 00:00:00"), ("e2", None, None)], "event_id string, client string, ts string")
+    q = q.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {(r.event_id, r.request_no, r.code) for r in jobs.rate_limit(q).collect()} == {(e, 1, 202) for e in ("e0", "e1", "e2")}
+    block = B.block_of("start_time", 600.0)
+    ids, none = records.select(F.col("recording_id").alias("job_id")), spark.createDataFrame([], "job_id string, at long")
+    assert [t.count() for t in jobs.cascade_delete(ids, u, none, ids, block, B.block_of("at", 1))] == [0, 0, 0]
+    assert jobs.backfill(ids, ids.limit(0), u, block)[1].count() == 4

@@ -10,7 +10,8 @@ on the summaries, and it is joined back on (key, block).
 The block rows and their summaries read the same shuffle: both start at one
 ``repartition(keys, block)``, and the summaries hash every column so that both
 ask for the same ones (``PIN``) and Spark reuses the exchange. Callers select
-the columns they need beforehand. Keys must not be null.
+the columns they need beforehand. No row is lost: null keys are one key, and
+rows with a null block are a block of their own, where nulls sort.
 """
 
 from __future__ import annotations
@@ -33,11 +34,18 @@ def block_of(position: Column | str, width: float) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    rows = df.withColumn(BLK, block.cast("long"))
-    for c in [*keys, BLK]:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows.repartition(*keys, BLK)
+def _null_safe(block: Column, last: bool = False) -> Column:
+    """The block, or for null the least (``last``: the greatest) number."""
+    return F.coalesce(block.cast("long"), F.lit(2**63 - 1 if last else -(2**63)).cast("long"))
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """The rows dealt by key and block, and the columns to use as keys: structs where a key may be null, as these
+    are equal if both hold null and so need no null-safe join, which would ask for another shuffle."""
+    rows = df.withColumn(BLK, _null_safe(block, _descending(order)))
+    names = [f"_key{i}" if df.schema[c].nullable else c for i, c in enumerate(keys)]
+    rows = rows.withColumns({n: F.struct(c) for n, c in zip(names, keys) if n != c})
+    return rows.repartition(*names, BLK), names
 
 
 def _pin(base: DataFrame) -> Column:
@@ -81,6 +89,7 @@ def running(
     prevs, nexts = dict(prevs or {}), dict(nexts or {})
     t_sums, t_maxes, t_firsts = dict(total_sums or {}), dict(total_maxes or {}), dict(total_firsts or {})
     order = _cols(order)
+    base, keys = _blocked(df, keys, block, order)
     w = _win(keys, order)
     here = w.rowsBetween(*UP_TO_HERE)
 
@@ -97,7 +106,6 @@ def running(
     for name, e in nexts.items():
         exprs[f"_x_{name}"] = F.lead(F.struct(e.alias("v"))).over(w)
 
-    base = _blocked(df, keys, block)
     local = base.withColumns(exprs) if exprs else base
 
     pos = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(_plain(order))])
@@ -192,6 +200,7 @@ def islands(
     first row always does. ``next`` is null on a key's last row.
     """
     order = _cols(order)
+    base, keys = _blocked(df, keys, block, order)
     w = _win(keys, order)
     cur = F.struct(*cols)
 
@@ -200,7 +209,6 @@ def islands(
 
     rn, n = F.col("_rn"), F.col("_n")
     no_prev, no_next = F.col("_prev").isNull(), F.col("_next").isNull()
-    base = _blocked(df, keys, block)
     local = base.withColumn("_cur", cur).withColumns(
         {"_rn": F.row_number().over(w), "_prev": F.lag("_cur").over(w), "_next": F.lead("_cur").over(w)}
     )
@@ -282,9 +290,10 @@ def attach(
     """Join one-row-per-key ``stats`` to rows without a hot join key.
 
     ``how`` is left, inner, left_semi or left_anti. The stats are first joined
-    to the distinct (key, block) pairs, then to the rows on both columns.
+    to the distinct (key, block) pairs, then to the rows on both columns. Rows
+    with a null block are a block too; a null key meets nothing, as in SQL.
     """
-    rows = df.withColumn(BLK, block.cast("long"))
+    rows = df.withColumn(BLK, _null_safe(block))
     pairs = rows.select(*keys, BLK).distinct()
     if how in ("left_semi", "left_anti"):
         hits = pairs.join(stats.select(*keys), list(keys), "left_semi")
