@@ -275,6 +275,15 @@ def optimum(sizes, room):
     return best[0]
 
 
+def test_reduction_where_three_pieces_fit_beside_the_largest():
+    sizes = [28, 22, 9, 9, 4, 4, 4]
+    assert optimum(sizes, 40) == 2
+    h = packing.Histogram({s: sizes.count(s) for s in set(sizes)})
+    fixed = packing.reduced(h, 40)
+    rest = [s for s in h.sizes for _ in range(h.left[s])]
+    assert sum(n for _, n in fixed) + (optimum(rest, 40) if rest else 0) == 2
+
+
 def test_reduction_never_costs_a_sequence():
     rng = np.random.default_rng(4)
     for _ in range(60):

@@ -66,8 +66,8 @@ def reduced(h: Histogram, room: int) -> list[tuple[Fill, int]]:
     """Fixes sequences whose set of pieces dominates all others with their largest piece, many equal ones at once.
 
     For the largest piece a: alone, if no other fits beside it. With the largest b that fits, if both fill the sequence;
-    or if no two others fit beside a; or if the two that fit best are together no longer than b. In each case whatever
-    else could stand beside a may be exchanged for b without using more sequences.
+    or if no two others fit beside a; or if no three do and the two that fit best are together no longer than b. In each
+    case whatever else could stand beside a may be exchanged for b without using more sequences.
     """
     fixed: list[tuple[Fill, int]] = []
     for a in sorted(h.sizes, reverse=True):
@@ -76,9 +76,10 @@ def reduced(h: Histogram, room: int) -> list[tuple[Fill, int]]:
             if not h.left[a]:
                 h.sizes.remove(a)
             b = h.fits(room - a)
-            two = h.smallest(2)
+            two, three = h.smallest(2), h.smallest(3)
             alone = b is None
-            pair = not alone and (a + b == room or two is None or two > room - a or best_pair(h, room - a) <= b)
+            few = three is None or three > room - a
+            pair = not alone and (a + b == room or two is None or two > room - a or few and best_pair(h, room - a) <= b)
             if a not in h.left or not h.left[a]:
                 h.left[a] = 0
                 insort(h.sizes, a)
