@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import attribution, bytes_dedup, decontaminate, licences, packing, quality, simhash, substrings, training_order, warc
+from voxloom.llm import attribution, bytes_dedup, conversations, decontaminate, extraction, lexical, licences, oracles, packing, quality, simhash, substrings, training_order, warc
 from voxloom.llm.common import table
 
 
@@ -48,13 +48,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_licence_scan, op5_best_fit_packing,
         op6_substring_dedup, op7_training_order, op8_quality_rules, op9_suffix_dedup, op10_warc,
+        op11_html_extraction, op12_conversation_repair, op13_lexical_search,
     )
 }
 
-#: None of the ten has a SQL form that is fast enough over whole tables; tests/llm compares each with brute force.
-SQL: dict[str, str] = {}
+#: The others have no SQL form; tests/llm compares them with brute force.
+SQL: dict[str, str] = oracles.SQL
