@@ -141,6 +141,44 @@ def test_near_duplicates_out_finds_all_near_the_limit(spark):
     assert found == expected
 
 
+def test_deltas_lose_no_link(spark):
+    """Copies edited in one to five places, all in one band: stars and shared deltas give the components of all pairs."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    sets = []
+    for i in range(160):
+        copy = list(base if i % 8 else [*base[:75], *(f"x{i}_{k}" for k in range(75))])
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(150)] = f"e{rng.randrange(40)}"
+        sets.append(np.unique(simhash.shingle_hashes(" ".join(copy).encode(), 5, 42)).view(np.int64).tolist())
+    sets[17:20] = [sets[16] + [k, k + 9] for k in range(3)]
+    apart = spark.createDataFrame([(b, i, len(s), i) for b in (1, 2) for i, s in enumerate(sets)], "band long, node long, n long, label long")
+    delta = simhash._deltas(apart, spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>"), 0.8)
+    rows = {(r.band, r.node): r for r in delta.collect()}
+    assert all(len(set(rows[1, i].delta) ^ set(rows[1, j].delta)) == len(set(sets[i]) ^ set(sets[j])) for i in range(0, 160, 7) for j in range(i))
+    similar = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) - 1e-9
+
+    def label(pairs):
+        found = list(range(160))
+        for i, j in pairs * 8:
+            found[i] = found[j] = min(found[i], found[j])
+        for _ in range(160):
+            for i, j in pairs:
+                found[i] = found[j] = min(found[i], found[j])
+        return found
+
+    every = [(i, j) for i in range(160) for j in range(i) if similar(i, j)]
+    z = min(range(160), key=lambda i: (rows[1, i].f, i))
+    star = [(i, z) for i in range(160) if i != z and rows[1, i].f + rows[1, z].f <= 1e-9]
+    assert all(similar(i, j) for i, j in star)
+    after = label(star)
+    frame_ = spark.createDataFrame([(*r[:3], after[r.node], r.delta, r.f, rows[1, z].f, after[z]) for r in rows.values()], "band long, node long, n long, label long, delta array<long>, f double, fz double, zl long")
+    met = [(r.a, r.b) for r in simhash._overlapping(frame_, 0.8).collect()]
+    assert label(star + [(i, j) for i, j in met if similar(i, j)]) == label(every)
+    apart_pairs = sum(after[i] != after[j] for i in range(160) for j in range(i))
+    assert len(met) < apart_pairs / 4
+
+
 def test_quality(spark):
     data = rows()
     found = sorted(quality.repetition_quality(frame(spark, data)).collect(), key=str)
@@ -162,6 +200,27 @@ def test_quality(spark):
     assert quality.repetition_quality(frame(spark, [])).collect() == []
 
 
+def test_only_the_repeats_reject(spark):
+    """Below the base rule's share of repeated words, but with long repeats; short ones of the same share stay."""
+    rng = random.Random(4)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    passage, clause = fresh(18), [fresh(6) for _ in range(6)]
+    wide = " ".join(fresh(80) + passage + fresh(84) + passage)  # 36 of 200 words
+    short = " ".join(w for c in clause for part in (c, fresh(10), c, fresh(20)) for w in part)  # 72 of 252, fails the base
+    few = " ".join(fresh(100) + [w for c in clause[:3] for part in (c, fresh(15), c, fresh(15)) for w in part])  # 36 of 226, none of ten words
+    long = fresh(61)
+    single = " ".join(fresh(700) + long + fresh(200) + long)  # 122 of 1022 words, one repeat of 61
+    found = {r.doc_id: r for r in quality.repetition_quality(frame(spark, [(1, wide), (2, short), (3, few), (4, single), (5, " ".join(fresh(300)))])).collect()}
+    assert {i: (r.base_failed, r.kept) for i, r in found.items()} == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, False), 5: (False, True)}
+    assert (found[1].n_covered, found[1].longest_repeat, found[4].longest_repeat) == (36, 18, 61)
+    for r in found.values():  # words in ten-word windows found again, by hand
+        words = {1: wide, 2: short, 3: few, 4: single}.get(r.doc_id, "").split()
+        where = defaultdict(list)
+        for j in range(len(words) - 9):
+            where[tuple(words[j : j + 10])].append(j)
+        assert r.n_covered == len({j + k for js in where.values() if len(js) > 1 for j in js for k in range(10)})
+
+
 def test_repeats_by_hand():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -24,14 +24,15 @@ SCHEMA = (
 @dataclass(frozen=True)
 class Limits:
     """``min_words``, ``window`` and ``max_repeat_percent`` are the base rule. The verdict on maximal repeats of at
-    least ``min_repeat`` words: their union may cover ``max_covered`` of the words, the longest ``max_longest`` words."""
+    least ``min_repeat`` words: their union may cover ``max_covered`` of the words, the longest ``max_longest`` words. Both
+    are stricter than the base rule, as long repeats are no accident of common phrases."""
 
     min_words: int = 10
     window: int = 5
     max_repeat_percent: int = 20
     min_repeat: int = 10
-    max_covered: float = 0.2
-    max_longest: int = 200
+    max_covered: float = 0.15
+    max_longest: int = 60
 
 
 def repeats(ids: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarray:

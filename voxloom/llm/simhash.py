@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import blocks, boxed, map_arrow, mix, payload, row_key, unboxed, written
 
 BITS = 64
-ROUNDS = 4  # against heads before what is left meets in full
+ROUNDS = 4  # against heads before what is left meets by its deltas
+REFERENCE = 32  # nodes of a band that set what its deltas differ from
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -212,6 +213,64 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
 
 
+def _shingle_sets(bodies: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """node and its shingle hashes, each once."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for part in blocks(batches, ["node", "body"], "body"):
+            yield {"node": part["node"], "hashes": [np.unique(shingle_hashes(t, shingle, seed)).view(np.int64).tolist() for t in part["body"]]}
+
+    return written(map_arrow(bodies.select("node", "body"), work, "node long, hashes array<long>"), "sets")
+
+
+def _deltas(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Each band's nodes as differences from what is common there: band, node, n, label, delta, f.
+
+    Any reference would do; it is the shingles of more than half of about ``REFERENCE`` nodes. Two sets are as different as
+    their deltas are, so similarity ``least`` or more means: the deltas differ in at most q (n_a + n_b) shingles, where
+    q = (1 - least) / (1 + least), or, with f = size - q n, share at least (f_a + f_b) / 2.
+    """
+    counted = apart.groupBy("band").agg(F.ceil(F.count("*") / REFERENCE).alias("_every"))
+    sample = apart.join(counted, "band").where(F.pmod(F.xxhash64("node", "band"), F.col("_every")) == 0).select("band", "node")
+    size = sample.groupBy("band").agg(F.count("*").alias("_m"))
+    common = sample.join(sets, "node").select("band", F.explode("hashes").alias("s")).groupBy("band", "s").agg(F.count("*").alias("c"))
+    core = common.join(size, "band").where("2 * c > _m").groupBy("band").agg(F.collect_list("s").alias("core"))
+    rows = apart.join(sets, "node").join(core, "band", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    delta = F.array_union(F.array_except("hashes", "core"), F.array_except("core", "hashes"))
+    rows = rows.select("band", "node", "n", "label", delta.alias("delta"))
+    return rows.withColumn("f", F.size("delta") - F.lit((1 - least) / (1 + least)) * F.col("n"))
+
+
+def _overlapping(delta: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components whose deltas may share enough, by their rarest elements.
+
+    ``delta`` also has the band's least f (``fz``) and its node's label (``zl``). Nodes of that component need no partner
+    among themselves, so every pair has a node of another one, and their least f bounds what a partner must share: a
+    set of d elements that shares o with another has one of its d - o + 1 rarest among the other's d' - o + 1 rarest.
+    Each side's o comes from the least f that its partner can have. Edits of one copy alone are in no other delta, so what
+    is common to all of a group never becomes a key, and pairs too far apart don't meet.
+    """
+    others = delta.where("label <> zl").groupBy("band").agg(F.min("f").alias("g"))
+    delta = written(delta.join(others, "band"), "others")
+    each = delta.select("band", "node", F.explode("delta").alias("s"))
+    shared = each.groupBy("band", "s").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(shared, ["band", "s"]).groupBy("band", "node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("ranked"))
+    rows = written(delta.select("band", "node", "n", "label", "zl", "f", "fz", "g", F.size("delta").alias("d")).join(ranked, ["band", "node"]), "ranked")
+
+    def prefix(partner: str) -> Column:
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col(partner)) / 2 - 1e-9))
+        alone = F.col("d") - F.size("ranked")  # the rarest of all
+        keep = F.greatest(F.lit(0), F.col("d") - overlap + 1 - alone).cast("int")
+        return F.explode(F.slice("ranked", F.lit(1), keep)).alias("e")
+
+    x = rows.where("label <> zl").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), prefix("fz"))
+    y = rows.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), prefix("g"))
+    x, y = x.withColumn("s", F.col("e.s")).drop("e"), y.withColumn("s", F.col("e.s")).drop("e")
+    possible = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-6)
+    met = x.join(y, ["band", "s"]).where((F.col("la") != F.col("lb")) & possible)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, seed: int) -> DataFrame:
     """Keys of the rows that another row of their group replaces, as ``_gone``."""
     key = row_key(F.col("doc_id"), F.col("text"))
@@ -254,14 +313,15 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
             break
         labels = _joined(labels, links)
 
-    # what a band still holds apart meets in full
     apart = labelled(members.drop("head"), "node", "label")
     apart = written(apart.join(mixed(apart), "band").select("band", "node", "n", "label"), "apart")
-    x = apart.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = apart.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    possible = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-6)
-    met = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible).select("a", "b").distinct()
-    labels = _joined(labels, _verified(met, nodes, texts, shingle, least))
+    wanted = apart.select("node").distinct().join(nodes.select("node", "key"), "node")
+    delta = written(_deltas(apart, _shingle_sets(texts.join(wanted, texts["_key"] == wanted["key"]).dropDuplicates(["_key"]), shingle, seed), least), "deltas")
+    least_of = delta.groupBy("band").agg(F.min(F.struct("f", "node")).alias("z")).select("band", F.col("z.node").alias("a"), F.col("z.f").alias("fz"))
+    near = labelled(delta.join(least_of, "band").where("f + fz <= 1e-9 AND node <> a").select("a", F.col("node").alias("b"), "label"), "a", "la")
+    labels = _joined(labels, _verified(near.where("la <> label").select("a", "b").distinct(), nodes, texts, shingle, least))
+    delta = labelled(labelled(delta.drop("label").join(least_of, "band"), "node", "label"), "a", "zl")
+    labels = _joined(labels, _verified(_overlapping(delta, least), nodes, texts, shingle, least))
 
     grouped = labelled(nodes.select("node", "none", "doc_id", "key"), "node", "label")
     best = grouped.groupBy("label").agg(F.min(F.struct("none", "doc_id", "key")).alias("best")).select("label", F.col("best.key").alias("best"))
