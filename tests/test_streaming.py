@@ -36,6 +36,23 @@ def test_job_states_stream_equals_batch(spark, tmp_path):
     assert got == {r.job_id: (r.status, r.attempts, r.token_us, r.updated_us) for r in batch.collect()}
 
 
+def test_late_events_take_their_place(spark, tmp_path):
+    """Shuffled within the watermark, with string ids: the result is that of the ordered history; nothing is settled early."""
+    rng = random.Random(8)
+    rows = [(f"job-{r[0]}", *r[1:]) for job in range(12) for r in history(rng, job, rng.randint(5, 30))]
+    schema = SCHEMA.replace("job_id bigint", "job_id string")
+    span = max(r[1] for r in rows) - min(r[1] for r in rows)
+    jitter = span / 6
+    arrival = sorted(rows, key=lambda r: r[1] + jitter * rng.random())
+    size = -(-len(rows) // 8)
+    for i in range(8):
+        drop(spark, tmp_path / "in", arrival[i * size : (i + 1) * size], schema, f"part{i}")
+    late = f"{int(jitter.total_seconds() * 1.1) + 1} seconds"
+    out = S.run_to_table(S.job_states(stream(spark, tmp_path / "in", schema), late=late), spark, "t-late", "update")
+    got = {r.job_id: (r.status, r.attempts, r.token_us, r.updated_us) for r in S.latest(out, ["job_id"]).collect()}
+    assert got == brute(rows)
+
+
 def test_stale_timer_reports_lapsed_claims(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
     first = [(1, at(0), 1, "submit", None, False), (1, at(1), 2, "claim", None, False)]

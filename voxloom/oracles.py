@@ -508,6 +508,8 @@ st AS (WITH RECURSIVE s AS (
  FROM s JOIN ev e ON e.job_id = s.job_id AND e.k = s.k + 1) SELECT * FROM s)""")
 SQL["job_states"] = STATES
 SQL["stream_job_states"] = STATES
+SQL["stream_job_states_late"] = f"""
+SELECT concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS job_id, status, attempts, token_us, updated_us FROM (SELECT *, md5(job_id::VARCHAR) AS h FROM ({STATES}))"""
 SQL["stream_rate_limit"] = sql("job_events", """
 SELECT job_id % 5 AS client, epoch_us(ts) // 3600000000 AS period, count(*) AS requests, greatest(0, count(*) - 5) AS rejected FROM job_events GROUP BY ALL""")
 SQL["stream_dedupe"] = sql("job_events", """

@@ -915,6 +915,22 @@ def stream_job_states(spark, sf):
     return last.select("job_id", "status", "attempts", "token_us", "updated_us")
 
 
+@query
+def stream_job_states_late(spark, sf):
+    """Events arrive in six batches, each up to four days later than another that is older; ids are UUID-like strings."""
+    folder = session.shared_dir(spark, "arrivals")
+    uuid = F.regexp_replace(F.md5(F.col("job_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    history = _history(D.job_events(spark, sf)).withColumn("job_id", uuid)
+    arrival = F.floor((F.dayofmonth("ts") + F.pmod(F.xxhash64("event_id"), F.lit(5))) / 6)
+    staged = session.cut(history.withColumn("arrival", arrival), "arrivals")
+    for k in range(6):  # files are taken in the order of their times
+        staged.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.parquet(f"{folder}/part{k}")
+    events = spark.readStream.schema(history.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    out = streams.job_states(events, stale_seconds=36_000, late="11 days")
+    last = streams.latest(streams.run_to_table(out, spark, "states", "update"), ["job_id"])
+    return last.select("job_id", "status", "attempts", "token_us", "updated_us")
+
+
 @query
 def stream_rate_limit(spark, sf):
     r = _event_stream(spark, sf).select((F.col("job_id") % 5).alias("client"), F.col("ts").cast("timestamp").alias("ts"))

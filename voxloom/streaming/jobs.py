@@ -7,19 +7,18 @@ folder when a batch is run again, so nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxloom.functions import guards
-from voxloom.operators import jobs, lifecycle
-from voxloom.params import DEFAULTS, FAILED, PENDING, PROCESSING
+from voxloom.operators import jobs
+from voxloom.params import DEFAULTS
 from voxloom.session import shared_dir
+from voxloom.streaming.states import job_states  # noqa: F401
 
 SALTS = 32
 
@@ -156,58 +155,3 @@ def delivery_results(attempts: DataFrame, as_of: Column, **policy) -> DataFrame:
     """Delivery state after each recorded attempt; ``ips`` are the host's addresses."""
     safe = guards.callback_allowed(F.col("url"), F.col("ips"), **policy)
     return jobs.delivery_step(attempts, as_of, safe)
-
-
-STATE = "status string, attempts int, token bigint, updated bigint"
-OUTPUT = "job_id bigint, status string, attempts int, token_us bigint, updated_us bigint, action string"
-
-
-def job_states(
-    events: DataFrame,
-    stale_seconds: int = DEFAULTS.stale_processing_seconds,
-    max_attempts: int = DEFAULTS.max_attempts,
-    late: str = "1 hour",
-    watch_stale: bool = False,
-) -> DataFrame:
-    """State per job, emitted whenever its events arrive (columns as ``lifecycle.job_states``).
-
-    With ``watch_stale`` an event-time timer also repairs jobs whose claim
-    lapsed, as the batch sweep does: back to PENDING (``action``
-    reset_republish) while attempts remain, else FAILED (``action`` fail).
-    """
-    stale_us = stale_seconds * 1_000_000
-    us = F.unix_micros("ts")
-    typed = events.withWatermark("ts", late).select(
-        "job_id", "ts", us.alias("us"), "event_id", "kind", F.unix_micros("token").alias("token"), F.coalesce("permanent", F.lit(False)).alias("permanent")
-    )
-
-    def row(key, s: lifecycle.State, action: str | None) -> pd.DataFrame:
-        out = {"job_id": [key[0]], "status": [s.status], "attempts": [s.attempts], "token_us": [s.token], "updated_us": [s.updated], "action": [action]}
-        return pd.DataFrame(out).astype({"token_us": "Int64", "updated_us": "Int64"})
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = lifecycle.State(*state.get) if state.exists else lifecycle.State()
-        if state.hasTimedOut:
-            if s.status == PROCESSING:
-                again = s.attempts < max_attempts
-                now = state.getCurrentWatermarkMs() * 1000
-                s = lifecycle.State(PENDING if again else FAILED, s.attempts + (not again), s.token, now)
-                state.update((s.status, s.attempts, s.token, s.updated))
-                yield row(key, s, "reset_republish" if again else "fail")
-            return
-        # One job's events of one micro-batch; the trigger size bounds them.
-        got = pd.concat(list(chunks)).sort_values(["us", "event_id"])
-        for e in got.itertuples(index=False):
-            token = None if pd.isna(e.token) else int(e.token)
-            s = lifecycle.fold(s, e.kind, int(e.us), token, bool(e.permanent), stale_us, max_attempts)
-        if s.status is None:
-            return
-        state.update((s.status, s.attempts, s.token, s.updated))
-        if watch_stale and s.status == PROCESSING:
-            due_ms = s.updated // 1000 + stale_seconds * 1000
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
-        yield row(key, s, None)
-
-    timeout = GroupStateTimeout.EventTimeTimeout if watch_stale else GroupStateTimeout.NoTimeout
-    return typed.groupBy("job_id").applyInPandasWithState(step, OUTPUT, STATE, "update", timeout)
-
