@@ -59,12 +59,42 @@ def test_linkage_matches_brute_force(spark):
 
 def test_linkage_large_equals_small(spark):
     df, _ = make(spark, [60, 9], seed=5, noise=0.8)
-    for k, threshold, cap in ((None, 0.55, 10), (3, 0.55, 10), (None, 0.05, 4)):
+    for k, threshold, cap in ((None, 0.55, 10), (None, 0.05, 4)):
         small = labels(cluster.cluster_average_linkage(df, k, threshold, cap))
-        large = labels(cluster.cluster_average_linkage(df, k, threshold, cap, max_rows=8))
+        large = labels(cluster.cluster_average_linkage(df, k, threshold, cap, max_rows=24))
         assert small == large
 
 
+def test_linkage_with_repeated_vectors_is_the_same_at_every_size(spark):
+    """Ties everywhere: few distinct vectors, silent windows, and gaps in the numbers. Against the closest pair each time."""
+    rng = np.random.default_rng(11)
+    known = rng.normal(size=(6, 4)).round(1)
+    known[5] = 0
+    rows = [(rec, 3 * i + rec, [float(v) for v in known[rng.integers(0, 6)]]) for rec, n in enumerate((34, 30, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "recording_id bigint, win_idx bigint, embedding array<double>")
+    for k, threshold, cap in ((4, 0.55, 10), (None, 0.55, 10), (None, 0.05, 3)):
+        want = {}
+        for rec in range(3):
+            x = np.array([r[2] for r in rows if r[0] == rec])
+            norms = np.linalg.norm(x, axis=1, keepdims=True)
+            u = x / np.where(norms == 0, 1, norms)
+            groups = {i: [i] for i in range(len(x))}
+            merges = []
+            while len(groups) > 1:
+                h, a, b = min((round(1 - u[g].sum(0) @ u[o].sum(0) / len(g) / len(o), 9), i, j) for i, g in groups.items() for j, o in groups.items() if i < j)
+                merges.append((h, -b, a))
+                groups[a] = groups[a] + groups.pop(b)
+            kept = sorted(merges)[: len(x) - k] if k else [m for m in merges if m[0] < threshold]
+            if not k and len(x) - len(kept) > cap:
+                kept = sorted(merges)[: len(x) - cap]
+            parent = {-b: a for _, b, a in kept}
+            top = lambda i: top(parent[i]) if i in parent else i
+            roots = sorted({top(i) for i in range(len(x))})
+            want[rec] = [roots.index(top(i)) for i in range(len(x))]
+        for max_rows in (4096, 12) if k else (4096,):
+            assert labels(cluster.cluster_average_linkage(df, k, threshold, cap, max_rows)) == want, (k, cap, max_rows)
+
+
 def test_bisect_is_the_same_in_any_blocks(spark):
     df, _ = make(spark, [70, 12], speakers=2, seed=1, noise=0.9)
     assert labels(cluster.cluster_bisect(df)) == labels(cluster.cluster_bisect(df, block_rows=10))

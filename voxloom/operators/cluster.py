@@ -1,8 +1,9 @@
 """Clustering of window embeddings into speakers, per recording.
 
-Recordings of up to ``max_rows`` windows are clustered whole in one task with
-numpy. Larger ones take a distributed form with the same result, so that no
-task ever holds a recording of unbounded length.
+Both operators work in rounds that are the same at every size. Average linkage
+runs its rounds over tables while a recording has more than ``max_rows``
+clusters, and the rest of them in one task, so that no task ever holds a
+recording of unbounded length.
 """
 
 from __future__ import annotations
@@ -22,20 +23,6 @@ MAX_ROWS = 4096
 LABELS = "recording_id bigint, win_idx bigint, label bigint"
 
 
-def _by_size(windows: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(rows of small recordings, rows of large ones, whether there are large ones)."""
-    large = windows.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
-    block = blocks.block_of(IDX, BLOCK_ROWS)
-    any_large = bool(large.limit(1).take(1))
-    if not any_large:
-        return windows, windows.where(F.lit(False)), False
-    return (
-        blocks.attach(windows, large, REC, block, "left_anti"),
-        blocks.attach(windows, large, REC, block, "left_semi"),
-        True,
-    )
-
-
 # --- two speakers: cosine k-means seeded along the first principal axis ---
 
 
@@ -45,15 +32,6 @@ def _leading_axis(scatter: np.ndarray) -> np.ndarray:
     return axis if axis[np.argmax(np.abs(axis))] > 0 else -axis
 
 
-def _label_group(fn):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(IDX)
-        x = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"recording_id": pdf["recording_id"], IDX: pdf[IDX], "label": fn(x)})
-
-    return run
-
-
 def _dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -140,138 +118,106 @@ def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLO
 # with the vector sums S, so a cluster is its size and its sum; no distance matrix is kept.
 
 
-def linkage_merges(sums: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
-    """Average-linkage merges (kept, absorbed, height) of clusters by nearest-neighbour chains."""
+#
+# One rule at every size: in each round all clusters merge that are each other's nearest partner. Of partners equally near
+# the smallest number counts, distances are compared in steps of 1e-9 (sums of floats differ beyond that with the order of
+# adding), and a merged cluster keeps the smaller number, which is that of its first window. Average linkage never brings a
+# merged cluster closer to others than its parts were, so these are the merges of the closest pair each time, ties going to
+# smaller numbers; for the same reason a cluster looks for a partner again only when it or its partner has merged.
+
+DIGITS = 9
+
+
+def _distances(s: np.ndarray, n: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.round(1.0 - (s @ others.T) / np.outer(n, sizes), DIGITS)
+
+
+def linkage_merges(sums: np.ndarray, sizes: np.ndarray, tile: int = 1024) -> list[tuple[int, int, float]]:
+    """Average-linkage merges (kept, absorbed, height) of clusters in the order of their numbers, round by round."""
     s, n = sums.astype(np.float64).copy(), sizes.astype(np.float64).copy()
-    alive = np.ones(len(s), dtype=bool)
+    near, dist = np.zeros(len(s), dtype=np.int64), np.full(len(s), np.inf)
+    alive = np.arange(len(s))
+    asking = alive
     merges: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-    while alive.sum() > 1:
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        while True:
-            a = chain[-1]
-            dist = np.where(alive, 1.0 - (s @ s[a]) / (n * n[a]), np.inf)
-            dist[a] = np.inf
-            b = int(np.argmin(dist))
-            if len(chain) > 1 and dist[chain[-2]] <= dist[b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        height = float(dist[b])
-        chain = chain[:-2]
-        lo, hi = min(a, b), max(a, b)
+    while len(alive) > 1:
+        for at in range(0, len(asking), tile):
+            rows = asking[at : at + tile]
+            found = _distances(s[rows], n[rows], s[alive], n[alive])
+            found[np.arange(len(rows)), np.searchsorted(alive, rows)] = np.inf
+            best = found.argmin(axis=1)
+            near[rows], dist[rows] = alive[best], found[np.arange(len(rows)), best]
+        lo = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(lo):  # rounding told two sides of a pair differently
+            first = min(alive.tolist(), key=lambda i: (dist[i], min(i, near[i]), max(i, near[i])))
+            lo = np.array([min(first, near[first])])
+            near[lo] = max(first, near[first])
+        hi = near[lo]
+        merges += zip(lo.tolist(), hi.tolist(), np.minimum(dist[lo], dist[hi]).tolist())
         s[lo] += s[hi]
         n[lo] += n[hi]
-        alive[hi] = False
-        merges.append((lo, hi, height))
+        changed = np.zeros(len(s), dtype=bool)
+        changed[lo] = changed[hi] = True
+        alive = np.setdiff1d(alive, hi, assume_unique=True)
+        asking = alive[changed[alive] | changed[near[alive]]]
     return merges
 
 
-def kept_merges(
-    heights: np.ndarray, n_items: int, n_clusters: int | None, threshold: float, max_clusters: int
-) -> np.ndarray:
-    """Which merges to perform: the lowest ones, down to the wanted number of clusters."""
-    rank = np.empty(len(heights), dtype=np.int64)
-    rank[np.argsort(heights, kind="stable")] = np.arange(len(heights))
-    if n_clusters is not None:
-        return rank < n_items - min(n_clusters, n_items)
-    below = heights < threshold
-    if n_items - int(below.sum()) > max_clusters:
-        return rank < n_items - max_clusters
-    return below
-
-
-def linkage_labels(
-    x: np.ndarray, n_clusters: int | None = None, threshold: float = DEFAULTS.distance_threshold, max_clusters: int = DEFAULTS.max_speakers
-) -> np.ndarray:
-    """Cluster numbers in order of first appearance."""
-    if len(x) <= 1 or (n_clusters is not None and n_clusters <= 1):
-        return np.zeros(len(x), dtype=np.int64)
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = x / np.where(norms == 0, 1.0, norms)
-    merges = linkage_merges(unit, np.ones(len(unit)))
-    keep = kept_merges(np.array([m[2] for m in merges]), len(x), n_clusters, threshold, max_clusters)
-    parent = np.arange(len(x))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (a, b, _), k in zip(merges, keep):
-        if k:
-            ra, rb = root(a), root(b)
-            parent[max(ra, rb)] = min(ra, rb)
-    roots = [root(i) for i in range(len(x))]
-    return pd.factorize(np.array(roots))[0].astype(np.int64)
+def linkage_labels(s: np.ndarray, n_clusters: int | None, threshold: float, max_clusters: int) -> np.ndarray:
+    """Labels of unit vectors in the order of their numbers; the merges that ``_dropped_merges`` drops are left out."""
+    merges = sorted(linkage_merges(s, np.ones(len(s))), key=lambda m: (m[2], -m[1]))
+    if n_clusters is None:
+        below = sum(h < threshold for _, _, h in merges)
+        n_clusters = max(1, min(max_clusters, len(s) - below))
+    top = np.arange(len(s))
+    for lo, hi, _ in sorted(merges[: max(0, len(s) - n_clusters)], key=lambda m: m[1]):
+        top[hi] = lo
+    for i in range(len(s)):  # the kept number is the smaller one, so its own top is known
+        top[i] = top[top[i]]
+    return np.unique(top, return_inverse=True)[1].astype(np.int64)
 
 
-def cluster_average_linkage(
-    windows: DataFrame,
-    n_speakers: int | None = None,
-    threshold: float = DEFAULTS.distance_threshold,
-    max_speakers: int = DEFAULTS.max_speakers,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """Speaker label per window, numbered by first appearance."""
-    small, large, any_large = _by_size(windows.select(*REC, IDX, "embedding"), max_rows)
-    label = lambda x: linkage_labels(x, n_speakers, threshold, max_speakers)
-    out = small.groupBy(*REC).applyInPandas(_label_group(label), LABELS)
-    if not any_large:
-        return out
-    return out.unionByName(linkage_large(large, n_speakers, threshold, max_speakers, max_rows))
-
-
-# Large recordings: all clusters that are each other's nearest neighbour merge in the
-# same round. Average linkage never brings a merged cluster closer to others than its
-# parts were, so this yields the same merges as taking the closest pair each time.
-
-
-def _nearest_in_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best partner of each cluster within one pair of buckets; only the best is emitted."""
-    pdf = pdf.sort_values("cid").drop_duplicates("cid")
-    s = np.vstack(pdf["s"].to_numpy())
-    n, cid, bucket = pdf["n"].to_numpy(float), pdf["cid"].to_numpy(), pdf["bucket"].to_numpy()
-    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    if lo == hi:
-        rows = cols = np.arange(len(cid))
-        dist = 1.0 - (s @ s.T) / np.outer(n, n)
-        dist = np.triu(dist, 1) + np.triu(dist, 1).T
-        np.fill_diagonal(dist, np.inf)
-    else:
-        rows, cols = np.flatnonzero(bucket == lo), np.flatnonzero(bucket == hi)
-        dist = 1.0 - (s[rows] @ s[cols].T) / np.outer(n[rows], n[cols])
-    parts = []
-    if dist.size and dist.shape[1]:
-        parts.append((cid[rows], cid[cols][dist.argmin(axis=1)], dist.min(axis=1)))
-        if lo != hi:
-            parts.append((cid[cols], cid[rows][dist.argmin(axis=0)], dist.min(axis=0)))
-    if not parts:
-        return pd.DataFrame({"recording_id": [], "cid": [], "other": [], "dist": []})
-    mine, other, best = (np.concatenate(x) for x in zip(*parts))
-    out = pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "cid": mine, "other": other, "dist": best})
+def _nearest_in_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best partner of the asking clusters of one bucket among the clusters of another."""
+    pdf = pdf.sort_values("cid")
+    rows, cols = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    out = pd.DataFrame({"recording_id": rows["recording_id"], "cid": rows["cid"]})
+    if not len(rows) or not len(cols):
+        return out.iloc[:0].assign(other=[], dist=[])
+    own, others = rows["cid"].to_numpy(), cols["cid"].to_numpy()
+    dist = _distances(np.vstack(rows["s"].to_numpy()), rows["n"].to_numpy(float), np.vstack(cols["s"].to_numpy()), cols["n"].to_numpy(float))
+    dist[own[:, None] == others[None, :]] = np.inf
+    best = dist.argmin(axis=1)
+    out = out.assign(other=others[best], dist=dist[np.arange(len(own)), best])
     return out[np.isfinite(out["dist"])]
 
 
-def _reciprocal_pairs(clusters: DataFrame, bucket_rows: int) -> DataFrame:
-    """(recording_id, cid, child, height) of mutual nearest neighbours, cid < child."""
-    sizes = clusters.groupBy(*REC).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("_nb"))
+def _nearest(asking: DataFrame, clusters: DataFrame, tile_rows: int) -> DataFrame:
+    """(recording_id, cid, other, dist): the nearest partner of each asking cluster.
+
+    Clusters of a recording are dealt to tiles of about ``tile_rows``; a task holds two of them and emits one row per
+    asking cluster.
+    """
     block = F.pmod(F.xxhash64("cid"), F.lit(64))
-    rows = blocks.attach(clusters, sizes, REC, block)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cid"), F.col("_nb")).cast("int"))
-    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    rows = rows.withColumns({"lo": F.least("bucket", "_j"), "hi": F.greatest("bucket", "_j")}).drop("_j", "_nb")
-    near = rows.groupBy(*REC, "lo", "hi").applyInPandas(
-        _nearest_in_pair, "recording_id bigint, cid bigint, other bigint, dist double"
-    )
+
+    def tiles(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*REC).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias(name))
+
+    count = tiles(asking, "_na").join(tiles(clusters, "_nc"), REC)
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [*REC, "cid", "n", "s"]
+    mine = blocks.attach(asking.select(*columns), count, REC, block).select(*columns, F.lit(True).alias("asks"), deal("_na").alias("_i"), every("_nc").alias("_j"))
+    all_ = blocks.attach(clusters.select(*columns), count, REC, block).select(*columns, F.lit(False).alias("asks"), deal("_nc").alias("_j"), every("_na").alias("_i"))
+    near = mine.unionByName(all_).groupBy(*REC, "_i", "_j").applyInPandas(_nearest_in_tile, "recording_id bigint, cid bigint, other bigint, dist double")
     best = near.groupBy(*REC, "cid").agg(F.min(F.struct("dist", "other")).alias("b"))
-    best = cut(best.select(*REC, "cid", F.col("b.other").alias("other"), F.col("b.dist").alias("dist")), "nearest")
-    back = best.select(*REC, F.col("cid").alias("other"), F.col("other").alias("cid"))
-    return best.join(back, [*REC, "cid", "other"]).where("cid < other").select(
-        *REC, "cid", F.col("other").alias("child"), F.col("dist").alias("height")
-    )
+    return best.select(*REC, "cid", F.col("b.other").alias("other"), F.col("b.dist").alias("dist"))
+
+
+def _mutual(best: DataFrame) -> DataFrame:
+    """(recording_id, cid, child, height) of clusters that are each other's nearest, cid < child."""
+    back = best.select(*REC, F.col("cid").alias("other"), F.col("other").alias("cid"), F.col("dist").alias("_d"))
+    both = best.join(back, [*REC, "cid", "other"]).where("cid < other")
+    return both.select(*REC, "cid", F.col("other").alias("child"), F.least("dist", "_d").alias("height"))
 
 
 def _merge_round(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -289,7 +235,7 @@ def _merge_round(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _finish_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merges of a recording's last clusters (at most ``max_rows``) in one task."""
+    """Merges among a recording's clusters (at most ``max_rows``) in one task."""
     pdf = pdf.sort_values("cid")
     cid = pdf["cid"].to_numpy()
     merges = linkage_merges(np.vstack(pdf["s"].to_numpy()), pdf["n"].to_numpy(float))
@@ -325,35 +271,63 @@ def follow_to_root(parents: DataFrame, keys: list[str]) -> DataFrame:
             return parents
 
 
-def linkage_large(
+def cluster_average_linkage(
     windows: DataFrame,
-    n_clusters: int | None = None,
+    n_speakers: int | None = None,
     threshold: float = DEFAULTS.distance_threshold,
-    max_clusters: int = DEFAULTS.max_speakers,
+    max_speakers: int = DEFAULTS.max_speakers,
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Distributed ``linkage_labels``: rounds of mutual merges until a recording fits one task."""
-    x = windows.select(*REC, F.col(IDX).alias("cid"), F.transform("embedding", lambda v: v.cast("double")).alias("_x"))
+    """Speaker label per window, numbered by first appearance: recording_id, win_idx, label.
+
+    Merges stop at ``n_speakers``, or where clusters are ``threshold`` or more apart, then at ``max_speakers``. Windows
+    without an embedding are no points and get no row; repeated (recording, window) rows must not occur.
+    """
+    x = windows.where("embedding IS NOT NULL").select(*REC, F.col(IDX).cast("bigint").alias("cid"), F.transform("embedding", lambda v: v.cast("double")).alias("_x"))
     x = x.withColumn("_n", F.sqrt(_dot("_x", "_x")))
     unit = F.transform("_x", lambda v: v / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0))
-    clusters = cut(x.select(*REC, "cid", F.lit(1.0).alias("n"), unit.alias("s")), "clusters")
-    leaves = clusters.select(*REC, "cid")
-    merges: list[DataFrame] = []
+    clusters = x.select(*REC, "cid", F.lit(1.0).alias("n"), unit.alias("s"))
     block = F.pmod(F.xxhash64("cid"), F.lit(64))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid")
+        label = linkage_labels(np.vstack(pdf["s"].to_numpy()), n_speakers, threshold, max_speakers)
+        return pd.DataFrame({"recording_id": pdf["recording_id"], IDX: pdf["cid"], "label": label})
+
+    many = clusters.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
+    if not many.take(1):
+        return clusters.groupBy(*REC).applyInPandas(whole, LABELS)
+    in_tasks = blocks.attach(clusters, many, REC, block, "left_anti").groupBy(*REC).applyInPandas(whole, LABELS)
+    busy = cut(blocks.attach(clusters, many, REC, block, "left_semi"), "clusters")
+    return in_tasks.unionByName(_linkage_rounds(busy, n_speakers, threshold, max_speakers, max_rows))
+
+
+def _linkage_rounds(busy: DataFrame, n_speakers: int | None, threshold: float, max_speakers: int, max_rows: int) -> DataFrame:
+    """Labels of recordings of more than ``max_rows`` windows: rounds over tables, the last ones in tasks."""
+    block = F.pmod(F.xxhash64("cid"), F.lit(64))
+    leaves = busy.select(*REC, "cid")
+    tile = max(1, max_rows // 2)
+    small: list[DataFrame] = []
+    merges: list[DataFrame] = []
+    best = cut(_nearest(busy, busy, tile), "nearest")
     while True:
-        many = clusters.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
+        pairs = cut(_mutual(best), "pairs")
+        merges.append(pairs)
+        busy = cut(_merge_round(busy, pairs), "clusters")
+        many = busy.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
         if not many.take(1):
+            small.append(busy)
             break
-        busy = blocks.attach(clusters, many, REC, block, "left_semi")
-        rest = blocks.attach(clusters, many, REC, block, "left_anti")
-        pairs = cut(_reciprocal_pairs(busy, max(1, max_rows // 2)), "pairs")
-        merges.append(pairs)
-        clusters = cut(rest.unionByName(_merge_round(busy, pairs)), "clusters")
-    last = clusters.groupBy(*REC).applyInPandas(
-        _finish_group, "recording_id bigint, cid bigint, child bigint, height double"
-    )
+        small.append(cut(blocks.attach(busy, many, REC, block, "left_anti"), "clusters"))
+        busy = cut(blocks.attach(busy, many, REC, block, "left_semi"), "clusters")
+        moved = pairs.select(*REC, "cid").unionByName(pairs.select(*REC, F.col("child").alias("cid")))
+        still = best.join(moved, [*REC, "cid"], "left_anti").join(moved.withColumnRenamed("cid", "other"), [*REC, "other"], "left_anti")
+        still = still.select(*REC, "cid", "other", "dist").join(busy.select(*REC, "cid"), [*REC, "cid"], "left_semi")
+        asking = busy.join(still.select(*REC, "cid"), [*REC, "cid"], "left_anti")
+        best = cut(still.unionByName(_nearest(asking, busy, tile)), "nearest")
+    last = blocks.union_all(small).groupBy(*REC).applyInPandas(_finish_group, "recording_id bigint, cid bigint, child bigint, height double")
     tree = cut(blocks.union_all([*merges, last]), "tree")
-    done = tree.join(_dropped_merges(tree, n_clusters, threshold, max_clusters), [*REC, "child"], "left_anti")
+    done = tree.join(_dropped_merges(tree, n_speakers, threshold, max_speakers), [*REC, "child"], "left_anti")
     up = done.select(*REC, F.col("child").alias("cid"), F.col("cid").alias("parent"))
     parents = leaves.join(up, [*REC, "cid"], "left").select(*REC, "cid", F.coalesce("parent", "cid").alias("parent"))
     roots = follow_to_root(cut(parents, "parents"), REC)
