@@ -526,3 +526,20 @@ SELECT event_id, CASE kind WHEN 'fail' THEN 'dead_letter' WHEN 'claim' THEN 'rep
  CASE WHEN kind = 'claim' THEN TIMESTAMP '2024-01-15' + to_seconds(CAST(least(30, power(2, greatest(0, event_id % 7 - 1))) AS INTEGER)) END AS not_before FROM job_events""")
 SQL["stream_jobs"] = """
 SELECT event_id AS job_id, CASE WHEN event_id % 2 = 0 THEN 'a.wav' END AS file_name, CASE WHEN event_id % 4 = 1 THEN 'single' ELSE 'diarise' END AS gate FROM events"""
+
+# --- clustering: the closest pair each time, ties to smaller numbers ---
+SQL["cluster_average_linkage"] = """
+WITH RECURSIVE w AS (SELECT label::BIGINT AS r, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS cid, embedding::DOUBLE[] AS x FROM embeddings),
+unit AS (SELECT r, cid, list_transform(x, lambda v: v / CASE WHEN list_dot_product(x, x) > 0 THEN sqrt(list_dot_product(x, x)) ELSE 1 END) AS u FROM w),
+s AS (
+ SELECT r, 0 AS k, cid, 1.0::DOUBLE AS n, u AS s, NULL::DOUBLE AS h, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM unit
+ UNION ALL
+ SELECT s.r, s.k + 1, s.cid, s.n + coalesce(o.n, 0), CASE WHEN o.s IS NULL THEN s.s ELSE list_transform(list_zip(s.s, o.s), lambda p: p[1] + p[2]) END, m.h, m.a, m.b
+ FROM s JOIN (SELECT x.r, min({'h': round(1 - list_dot_product(x.s, y.s) / (x.n * y.n), 9), 'a': x.cid, 'b': y.cid}) AS m FROM s x JOIN s y ON x.r = y.r AND x.cid < y.cid GROUP BY x.r) best ON best.r = s.r
+ LEFT JOIN s o ON o.r = s.r AND o.cid = m.b AND s.cid = m.a
+ WHERE s.cid <> m.b),
+merges AS (SELECT DISTINCT r, h, lo, hi FROM s WHERE k > 0),
+sizes AS (SELECT r, count(*) AS n, greatest(1, least(10, count(*) - coalesce((SELECT count(*) FROM merges WHERE merges.r = unit.r AND h < 0.55), 0))) AS want FROM unit GROUP BY r),
+kept AS (SELECT r, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY h, hi DESC) AS k FROM merges) JOIN sizes USING (r) WHERE k <= n - want),
+up AS (SELECT r, cid, cid AS top FROM unit UNION ALL SELECT up.r, up.cid, kept.lo FROM up JOIN kept ON kept.r = up.r AND kept.hi = up.top)
+SELECT r AS recording_id, cid AS win_idx, dense_rank() OVER (PARTITION BY r ORDER BY top) - 1 AS label FROM (SELECT r, cid, min(top) AS top FROM up GROUP BY r, cid)"""
