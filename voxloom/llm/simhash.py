@@ -15,6 +15,7 @@ from voxloom.llm.common import blocks, boxed, map_arrow, mix, payload, row_key,
 
 BITS = 64
 ROUNDS = 4  # against heads before what is left meets by its deltas
+FEW = 12  # nodes of a band that are compared with each other as they are
 REFERENCE = 32  # nodes of a band that set what its deltas differ from
 
 
@@ -213,6 +214,11 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
 
 
+def _possible(least: float) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-6)
+
+
 def _shingle_sets(bodies: DataFrame, shingle: int, seed: int) -> DataFrame:
     """node and its shingle hashes, each once."""
 
@@ -266,8 +272,7 @@ def _overlapping(delta: DataFrame, least: float) -> DataFrame:
     x = rows.where("label <> zl").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), prefix("fz"))
     y = rows.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), prefix("g"))
     x, y = x.withColumn("s", F.col("e.s")).drop("e"), y.withColumn("s", F.col("e.s")).drop("e")
-    possible = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-6)
-    met = x.join(y, ["band", "s"]).where((F.col("la") != F.col("lb")) & possible)
+    met = x.join(y, ["band", "s"]).where((F.col("la") != F.col("lb")) & _possible(least))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -315,6 +320,15 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
 
     apart = labelled(members.drop("head"), "node", "label")
     apart = written(apart.join(mixed(apart), "band").select("band", "node", "n", "label"), "apart")
+    # bands of a few nodes compare them all, which is linear in their rows
+    crowd = apart.groupBy("band").agg(F.count("*").alias("_c")).where(F.col("_c") > FEW).select("band")
+    few = apart.join(crowd, "band", "left_anti")
+    x = few.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = few.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    met = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(least)).select("a", "b").distinct()
+    labels = _joined(labels, _verified(met, nodes, texts, shingle, least))
+
+    apart = written(labelled(apart.drop("label").join(crowd, "band"), "node", "label"), "crowded")
     wanted = apart.select("node").distinct().join(nodes.select("node", "key"), "node")
     delta = written(_deltas(apart, _shingle_sets(texts.join(wanted, texts["_key"] == wanted["key"]).dropDuplicates(["_key"]), shingle, seed), least), "deltas")
     least_of = delta.groupBy("band").agg(F.min(F.struct("f", "node")).alias("z")).select("band", F.col("z.node").alias("a"), F.col("z.f").alias("fz"))
