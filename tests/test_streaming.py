@@ -101,6 +101,46 @@ def test_ids_of_any_form_and_dead_letters(spark, tmp_path):
     assert sorted(r.callback_url for r in spark.read.parquet(f"{out}-dead").collect()) == ["u3", "u4"]
 
 
+def test_an_id_that_returns_is_worked_once(spark, tmp_path):
+    """Three batches later, and after a crash between the output and the ledger of a batch."""
+    folder, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    batches = [["a", "b"], ["c"], ["d", "b"], ["a", "c", "e"], ["e", "f"]]
+    for i, ids in enumerate(batches):
+        drop(spark, folder, [(k, f"f{i}.wav", "", "2") for k in ids], ENTRY, f"part{i}")
+    calls, real = {"n": 0}, S.cut
+
+    def crash(df, name):
+        """The third batch's ids are lost once, after its output could be written."""
+        found = real(df, name)
+        calls["n"] += 1
+        if calls["n"] == 3:
+            found.join(found, "job_id").write.mode("overwrite").parquet(f"{out}/batch=2")
+            raise RuntimeError("lost")
+        return found
+
+    entries = lambda: S.queue_entries(stream(spark, folder, ENTRY))
+    S.cut = crash
+    try:
+        with pytest.raises(Exception):
+            S.process_jobs(entries(), lambda b: b, out, progress).awaitTermination()
+    finally:
+        S.cut = real
+    S.process_jobs(entries(), lambda b: b, out, progress).awaitTermination()
+    got = sorted((r.job_id, r.file_name) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "f0.wav"), ("b", "f0.wav"), ("c", "f1.wav"), ("d", "f2.wav"), ("e", "f3.wav"), ("f", "f4.wav")]
+
+
+def test_first_arrivals(spark, tmp_path):
+    schema = "job_id bigint, external_id string, ts timestamp"
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "", "x", "y", "z"]), None if i % 17 == 0 else T0 + timedelta(seconds=rng.randint(0, 40))) for i in range(120)]
+    for i in range(3):
+        drop(spark, tmp_path / "in", rows[i * 40 : (i + 1) * 40], schema, f"part{i}")
+    won = S.latest(S.run_to_table(S.first_arrivals(stream(spark, tmp_path / "in", schema)), spark, "t-first", "update"), ["external_id"])
+    want = {k: min((t is None, t or T0, j) for j, e, t in rows if e == k)[2] for k in "xyz"}
+    assert {r.external_id: r.job_id for r in won.collect()} == want
+
+
 def test_dedupe(spark, tmp_path):
     schema = "job_id bigint, external_id string, ts timestamp"
     rows = [(i, None if i % 5 == 0 else ("hot" if i % 2 else f"e{i % 7}"), T0 + timedelta(seconds=i)) for i in range(300)]

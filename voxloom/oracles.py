@@ -514,6 +514,10 @@ SQL["stream_rate_limit"] = sql("job_events", """
 SELECT job_id % 5 AS client, epoch_us(ts) // 3600000000 AS period, count(*) AS requests, greatest(0, count(*) - 5) AS rejected FROM job_events GROUP BY ALL""")
 SQL["stream_dedupe"] = sql("job_events", """
 SELECT external_id, CASE WHEN external_id IS NULL THEN count(*) ELSE 1 END AS n FROM (SELECT CASE WHEN event_id % 4 <> 0 THEN 'ext-' || job_id END AS external_id FROM job_events) GROUP BY external_id""")
+SQL["stream_first_arrival"] = sql("job_events", """
+SELECT external_id, event_id AS job_id, epoch_us(ts) AS ts_us FROM (
+ SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY ts, event_id) AS k FROM (SELECT event_id, ts, 'ext-' || job_id AS external_id FROM job_events WHERE event_id % 4 <> 0 AND job_id IS NOT NULL)) WHERE k = 1""")
+SQL["stream_jobs_once"] = sql("job_events", "SELECT DISTINCT 'job-' || job_id AS job_id, 1::BIGINT AS n FROM job_events WHERE job_id IS NOT NULL")
 SQL["stream_status_counts"] = sql("job_events", "SELECT kind AS status, count(*) AS n FROM job_events GROUP BY kind")
 SQL["stream_stage_histogram"] = sql("job_events", """
 SELECT kind AS stage, b.i AS bucket, count(*) FILTER (value / 10 <= b.le) AS cumulative, count(*) AS n

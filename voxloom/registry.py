@@ -946,6 +946,35 @@ def stream_dedupe(spark, sf):
     return kept.groupBy("external_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _out_of_order(spark, rows, key, parts=4):
+    """``rows`` as a stream of ``parts`` files in an order that has nothing to do with their times."""
+    folder = session.shared_dir(spark, "arrivals")
+    staged = session.cut(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))), "arrivals")
+    for k in range(parts):
+        staged.where(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{folder}/part{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+@query
+def stream_first_arrival(spark, sf):
+    """Which job won each external id, with arrivals out of order."""
+    e = D.job_events(spark, sf)
+    sub = e.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("ext-"), F.col("job_id").cast("string"))).alias("external_id"))
+    won = streams.run_to_table(streams.first_arrivals(_out_of_order(spark, sub, "job_id")), spark, "first", "update")
+    return streams.latest(won, ["external_id"]).select("external_id", "job_id", F.unix_micros("ts").alias("ts_us"))
+
+
+@query
+def stream_jobs_once(spark, sf):
+    """Jobs of all events: an id that comes again in a later batch is worked once, by the first batch that has it."""
+    e = D.job_events(spark, sf)
+    raw = e.select(F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("job_id"), F.lit("a.wav").alias("file_name"), F.lit("").alias("callback_url"), F.lit("2").alias("num_speakers"), "event_id")
+    entries = streams.queue_entries(_out_of_order(spark, raw, "event_id").drop("event_id"))
+    out = session.shared_dir(spark, "once")
+    streams.process_jobs(entries, lambda b: b, out, session.shared_dir(spark, "once-progress")).awaitTermination()
+    return spark.read.option("basePath", out).parquet(out).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_status_counts(spark, sf):
     changes = _event_stream(spark, sf).select(F.col("kind").alias("status"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.functions import guards
 from voxloom.operators import jobs
 from voxloom.params import DEFAULTS
-from voxloom.session import shared_dir
+from voxloom.session import cut, shared_dir
 from voxloom.streaming.states import job_states  # noqa: F401
 
 SALTS = 32
@@ -84,14 +84,27 @@ def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
 def process_jobs(
     entries: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Run ``work`` once per queue entry. An entry counts as acknowledged when its batch is committed;
-    a crash before that redelivers the batch, which replaces the half-written output. Entries without an id
-    can't be handled; they go to the dead letters, ``out`` with "-dead" appended."""
+    """Run ``work`` once per job id, however often and in however many batches the queue delivers it.
+
+    A batch writes its output, then its ids to the ledger (``out`` with "-ids" appended). A later batch leaves out the ids
+    of the other batches in the ledger; a crash before a batch is committed, also between the two writes, redelivers it, and
+    what it had written is replaced. Entries without an id can't be handled; they go to the dead letters, ``out`` with
+    "-dead" appended. The ledger is scanned for the ids of the batch, never sorted or collected.
+    """
+    ledger, kind = f"{out}-ids", entries.schema["job_id"].dataType.simpleString()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.where(F.col("job_id").isNull()).write.mode("overwrite").parquet(f"{out}-dead/batch={batch_id}")
         once = batch.where(F.col("job_id").isNotNull()).dropDuplicates(["job_id"])
-        work(once).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # Makes the folder known to the reader; a repeated batch starts without its own ids.
+        spark.createDataFrame([], f"job_id {kind}").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        known = spark.read.schema(f"job_id {kind}, batch bigint").option("basePath", ledger).parquet(ledger).where(F.col("batch") != batch_id)
+        seen = known.select("job_id").join(once.select("job_id"), "job_id", "left_semi").distinct()
+        fresh = once.join(seen, "job_id", "left_anti")
+        ids = cut(fresh.select("job_id"), "ids")
+        work(once.join(ids, "job_id", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ids.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
     return start(entries, handle, checkpoint, **options)
 
@@ -139,6 +152,18 @@ def dedupe(submissions: DataFrame, late: str = "1 day") -> DataFrame:
     return some.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_salt")
 
 
+def first_arrivals(submissions: DataFrame) -> DataFrame:
+    """The submission that wins each external id, the earliest by (ts, job_id): external_id, job_id, ts, in update mode.
+
+    A copy that arrives later but is earlier by its time takes over, and the row is emitted again, so the last row of an id
+    (``latest``) is that of the batch rule whatever the order of arrival. Copies of a popular id are reduced before they are
+    sent. Ids stay known, as they do in the table of jobs; submissions without one win for themselves and are not here.
+    """
+    named = submissions.where(F.coalesce("external_id", F.lit("")) != "")
+    won = named.groupBy("external_id").agg(F.min(F.struct(F.col("ts").isNull().alias("no_time"), "ts", "job_id")).alias("won"))
+    return won.select("external_id", F.col("won.job_id").alias("job_id"), F.col("won.ts").alias("ts"))
+
+
 def status_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
