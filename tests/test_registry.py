@@ -16,7 +16,7 @@ QUICK = ["fuse", "overlap_summary", "refine_call_center", "idempotent_ingest", "
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) - set(oracles.SQL) == {
-        "hmac_sign", "cluster_bisect", "diarise_windows", "diarise_spectral"}
+        "cluster_bisect", "diarise_windows", "diarise_spectral"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="sample data absent")

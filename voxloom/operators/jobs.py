@@ -252,8 +252,8 @@ def retention(
     return manifest, old.select("job_id")
 
 
-def sweep(jobs: DataFrame, as_of: Column, consumer_lag: int | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """Stale jobs with their repair: ``action`` (republish, reset_republish, fail), new status and attempts, payload."""
+def _judged(jobs: DataFrame, as_of: Column, consumer_lag: int | None, params: Params) -> DataFrame:
+    """All jobs with the repair that a sweep at ``as_of`` gives them (null: none)."""
     idle = F.col("updated_at")
     pending = (F.col("status") == PENDING) & (idle < before(as_of, params.stale_pending_seconds))
     if consumer_lag is not None and consumer_lag > 0:
@@ -267,17 +267,34 @@ def sweep(jobs: DataFrame, as_of: Column, consumer_lag: int | None = None, param
     )
     message = F.lit(f"Job processing timed out after {params.stale_processing_seconds}s (stale processing)")
     failed = F.col("action") == "fail"
-    out = jobs.withColumn("action", action).where(F.col("action").isNotNull())
-    out = out.withColumns(
+    return jobs.withColumn("action", action).withColumns(
         {
             "new_status": F.when(failed, FAILED).otherwise(PENDING),
             "new_attempts": F.when(failed, tries + 1).otherwise(tries),
-            "error_message": F.when(failed, message),
+            "_message": F.when(failed, message),
             "dead_letter": failed,
         }
     )
-    notify = failed & F.col("callback_url").isNotNull()
-    return out.withColumn("payload", F.when(notify, failed_payload(F.col("new_attempts"), message)))
+
+
+def sweep(jobs: DataFrame, as_of: Column, consumer_lag: int | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Stale jobs with their repair: ``action`` (republish, reset_republish, fail), new status, attempts and time, payload.
+
+    A repaired job counts as touched at ``as_of``, so the next sweep leaves it alone until it is stale again. A job that
+    failed notifies its callback, if it has one that isn't blank.
+    """
+    out = _judged(jobs, as_of, consumer_lag, params).where(F.col("action").isNotNull())
+    notify = (F.col("action") == "fail") & (F.trim(F.coalesce("callback_url", F.lit(""))) != "")
+    payload = F.when(notify, failed_payload(F.col("new_attempts"), F.col("_message")))
+    return out.withColumns({"error_message": F.col("_message"), "updated_at": as_of, "payload": payload}).drop("_message")
+
+
+def after_sweep(jobs: DataFrame, as_of: Column, consumer_lag: int | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """``jobs`` as a sweep leaves them; jobs without a repair are unchanged."""
+    hit = F.col("action").isNotNull()
+    new = {"status": F.col("new_status"), "attempts": F.col("new_attempts"), "updated_at": as_of, "error_message": F.coalesce("_message", "error_message")}
+    judged = _judged(jobs, as_of, consumer_lag, params)
+    return judged.select(*[F.when(hit, new[c]).otherwise(F.col(c)).cast(jobs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in jobs.columns])
 
 
 def route_outcomes(outcomes: DataFrame, as_of: Column) -> DataFrame:

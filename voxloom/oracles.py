@@ -347,9 +347,15 @@ UNION ALL SELECT job_id, storage_uri, 'record' FROM jobs WHERE created_at < TIME
 SQL["retention_records"] = sql("jobs", "SELECT job_id FROM jobs WHERE created_at < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY")
 SQL["sweep"] = sql("jobs", """
 SELECT job_id, action, CASE WHEN action = 'fail' THEN 'FAILED' ELSE 'PENDING' END AS new_status, CASE WHEN action = 'fail' THEN attempts + 1 ELSE attempts END AS new_attempts, action = 'fail' AS dead_letter,
- CASE WHEN action = 'fail' AND callback_url IS NOT NULL THEN '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"FAILED","attempts":' || (attempts + 1) || ',"error_message":"Job processing timed out after 1800s (stale processing)"}' END AS payload
+ CASE WHEN action = 'fail' AND trim(coalesce(callback_url, '')) <> '' THEN '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"FAILED","attempts":' || (attempts + 1) || ',"error_message":"Job processing timed out after 1800s (stale processing)"}' END AS payload
 FROM (SELECT *, CASE WHEN status = 'PENDING' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 300 SECOND THEN 'republish'
  WHEN status = 'PROCESSING' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 1800 SECOND THEN CASE WHEN attempts < 3 THEN 'reset_republish' ELSE 'fail' END END AS action FROM jobs) WHERE action IS NOT NULL""")
+SQL["sweep_again"] = sql("jobs", """
+SELECT job_id, CASE WHEN late AND attempts >= 3 AND status = 'PROCESSING' THEN 'FAILED' WHEN late THEN 'PENDING' ELSE status END AS status,
+ CAST(CASE WHEN late AND attempts >= 3 AND status = 'PROCESSING' THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
+ CASE WHEN late THEN TIMESTAMP '1998-01-01' ELSE updated_at END AS updated_at, NULL::VARCHAR AS action
+FROM (SELECT *, (status = 'PENDING' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 300 SECOND)
+ OR (status = 'PROCESSING' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 1800 SECOND) AS late FROM jobs)""")
 SQL["route_outcomes"] = sql("jobs", """
 SELECT job_id, CASE status WHEN 'FAILED' THEN 'dead_letter' WHEN 'PENDING' THEN 'republish' ELSE 'ack' END AS route,
  CASE WHEN status = 'PENDING' THEN updated_at + to_seconds(CAST(least(30, power(2, greatest(0, attempts - 1))) AS INTEGER)) END AS not_before FROM jobs""")
@@ -367,7 +373,20 @@ SQL["webhook_payload_completed"] = sql("jobs stored", """
 SELECT job_id, 0::BIGINT AS page_no, '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"COMPLETED","language":"tr","overlap_summary":null,"utterances":' || coalesce(u, '[]') || '}' AS payload
 FROM jobs LEFT JOIN (SELECT recording_id, CAST(to_json(list({'speaker_id': speaker_id, 'start_time': start_time, 'end_time': end_time, 'text': text} ORDER BY start_time, created_no, utterance_id)) AS VARCHAR) AS u
  FROM stored GROUP BY recording_id) ON recording_id = job_id""")
-SQL["hmac_verify"] = sql("deliveries", "SELECT delivery_id, delivery_id % 7 <> 0 AND delivery_id % 5 <> 0 AND delivery_id % 3 <> 0 AS valid FROM deliveries")
+_KEY = b"whsec-test".ljust(64, b"\0")
+_PADS = {name: "".join(f"{b ^ pad:02x}" for b in _KEY) for name, pad in (("inner", 0x36), ("outer", 0x5C))}
+
+
+def hmac(message: str) -> str:
+    """Signature of a text under the key of the queries."""
+    return f"'sha256=' || sha256(unhex('{_PADS['outer']}') || unhex(sha256(unhex('{_PADS['inner']}') || encode({message}))))"
+
+
+SQL["hmac_sign"] = sql("deliveries", f"""SELECT delivery_id, {hmac("epoch(next_attempt_at)::BIGINT || '.' || '{\"job_id\":\"' || job_id || '\"}'")} AS signature FROM deliveries""")
+SQL["hmac_verify"] = sql("deliveries", f"""
+SELECT delivery_id, coalesce(abs(2300 - try_cast(ts AS BIGINT)) <= 300, false) AND given = {hmac("ts || '.b' || delivery_id")} AS valid
+FROM (SELECT *, {hmac("ts || '.b' || delivery_id")} || CASE WHEN delivery_id % 3 = 0 THEN '0' ELSE '' END AS given
+ FROM (SELECT delivery_id, CASE WHEN delivery_id % 7 = 0 THEN 'soon' WHEN delivery_id % 5 = 0 THEN '1000' ELSE '2000' END AS ts FROM deliveries))""")
 SQL["backoff"] = sql("deliveries", "SELECT delivery_id, CAST(5 * power(2, attempts) AS BIGINT) AS webhook_seconds, least(30.0, power(2, greatest(0, attempts - 1)))::DOUBLE AS worker_seconds FROM deliveries")
 SQL["client_key"] = sql("job_events", """
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'key_hash:' || left(sha256('key-' || event_id), 16) WHEN event_id % 2 = 0 THEN 'ip:10.0.0.' || (event_id % 200) ELSE 'ip:127.0.0.1' END AS client FROM job_events""")

@@ -550,6 +550,14 @@ def sweep(spark, sf):
     return out.select("job_id", "action", "new_status", "new_attempts", "dead_letter", "payload")
 
 
+@query
+def sweep_again(spark, sf):
+    """Jobs after a sweep, and what a second one at the same time does to each: nothing."""
+    swept = jobs.after_sweep(D.jobs(spark, sf), _at(AS_OF), 0)
+    again = jobs.sweep(swept, _at(AS_OF), 0).select("job_id", "action")
+    return swept.join(again, "job_id", "left").select("job_id", "status", "attempts", "updated_at", "action")
+
+
 @query
 def route_outcomes(spark, sf):
     j = D.jobs(spark, sf)
@@ -598,7 +606,6 @@ def webhook_payload_completed(spark, sf):
 
 @query
 def hmac_sign(spark, sf):
-    """DuckDB has no HMAC; the unit tests compare with Python's."""
     body = F.concat(F.lit('{"job_id":"'), F.col("job_id").cast("string"), F.lit('"}'))
     ts = F.unix_seconds(F.col("next_attempt_at").cast("timestamp")).cast("string")
     return D.deliveries(spark, sf).select("delivery_id", guards.sign("whsec-test", ts, body).alias("signature"))
