@@ -1,9 +1,10 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import blocks, jobs, metrics, transcripts
+from voxloom.operators import blocks, intervals, jobs, metrics, transcripts
 from voxloom.sources import contracts, tables
 
 NOW = datetime(2024, 5, 1, 12)
@@ -139,3 +140,35 @@ def test_second_result_of_a_job_finds_it_done(spark):
     results = spark.createDataFrame([(1, None, "a", 2), (1, None, "b", 1), (2, None, "c", 3)], "job_id bigint, token timestamp, payload string, at int")
     got = {r.payload: r.verdict for r in jobs.completion_verdicts(job_rows, results, ["at"]).collect()}
     assert got == {"b": "applied", "a": "already_done", "c": "missing"}
+
+
+def test_equal_results_of_a_job_are_applied_once(spark):
+    """A job with many results, some of them equal in every column, is completed by one row, the least."""
+    job_rows = spark.createDataFrame([(1, "PROCESSING", None)], "job_id bigint, status string, processing_started_at timestamp")
+    results = spark.range(2000).selectExpr("1L job_id", "cast(null as timestamp) token", "concat('p', id div 4) payload", "if(id < 8, null, int(id div 8)) at")
+    out = jobs.completion_verdicts(job_rows, results, ["at"])
+    assert out.columns == ["job_id", "token", "payload", "at", "verdict"]
+    got = out.groupBy("verdict").count().collect()
+    assert {r.verdict: r["count"] for r in got} == {"applied": 1, "already_done": 1999}
+    won = out.where("verdict = 'applied'").first()
+    assert (won["at"], won.payload) == (None, "p0")
+
+
+def test_bodies_are_whole_whatever_the_pages(spark):
+    """A body holds all utterances in order, its summary and pairs; a record without any has none of them."""
+    rec = spark.createDataFrame([(1, 1, 'a"b.wav', "tr"), (2, 2, None, None)], "recording_id bigint, job_id bigint, file_name string, language string")
+    said = [(1, f"u{i:02}", "S", None if i == 7 else float(i // 3), 30.0, f'say "{i}"\n') for i in range(25)]
+    u = spark.createDataFrame(said, "recording_id bigint, utterance_id string, speaker_id string, start_time double, end_time double, text string")
+    segs = spark.createDataFrame([(1, i, "AB"[i % 2], float(i), i + 1.5) for i in range(9)], "recording_id bigint, seg_no bigint, speaker_id string, start_time double, end_time double")
+    known = intervals.overlap_summary(rec.where("job_id = 1").withColumn("effective_duration", F.lit(20.0)), intervals.overlap_totals(segs))
+    pairs = intervals.overlap_pairs(segs)
+    for rows in (4, 10_000):
+        pages = intervals.overlap_pages(pairs, rows)
+        out = transcripts.completed_bodies(rec, u, known, pages, ["utterance_id"], rows)
+        got = {r.job_id: json.loads(r.payload) for r in out.collect()}
+        assert [x["text"] for x in got[1]["utterances"]] == [x[5] for x in sorted(said, key=lambda x: (x[3] is not None, x[3] or 0, x[1]))]
+        assert (got[1]["file_name"], got[1]["language"], got[1]["status"]) == ('a"b.wav', "tr", "COMPLETED")
+        s = got[1]["overlap_summary"]
+        assert (s["total_overlap_seconds"], s["interrupt_count"], s["overlap_percentage"]) == (4.0, 8, 20.0)
+        assert [x["start_time"] for x in s["overlaps"]] == [float(i) for i in range(1, 9)]
+        assert got[2] == {"job_id": "2", "file_name": None, "status": "COMPLETED", "language": None, "overlap_summary": None, "utterances": []}

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import intervals, utterances
@@ -93,7 +94,7 @@ def test_overlaps(spark):
     rec = spark.createDataFrame([(1, 10.0), (2, 10.0)], "recording_id bigint, effective_duration double")
     for width in (0.5, 60.0):
         pairs = intervals.overlap_pairs(segs, bin_seconds=width)
-        got = {r.recording_id: r for r in intervals.overlap_summary(rec, segs, pairs).collect()}
+        got = {r.recording_id: r for r in intervals.overlap_summary(rec, intervals.overlap_totals(segs, bin_seconds=width)).collect()}
         assert (got[1].interrupt_count, got[1].total_overlap_seconds, got[1].overlap_percentage) == (1, 1.0, 10.0)
         assert (got[2].interrupt_count, got[2].total_overlap_seconds) == (0, 0.0)
         p = pairs.collect()[0]
@@ -117,6 +118,42 @@ def test_overlap_pairs_match_nested_loops(spark):
         assert got.count() == len(want)
 
 
+def totals(df, width=60.0, floor=0.05):
+    out = intervals.overlap_totals(df, floor, bin_seconds=width).collect()
+    return {r.recording_id: (r.pairs, pytest.approx(r.overlap_seconds, abs=1e-6)) for r in out}
+
+
+def test_overlap_totals_equal_the_pairs(spark):
+    """Hundredths make many overlaps of just the floor, whose test rounds either way; equal starts, ends and rows of no
+    length or no speaker are among them."""
+    rng = random.Random(5)
+    rows = [
+        (r, i, rng.choice(["A", "B", "C", None]), a / 100, (a + rng.choice([0, 4, 5, 6, 10, 300])) / 100)
+        for r in range(6)
+        for i, a in enumerate(rng.choices(range(200 * r + 40), k=150))
+    ]
+    rows += [(9, i, "AB"[i % 2], 1.0, 1.05) for i in range(20)] + [(10, 0, "A", None, 2.0), (10, 1, "B", 1.0, None), (None, 0, "A", 0.0, 2.0)]
+    rows += [(11, i, "A", float(i), i + 3.0) for i in range(9)]
+    df = spark.createDataFrame(rows, SEGS)
+    for floor in (0.0, 0.05, 0.06):
+        pairs = intervals.overlap_pairs(df, floor).groupBy("recording_id").agg(F.count("*"), F.sum("overlap_seconds"))
+        want = {r[0]: (r[1], r[2]) for r in pairs.collect()}
+        for width in (0.5, 60.0):
+            assert totals(df, width, floor) == want
+    assert totals(df.limit(0)) == {}
+
+
+def test_overlap_totals_of_ten_thousand_at_once(spark):
+    n = 10000
+    df = spark.range(n).selectExpr(
+        "1L recording_id", "int(id) seg_no", "if(id % 2 = 0, 'A', 'B') speaker_id", "id / 1000D start_time", "100 + id / 1000D end_time"
+    )
+    # Every even one meets every odd one: 100 s less the distance of their starts.
+    apart = sum(2 * (n - d) // 2 * d for d in range(1, n, 2)) / 1000
+    (pairs, seconds), = totals(df).values()
+    assert pairs == (n // 2) ** 2 and (n // 2) ** 2 * 100 - apart == seconds
+
+
 def test_vad_filter(spark):
     rng = random.Random(13)
     words = [(r, i, "w", i * 0.4, i * 0.4 + 0.3) for r in range(4) for i in range(60)]

@@ -89,7 +89,8 @@ def completion_verdicts(jobs: DataFrame, results: DataFrame, arrival: Sequence[C
     others find it done.
 
     A result counts only while its job is PROCESSING under the same claim
-    token; a null token on either side is not checked.
+    token; a null token on either side is not checked. The results of a job are dealt by their content: the first of
+    each share is a candidate, the least candidate wins, so no job's results meet in one task.
     """
     state = jobs.select("job_id", F.col("status").alias("_s"), F.col("processing_started_at").alias("_p"))
     same = F.col("token").isNull() | F.col("_p").isNull() | (F.col("token") == F.col("_p"))
@@ -101,9 +102,14 @@ def completion_verdicts(jobs: DataFrame, results: DataFrame, arrival: Sequence[C
     )
     judged = results.join(state, "job_id", "left").withColumn("verdict", verdict).drop("_s", "_p")
     order = [*arrival, *[c for c, kind in results.dtypes if not kind.startswith("map")]]
-    nth = F.row_number().over(Window.partitionBy("job_id", "verdict").orderBy(*order))
-    late = (F.col("verdict") == "applied") & (F.col("_nth") > 1)
-    return judged.withColumn("_nth", nth).withColumn("verdict", F.when(late, "already_done").otherwise(F.col("verdict"))).drop("_nth")
+    judged = judged.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    nth = F.row_number().over(Window.partitionBy("job_id", "verdict", "_share").orderBy(*order))
+    applied = F.col("verdict") == "applied"
+    placed = judged.withColumn("_nth", nth)
+    won = placed.where(applied & (F.col("_nth") == 1)).groupBy("job_id").agg(F.min_by("_share", F.struct(*order)).alias("_share"))
+    late = applied & (F.col("_won").isNull() | (F.col("_nth") > 1))
+    out = placed.join(won.withColumn("_won", F.lit(True)), ["job_id", "_share"], "left")
+    return out.withColumn("verdict", F.when(late, "already_done").otherwise(F.col("verdict"))).select(*results.columns, "verdict")
 
 
 def apply_completions(jobs: DataFrame, verdicts: DataFrame, as_of: Column) -> DataFrame:

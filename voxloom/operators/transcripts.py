@@ -131,26 +131,58 @@ def record_pages(
     )
 
 
-def completed_payload(utterances: Column, summary: Column) -> Column:
-    """Notification body of a finished job; ``utterances`` is an array of structs."""
-    items = F.transform(
-        utterances,
-        lambda u: F.struct(
-            u["speaker_id"].alias("speaker_id"),
-            u["start_time"].alias("start_time"),
-            u["end_time"].alias("end_time"),
-            u["text"].alias("text"),
-        ),
+def _joined_text(pages: DataFrame, name: str, out: str) -> DataFrame:
+    """Pages of arrays as the text of one JSON array's inside per recording; pages become text before they meet."""
+    text = F.to_json(name, {"ignoreNullFields": "false"})
+    part = F.struct("page_no", F.substring(text, F.lit(2), F.length(text) - 2).alias("t"))
+    parts = pages.select("recording_id", part.alias("_p"))
+    return parts.groupBy("recording_id").agg(F.array_join(F.sort_array(F.collect_list("_p"))["t"], ",").alias(out))
+
+
+def completed_bodies(
+    records: DataFrame,
+    utterances: DataFrame,
+    summaries: DataFrame,
+    overlaps: DataFrame,
+    tie: Sequence[str],
+    page_rows: int = PAGE_ROWS,
+    block_seconds: float = 600.0,
+) -> DataFrame:
+    """Notification bodies of finished jobs: (records' columns, ``payload``), one whole body per record.
+
+    ``records`` need recording_id, job_id, file_name and language; ``summaries`` (``intervals.overlap_summary``) hold at
+    most one row a recording, and ``overlaps`` are ``intervals.overlap_pages``. Without a summary it is null. Utterances
+    are ordered by start, then ``tie``. They become text in pages, so that a body is put together from a few strings;
+    the body is one string, as it is sent.
+    """
+    pages = blocks.nest_pages(
+        utterances.select(*dict.fromkeys(["recording_id", "speaker_id", "start_time", "end_time", "text", *tie])),
+        REC,
+        ["start_time", *tie],
+        blocks.block_of("start_time", block_seconds),
+        F.struct("speaker_id", "start_time", "end_time", "text"),
+        page_rows,
+        "_items",
     )
-    body = F.struct(
-        F.col("job_id").cast("string").alias("job_id"),
-        "file_name",
-        F.lit("COMPLETED").alias("status"),
-        "language",
-        summary.alias("overlap_summary"),
-        items.alias("utterances"),
+    flat = [f for f in SUMMARY_TYPE if f.name != "overlaps"]
+    known = summaries.select("recording_id", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in flat]).alias("_summary"))
+    head = F.struct(F.col("job_id").cast("string").alias("job_id"), "file_name", F.lit("COMPLETED").alias("status"), "language")
+
+    def opened(column: Column) -> Column:
+        text = F.to_json(column, {"ignoreNullFields": "false"})
+        return F.substring(text, F.lit(1), F.length(text) - 1)
+
+    inside = lambda c: F.coalesce(c, F.lit(""))
+    summary = F.when(
+        F.col("_summary").isNotNull(), F.concat(opened(F.col("_summary")), F.lit(',"overlaps":['), inside("_pairs"), F.lit("]}"))
+    ).otherwise("null")
+    body = F.concat(
+        opened(head), F.lit(',"overlap_summary":'), summary, F.lit(',"utterances":['), inside("_said"), F.lit("]}")
     )
-    return F.to_json(body, {"ignoreNullFields": "false"})
+    rows = records
+    for more in (known, _joined_text(pages, "_items", "_said"), _joined_text(overlaps, "overlaps", "_pairs")):
+        rows = rows.join(more, "recording_id", "left")
+    return rows.select(*records.columns, body.alias("payload"))
 
 
 def failed_payload(attempts: Column, message: Column) -> Column:

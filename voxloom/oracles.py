@@ -369,10 +369,15 @@ SQL["host_waves"] = sql("deliveries", """
 SELECT delivery_id, host, (row_number() OVER (PARTITION BY host ORDER BY next_attempt_at, delivery_id) - 1) // 5 AS wave FROM (SELECT *, regexp_extract(url, '//([^/]+)', 1) AS host FROM deliveries)""")
 SQL["webhook_payload"] = sql("jobs", """
 SELECT job_id, '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"FAILED","attempts":' || attempts || ',"error_message":"OSError: lost [FILE_PATH]"}' AS payload FROM jobs""")
-SQL["webhook_payload_completed"] = sql("jobs stored", """
-SELECT job_id, 0::BIGINT AS page_no, '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"COMPLETED","language":"tr","overlap_summary":null,"utterances":' || coalesce(u, '[]') || '}' AS payload
-FROM jobs LEFT JOIN (SELECT recording_id, CAST(to_json(list({'speaker_id': speaker_id, 'start_time': start_time, 'end_time': end_time, 'text': text} ORDER BY start_time, created_no, utterance_id)) AS VARCHAR) AS u
- FROM stored GROUP BY recording_id) ON recording_id = job_id""")
+SQL["webhook_payload_completed"] = sql("jobs stored segments recordings", """
+SELECT job_id, '{"job_id":"' || job_id || '","file_name":"' || file_name || '","status":"COMPLETED","language":"tr","overlap_summary":' || coalesce(j, 'null') || ',"utterances":' || coalesce(u, '[]') || '}' AS payload
+FROM jobs LEFT JOIN (SELECT recording_id, CAST(to_json({'supported': supported, 'total_overlap_seconds': total_overlap_seconds, 'overlap_percentage': overlap_percentage, 'interrupt_count': interrupt_count,
+  'overlaps': coalesce(o, [])}) AS VARCHAR) AS j FROM summ LEFT JOIN listed USING (recording_id)) sm
+ ON sm.recording_id = job_id LEFT JOIN (SELECT recording_id, CAST(to_json(list({'speaker_id': speaker_id, 'start_time': start_time, 'end_time': end_time, 'text': text} ORDER BY start_time, created_no, utterance_id)) AS VARCHAR) AS u
+ FROM stored GROUP BY recording_id) st ON st.recording_id = job_id""", SUMMARY + f"""
+listed AS (SELECT recording_id, list({{'speakers': [s1, s2], 'start_time': {R2.format('lo')}, 'end_time': {R2.format('hi')}, 'duration': {R2.format('hi - lo')}}}
+ ORDER BY i_start, i_seg, j_start, j_seg) AS o FROM pairs GROUP BY recording_id),
+""")
 _KEY = b"whsec-test".ljust(64, b"\0")
 _PADS = {name: "".join(f"{b ^ pad:02x}" for b in _KEY) for name, pad in (("inner", 0x36), ("outer", 0x5C))}
 

@@ -75,7 +75,7 @@ def analyse(
     pairs = intervals.overlap_pairs(used, params.overlap_floor)
     fused = utterances.fuse(heard, used, params.max_silence, block_rows)
     refined = refine.refine(fused.withColumnRenamed("utt_key", "utt_no"), params, block_rows)
-    return Analysis(refined, intervals.overlap_summary(timed, used, pairs), pairs)
+    return Analysis(refined, intervals.overlap_summary(timed, intervals.overlap_totals(used, params.overlap_floor)), pairs)
 
 
 @dataclass(frozen=True)

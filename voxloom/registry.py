@@ -131,7 +131,7 @@ def effective_duration(spark, sf):
 @query
 def overlap_summary(spark, sf):
     seg = D.segments(spark, sf)
-    out = intervals.overlap_summary(_durations(spark, sf), seg, intervals.overlap_pairs(seg))
+    out = intervals.overlap_summary(_durations(spark, sf), intervals.overlap_totals(seg))
     return out.select("recording_id", "supported", "total_overlap_seconds", "overlap_percentage", "interrupt_count")
 
 
@@ -145,7 +145,7 @@ def overlap_pages(spark, sf):
 def summary_json(spark, sf):
     """Summary to JSON and back; every fifth text is cut short and must come back null."""
     seg = D.segments(spark, sf)
-    out = intervals.overlap_summary(_durations(spark, sf), seg, intervals.overlap_pairs(seg))
+    out = intervals.overlap_summary(_durations(spark, sf), intervals.overlap_totals(seg))
     text = X.summary_to_json(F.struct("supported", "total_overlap_seconds", "overlap_percentage", "interrupt_count"))
     broken = F.when(F.col("recording_id") % 5 == 0, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     back = X.summary_from_json(broken)
@@ -599,9 +599,10 @@ def webhook_payload(spark, sf):
 def webhook_payload_completed(spark, sf):
     u = D.stored_utterances(spark, sf)
     rec = D.jobs(spark, sf).select(F.col("job_id").alias("recording_id"), "job_id", "file_name", F.lit("tr").alias("language"))
-    pages = X.record_pages(rec, u, ["created_no", "utterance_id"])
-    empty = F.lit(None).cast(X.SUMMARY_TYPE)
-    return pages.select("job_id", "page_no", X.completed_payload(F.col("utterances"), empty).alias("payload"))
+    seg = D.segments(spark, sf)
+    summaries = intervals.overlap_summary(_durations(spark, sf), intervals.overlap_totals(seg))
+    pages = intervals.overlap_pages(intervals.overlap_pairs(seg))
+    return X.completed_bodies(rec, u, summaries, pages, ["created_no", "utterance_id"]).select("job_id", "payload")
 
 
 @query
