@@ -139,7 +139,7 @@ def test_rows_without_a_time_stay_in_records_waves_and_limits(spark):
     page = transcripts.record_pages(records, u, ["created_no", "utterance_id"]).collect()
     assert [x.utterance_id for x in page[0].utterances] == ["u0", "u2", "u1", "u3"]
     d = spark.createDataFrame([(f"d{i}", "http://a/b", t) for i, t in enumerate([None, 5, 6])], "delivery_id string, url string, next_attempt_at long")
-    assert {(r.delivery_id, r.wave) for r in jobs.host_waves(d, B.block_of("next_attempt_at", 4), 2).collect()} == {("d0", 0), ("d1", 0), ("d2", 1)}
+    assert {(r.delivery_id, r.wave) for r in jobs.host_waves(d, 2).collect()} == {("d0", 0), ("d1", 0), ("d2", 1)}
     q = spark.createDataFrame([("e0", "c", None), ("e1", "c", "2020-01-01 00:00:00"), ("e2", None, None)], "event_id string, client string, ts string")
     q = q.withColumn("ts", F.col("ts").cast("timestamp"))
     assert {(r.event_id, r.request_no, r.code) for r in jobs.rate_limit(q).collect()} == {(e, 1, 202) for e in ("e0", "e1", "e2")}
@@ -147,3 +147,24 @@ def test_rows_without_a_time_stay_in_records_waves_and_limits(spark):
     ids, none = records.select(F.col("recording_id").alias("job_id")), spark.createDataFrame([], "job_id string, at long")
     assert [t.count() for t in jobs.cascade_delete(ids, u, none, ids, block, B.block_of("at", 1))] == [0, 0, 0]
     assert jobs.backfill(ids, ids.limit(0), u, block)[1].count() == 4
+
+
+def test_range_running_splits_a_burst(spark):
+    """A key with most rows, all due at one time, is numbered in order over many ranges; null keys are one key."""
+    df = spark.range(20000).selectExpr("case when id % 10 < 8 then 'hot' when id % 10 = 8 then null else 'b' end k", "0 at", "id", "id % 3 v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for desc in (False, True):
+            out = B.range_running(df, ["k"], ["at", "id"], {"n": F.lit(1).cast("long"), "s": F.col("v")}, desc)
+            rows = out.collect()
+            assert len(rows) == 20000
+            for k in ("hot", None, "b"):
+                mine = sorted((r for r in rows if r.k == k), key=lambda r: r.id, reverse=desc)
+                assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+                assert [r.s for r in mine] == [sum(r.v for r in mine[: i + 1]) for i in range(3)] + [mine[i].s for i in range(3, len(mine))]
+                assert mine[-1].s == sum(r.v for r in mine)
+        sizes = [r["count"] for r in df.repartitionByRange("k", "at", "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 20000 / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert B.range_running(df.limit(0), ["k"], ["at", "id"], {"n": F.lit(1)}).count() == 0

@@ -96,7 +96,7 @@ def test_store_caps(spark):
     rows = [(i, at(minutes=100 - i), size) for i, size in enumerate([5, 1, 1, 9, 2, 2])]
     df = spark.createDataFrame(rows, "job_id bigint, created_at timestamp_ntz, size_bytes bigint")
     block = blocks.block_of("job_id", 2)
-    ids = lambda n, b: sorted(r.job_id for r in jobs.newest_within(df, ["job_id"], block, n, b).collect())
+    ids = lambda n, b: sorted(r.job_id for r in jobs.newest_within(df, ["job_id"], n, b).collect())
     assert ids(3, 100) == [3, 4, 5]
     assert ids(10, 13) == [3, 4, 5]
     assert ids(10, 12) == [4, 5]

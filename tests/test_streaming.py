@@ -170,3 +170,20 @@ def test_routes(spark, tmp_path):
     S.route(stream(spark, tmp_path / "in", schema), as_of, out, str(tmp_path / "progress")).awaitTermination()
     got = {r.job_id: (r.route, r.not_before) for r in spark.read.option("basePath", out).parquet(out).collect()}
     assert got == {1: ("ack", None), 2: ("dead_letter", None), 3: ("republish", datetime(2024, 1, 1, 0, 0, 2)), 4: ("ack", None)}
+
+
+def test_attempts_meet_answers_as_in_batch(spark, tmp_path):
+    """Answers in time, too late, before the attempt, for another try and missing; both streams out of order."""
+    ts = lambda s: T0 + timedelta(seconds=s)
+    sent = [("a", 0, ts(0)), ("a", 1, ts(20)), ("b", 0, ts(1)), ("c", 0, ts(2)), ("d", 3, ts(500)), (None, 0, ts(3))]
+    told = [("a", 0, ts(5), 200, None), ("a", 1, ts(26), 200, None), ("b", 0, ts(0), 200, None), ("c", 1, ts(3), 200, None), ("d", 3, ts(501), 503, "busy"), (None, 0, ts(3), 200, None)]
+    kinds = "delivery_id string, attempts int, sent_at timestamp", "delivery_id string, attempts int, answered_at timestamp, outcome_code int, outcome_text string"
+    want = {("a", 0, 200, None), ("a", 1, None, "timeout"), ("b", 0, None, "timeout"), ("c", 0, None, "timeout"), ("d", 3, 503, "busy"), (None, 0, None, "timeout")}
+    pick = lambda df: {(r.delivery_id, r.attempts, r.outcome_code, r.outcome_text) for r in df.collect()}
+    assert pick(S.attempt_outcomes(*(spark.createDataFrame(r, k) for r, k in zip((sent, told), kinds)))) == want
+    end = [("z", 0, ts(90000))], [("z", 0, ts(90000), 200, None)]
+    for name, rows, kind, last in zip(("sent", "told"), (sent, told), kinds, end):
+        for k, part in enumerate((rows[3:], rows[:3], last, last)):
+            drop(spark, tmp_path / name, part, kind, f"part{k}")
+    met = S.attempt_outcomes(*(stream(spark, tmp_path / n, k) for n, k in zip(("sent", "told"), kinds)), late="1 hour")
+    assert pick(S.run_to_table(met, spark, "t-attempts").where("delivery_id <> 'z' or delivery_id is null")) == want

@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.session import cut
+
 BLK = "_blk"
 PIN = "_pin"
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -185,6 +187,31 @@ def row_numbers(
     return running(df, keys, order, block, sums={name: F.lit(1).cast("long")})
 
 
+def range_running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], descending: bool = False
+) -> DataFrame:
+    """Running sums along each key, inclusive, where no column bounds the size of a block.
+
+    The rows are dealt into ranges of (keys, order) whose limits Spark samples, so that a key with a third of all rows, or
+    all of them, spreads over many ranges however close its rows lie. The ranges are written once, since sampled limits may
+    differ when a stage runs again; each (range, key) then gives one row of sums, and the sums before it are its carry.
+    ``order`` should tell the rows of a key apart: rows equal in it share a range and come in any order.
+    """
+    part = "_range"
+    by = [F.col(c).desc() if descending else F.col(c) for c in order]
+    spread = df.repartitionByRange(*keys, *by).withColumn(part, F.spark_partition_id())
+    names = [f"_in_{n}" for n in sums]
+    rows = cut(spread.withColumns(dict(zip(names, sums.values()))), "ranges")
+    # Structs hold null keys, which are equal as such.
+    rows = rows.withColumn("_key", F.struct(F.lit(0).alias("one"), *keys)).repartition("_key", part)
+    local = Window.partitionBy("_key", part).orderBy(*by).rowsBetween(*UP_TO_HERE)
+    before = Window.partitionBy("_key").orderBy(part).rowsBetween(*BEFORE)
+    carry = rows.groupBy("_key", part).agg(*[F.sum(c).alias(f"_of{c}") for c in names])
+    carry = carry.select("_key", part, *[F.coalesce(F.sum(f"_of{c}").over(before), F.lit(0)).alias(f"_to{c}") for c in names])
+    out = rows.withColumns({f"_at{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in names}).join(carry, ["_key", part])
+    return out.select(*df.columns, *[(F.col(f"_at{c}") + F.col(f"_to{c}")).alias(n) for n, c in zip(sums, names)])
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],

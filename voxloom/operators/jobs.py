@@ -177,12 +177,9 @@ def expired_jobs(jobs: DataFrame, cutoff: Column, statuses: list[str] | None = N
     return rows if limit is None else rows.orderBy("created_at", "job_id").limit(limit)
 
 
-def newest_within(items: DataFrame, order: list[str], block: Column, max_items: int, max_bytes: int) -> DataFrame:
-    """First-in-first-out store: the newest rows that fit both caps. ``block`` never decreases along ``order``."""
-    newest_first = [F.desc(o) for o in order]
-    run = blocks.running(
-        items, [], newest_first, -block, sums={"_n": F.lit(1).cast("long"), "_b": F.col("size_bytes")}
-    )
+def newest_within(items: DataFrame, order: list[str], max_items: int, max_bytes: int) -> DataFrame:
+    """First-in-first-out store: the newest rows (largest ``order``) that fit both caps."""
+    run = blocks.range_running(items, [], order, {"_n": F.lit(1).cast("long"), "_b": F.col("size_bytes")}, descending=True)
     return run.where((F.col("_n") <= max_items) & (F.col("_b") <= max_bytes)).select(*items.columns)
 
 
@@ -333,17 +330,17 @@ def reclaim(
 def delivery_step(
     deliveries: DataFrame, as_of: Column, url_safe: Column, max_attempts: int = DEFAULTS.webhook_max_attempts
 ) -> DataFrame:
-    """State after one attempt; reads attempts, outcome_code, outcome_text (nullable), url, next_attempt_at."""
+    """State after one attempt; reads attempts, outcome_code, outcome_text (nullable), url, next_attempt_at.
+
+    An attempt without an outcome code raised or timed out; its text is the message.
+    """
     tries = F.col("attempts") + 1
-    success = F.col("outcome_code").between(200, 299)
+    success = F.coalesce(F.col("outcome_code").between(200, 299), F.lit(False))
     dead = tries >= max_attempts
     unsafe = F.concat(F.lit("SSRF Protection: Invalid or unsafe webhook URL '"), "url", F.lit("'"))
-    failure = F.concat(
-        F.lit("HTTP "),
-        F.col("outcome_code").cast("string"),
-        F.lit(": "),
-        F.substring(F.coalesce("outcome_text", F.lit("")), 1, 200),
-    )
+    said = F.substring(F.coalesce("outcome_text", F.lit("")), 1, 200)
+    answer = F.concat(F.lit("HTTP "), F.col("outcome_code").cast("string"), F.lit(": "), said)
+    failure = F.coalesce(answer, F.nullif("outcome_text", F.lit("")))
     later = as_of + seconds(guards.webhook_backoff_seconds(tries).cast("decimal(18,6)"))
     new = {
         "status": F.when(~url_safe, "DEAD").when(success, "SUCCESS").when(dead, "DEAD").otherwise(PENDING),
@@ -354,14 +351,14 @@ def delivery_step(
     return deliveries.select(*[c for c in deliveries.columns if c not in new], *[e.alias(n) for n, e in new.items()])
 
 
-def host_waves(deliveries: DataFrame, block: Column, per_host: int = DEFAULTS.host_concurrency) -> DataFrame:
+def host_waves(deliveries: DataFrame, per_host: int = DEFAULTS.host_concurrency) -> DataFrame:
     """Adds ``host`` and ``wave``: deliveries of a wave may run at once without exceeding ``per_host``.
 
-    ``block`` never decreases along (next_attempt_at, delivery_id).
+    A host's deliveries are numbered by (next_attempt_at, delivery_id), also when a burst of them is due in one second.
     """
     host = F.coalesce(F.nullif(guards.url_netloc(F.col("url")), F.lit("")), F.lit("default"))
-    numbered = blocks.row_numbers(
-        deliveries.withColumn("host", host), ["host"], ["next_attempt_at", "delivery_id"], block, "_no"
+    numbered = blocks.range_running(
+        deliveries.withColumn("host", host), ["host"], ["next_attempt_at", "delivery_id"], {"_no": F.lit(1).cast("long")}
     )
     return numbered.withColumn("wave", F.floor((F.col("_no") - 1) / per_host)).drop("_no")
 

@@ -473,6 +473,10 @@ res AS (SELECT o.recording_id, i AS pos, CASE WHEN b.value IS NULL THEN a.value
 SQL["energy_vad"] = sql("samples", "SELECT * FROM vad", vad(30))
 SQL["linear_resample"] = sql("samples", "SELECT recording_id, pos, round(value, 8) AS value FROM res", resampled(1600))
 SQL["signal_job"] = sql("samples", "SELECT * FROM vad", resampled(500) + vad(15, "res"))
+SQL["signal_job_noise"] = sql("samples", "SELECT recording_id, round(snr, 5) AS snr_db, snr < 38 AS denoise FROM len LEFT JOIN snr USING (recording_id)", resampled(500) + """
+len AS (SELECT DISTINCT recording_id FROM res),
+frames AS (SELECT recording_id, pos // 10 AS frame, sum(value * value) / 10 AS energy FROM res GROUP BY ALL HAVING count(*) = 10),
+""" + SNR.partition("),\n")[2])
 
 # --- diarisation ---
 SQL["pairwise_cosine"] = sql("window_embeddings", """
@@ -549,6 +553,11 @@ FROM job_events, (VALUES (0, 0.01), (1, 0.05), (2, 0.1), (3, 0.5), (4, 1), (5, 2
 SQL["stream_delivery_results"] = """
 SELECT event_id AS delivery_id, CASE WHEN event_id % 10 = 0 THEN 'DEAD' WHEN event_id % 3 = 0 THEN 'SUCCESS' WHEN event_id % 6 + 1 >= 5 THEN 'DEAD' ELSE 'PENDING' END AS status, CAST(event_id % 6 + 1 AS INTEGER) AS attempts,
  CASE WHEN event_id % 10 <> 0 AND event_id % 3 <> 0 AND event_id % 6 + 1 < 5 THEN ts + to_seconds(CAST(5 * power(2, event_id % 6) AS INTEGER)) ELSE ts END AS next_attempt_at FROM events"""
+SQL["delivery_attempts"] = SQL["stream_delivery_attempts"] = sql("job_events", """
+SELECT event_id AS delivery_id, CASE WHEN ok THEN 'SUCCESS' WHEN tries >= 5 THEN 'DEAD' ELSE 'PENDING' END AS status, tries AS attempts,
+ CASE WHEN NOT ok AND tries < 5 THEN ts + to_seconds(CAST(5 * power(2, tries - 1) AS INTEGER)) ELSE ts END AS next_attempt_at,
+ CASE WHEN NOT heard THEN 'timeout' WHEN NOT ok THEN 'HTTP 503: busy' END AS error_message
+FROM (SELECT *, heard AND event_id % 3 = 0 AS ok, CAST(event_id % 6 + 1 AS INTEGER) AS tries FROM (SELECT *, event_id % 7 <> 0 AND event_id % 11 <> 0 AS heard FROM job_events))""")
 SQL["stream_route_outcomes"] = sql("job_events", """
 SELECT event_id, CASE kind WHEN 'fail' THEN 'dead_letter' WHEN 'claim' THEN 'republish' ELSE 'ack' END AS route,
  CASE WHEN kind = 'claim' THEN TIMESTAMP '2024-01-15' + to_seconds(CAST(least(30, power(2, greatest(0, event_id % 7 - 1))) AS INTEGER)) END AS not_before FROM job_events""")

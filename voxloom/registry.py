@@ -492,7 +492,7 @@ def _day(col):
 @query
 def fifo_capacity(spark, sf):
     j = D.jobs(spark, sf).select("job_id", "created_at", "size_bytes")
-    out = jobs.newest_within(j, ["created_at", "job_id"], _day("created_at"), 9000, 10**12)
+    out = jobs.newest_within(j, ["created_at", "job_id"], 9000, 10**12)
     return out.select("job_id", "size_bytes")
 
 
@@ -584,7 +584,7 @@ def delivery_step(spark, sf):
 @query
 def host_waves(spark, sf):
     d = D.deliveries(spark, sf).select("delivery_id", "url", "next_attempt_at")
-    out = jobs.host_waves(d, _day("next_attempt_at"))
+    out = jobs.host_waves(d)
     return out.select("delivery_id", "host", "wave")
 
 
@@ -765,6 +765,13 @@ def signal_job(spark, sf):
     return out.vad
 
 
+@query
+def signal_job_noise(spark, sf):
+    """Noise estimate and enhancement gate of the same job."""
+    out = jobs_plan.signal(D.samples(spark, sf).withColumn("channel", F.lit(0)), 500, Params(profile="feedback", min_snr_db=38.0))
+    return out.snr.select("recording_id", F.round("snr_db", 5).alias("snr_db"), "denoise")
+
+
 # --- diarisation -------------------------------------------------------------------
 
 
@@ -954,12 +961,15 @@ def stream_dedupe(spark, sf):
     return kept.groupBy("external_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _out_of_order(spark, rows, key, parts=4):
-    """``rows`` as a stream of ``parts`` files in an order that has nothing to do with their times."""
+def _out_of_order(spark, rows, key, parts=4, last=None):
+    """``rows`` as a stream of ``parts`` files in an order that has nothing to do with their times, then ``last`` twice:
+    the watermark it raises holds from the batch after it."""
     folder = session.shared_dir(spark, "arrivals")
     staged = session.cut(rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))), "arrivals")
     for k in range(parts):
         staged.where(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{folder}/part{k}")
+    for k in (parts, parts + 1) if last is not None else ():
+        last.coalesce(1).write.parquet(f"{folder}/part{k}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 
@@ -1013,6 +1023,45 @@ def stream_delivery_results(spark, sf):
     return out.select("delivery_id", "status", "attempts", "next_attempt_at")
 
 
+def _attempt_tables(spark, sf):
+    """An attempt per event and the answers to most of them: every seventh has none, every eleventh one that is too late."""
+    e = D.job_events(spark, sf)
+    i, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    url = F.concat(F.lit("https://h"), (i % 9).cast("string"), F.lit(".example.com/cb"))
+    sent = e.select(i.alias("delivery_id"), (i % 6).cast("int").alias("attempts"), url.alias("url"), ts.alias("sent_at"), ts.alias("next_attempt_at"))
+    answered = e.where(i % 7 != 0).select(
+        i.alias("delivery_id"),
+        (i % 6).cast("int").alias("attempts"),
+        F.timestamp_add("SECOND", F.when(i % 11 == 0, 6).otherwise(i % 5).cast("int"), ts).alias("answered_at"),
+        F.when(i % 3 == 0, 200).otherwise(503).alias("outcome_code"),
+        F.lit("busy").alias("outcome_text"),
+    )
+    return sent, answered
+
+
+@query
+def delivery_attempts(spark, sf):
+    """Attempts met with their answers in batch."""
+    met = streams.attempt_outcomes(*_attempt_tables(spark, sf))
+    out = jobs.delivery_step(met, F.col("next_attempt_at"), F.lit(True))
+    return out.select("delivery_id", "status", "attempts", "next_attempt_at", "error_message")
+
+
+@query
+def stream_delivery_attempts(spark, sf):
+    """The same from two streams out of order; a last attempt and answer far ahead let the watermark pass all others."""
+    sent, answered = _attempt_tables(spark, sf)
+    # The last ones have an id and a try: the join's filter on these would otherwise hide them from the watermark.
+    def ahead(df, at):
+        key = [F.lit(-1).cast(df.schema[c].dataType).alias(c) for c in ("delivery_id", "attempts")]
+        return df.limit(0).unionByName(df.agg(*key, F.timestamp_add("DAY", F.lit(400), F.max(at)).alias(at)), allowMissingColumns=True)
+
+    two = [_out_of_order(spark, df, "delivery_id", last=ahead(df, at)) for df, at in ((sent, "sent_at"), (answered, "answered_at"))]
+    stepped = jobs.delivery_step(streams.attempt_outcomes(*two, late="200 days"), F.col("next_attempt_at"), F.lit(True))
+    out = streams.run_to_table(stepped, spark, "attempts").where("delivery_id >= 0")
+    return out.select("delivery_id", "status", "attempts", "next_attempt_at", "error_message")
+
+
 @query
 def stream_route_outcomes(spark, sf):
     e = _event_stream(spark, sf)

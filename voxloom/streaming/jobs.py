@@ -180,3 +180,28 @@ def delivery_results(attempts: DataFrame, as_of: Column, **policy) -> DataFrame:
     """Delivery state after each recorded attempt; ``ips`` are the host's addresses."""
     safe = guards.callback_allowed(F.col("url"), F.col("ips"), **policy)
     return jobs.delivery_step(attempts, as_of, safe)
+
+
+def attempt_outcomes(attempts: DataFrame, outcomes: DataFrame, timeout: str = "5 seconds", late: str = "10 minutes") -> DataFrame:
+    """Every attempt with the answer that came within ``timeout`` after it was sent, for ``delivery_step``.
+
+    Attempts: delivery_id, attempts (tries before this one), sent_at and more columns; outcomes: delivery_id, attempts,
+    answered_at, outcome_code, outcome_text. An attempt without an answer in time has a null code and the text "timeout"; of
+    two streams it comes out once the watermarks, ``late`` behind each, have passed the last moment an answer could bear.
+    Both sides are dealt by (delivery_id, attempts), so a delivery tried often is many keys, and the state holds only what
+    is within the watermarks; rows without an id or a try meet nothing and don't move the watermark. Works the same on tables.
+    """
+    sent = attempts.withWatermark("sent_at", late)
+    told = outcomes.select(
+        F.col("delivery_id").alias("_d"), F.col("attempts").alias("_a"), "answered_at", "outcome_code", "outcome_text"
+    ).withWatermark("answered_at", late)
+    met = sent.join(
+        told,
+        (F.col("delivery_id") == F.col("_d"))
+        & (F.col("attempts") == F.col("_a"))
+        & (F.col("answered_at") >= F.col("sent_at"))
+        & (F.col("answered_at") <= F.col("sent_at") + F.expr(f"INTERVAL {timeout}")),
+        "left",
+    )
+    text = F.when(F.col("_d").isNull(), "timeout").otherwise(F.col("outcome_text"))
+    return met.withColumn("outcome_text", text).drop("_d", "_a", "answered_at")
