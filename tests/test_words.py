@@ -198,3 +198,17 @@ def test_words_without_times_are_kept(spark):
     from voxloom.operators import intervals
 
     assert intervals.attribute_words(words, segments).count() == 2
+
+
+def test_summaries_alone_write_nothing(spark, monkeypatch):
+    words = spark.createDataFrame([(1, 0, "a", 0.0, 1.0), (1, 1, "b", 5.0, 6.0)], WORDS)
+    segs = spark.createDataFrame([(1, 0, "A", 0.0, 3.0), (1, 1, "B", 2.0, 6.0)], SEGS)
+    rec = spark.createDataFrame([(1, 0.0, 2)], "recording_id bigint, duration_seconds double, num_speakers int")
+    speech = spark.createDataFrame([(1, 0.0, 1.0)], "recording_id bigint, start_time double, end_time double")
+    monkeypatch.setattr(plans, "cut", lambda *a: pytest.fail("written"))
+    monkeypatch.setattr(utterances, "cut", lambda *a: pytest.fail("written"))
+    # A diariser needs 45 s by default.
+    out = plans.analyse(rec, words, segs, speech, Params(min_diarise_seconds=0.0))
+    row = out.summaries.first()
+    assert (row.effective_duration, row.interrupt_count, row.total_overlap_seconds, row.overlap_percentage) == (1.0, 1, 1.0, 100.0)
+    assert out.pairs.count() == 1

@@ -401,9 +401,10 @@ SELECT event_id, job_id % 5 AS client, epoch_us(ts) // 3600000000 AS period, row
 
 # --- metrics ---
 SQL["status_counts"] = sql("jobs deliveries", "SELECT 'jobs' AS tbl, status, count(*) AS n FROM jobs GROUP BY status UNION ALL SELECT 'deliveries', status, count(*) FROM deliveries GROUP BY status")
-SQL["stage_histogram"] = sql("stages", """
+HISTOGRAM = """
 SELECT stage, le, count(*) FILTER (seconds <= b) AS cumulative, round(sum(seconds), 4) AS total, count(*) AS n
-FROM stages, (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1), ('2.5', 2.5), ('5.0', 5), ('10.0', 10), ('30.0', 30), ('60.0', 60), ('120.0', 120), ('+Inf', 'infinity'::DOUBLE)) v(le, b) GROUP BY stage, le""")
+FROM stages, (VALUES ('0.01', 0.01), ('0.05', 0.05), ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1), ('2.5', 2.5), ('5.0', 5), ('10.0', 10), ('30.0', 30), ('60.0', 60), ('120.0', 120), ('+Inf', 'infinity'::DOUBLE)) v(le, b) GROUP BY stage, le"""
+SQL["stage_histogram"] = sql("stages", HISTOGRAM)
 SQL["queue_gauges"] = sql("job_events jobs", """
 SELECT (SELECT count(*) + count(*) FILTER (value > 50) FROM job_events)::BIGINT AS queue_depth, (SELECT count(*) FROM jobs WHERE status = 'PENDING' AND updated_at < TIMESTAMP '1998-01-01') AS pending_jobs,
  round(greatest(0, epoch(TIMESTAMP '2024-01-15') - (SELECT min(epoch_us(ts) // 1000) FROM job_events) / 1000.0), 3) AS oldest_age_seconds""")
@@ -416,13 +417,24 @@ SELECT model, profile, GROUPING(model, profile) AS level, round(sum(audio), 6) A
 SQL["capacity_plan"] = sql("", """
 SELECT model, profile, sec AS message_seconds, w AS workers, sec * 4000 AS total_audio, round(sec * 4000 * k / 3600, 6) AS cores_needed, round(sec * 4000 * rtf / w / 3600, 6) AS hours, w * 1.5::DOUBLE AS ram_gb
 FROM (SELECT model, profile, sum(t) / sum(audio) AS rtf, sum(t * 4) / sum(audio) AS k FROM runs GROUP BY model, profile), (VALUES (10), (30), (60)) a(sec), (VALUES (1), (2), (4)) b(w)""", RTF)
-SQL["operate"] = sql("jobs deliveries", """
+SQL["operate"] = sql("jobs deliveries stored stages segments recordings job_events", """
 SELECT 'repair' AS what, CASE WHEN status = 'PENDING' THEN 'republish' WHEN attempts < 3 THEN 'reset_republish' ELSE 'fail' END AS item, count(*) AS n FROM jobs
  WHERE (status = 'PENDING' AND updated_at < TIMESTAMP '1997-12-31 23:55:00') OR (status = 'PROCESSING' AND updated_at < TIMESTAMP '1997-12-31 23:30:00') GROUP BY ALL
 UNION ALL SELECT 'manifest', 'audio', count(*) FROM jobs WHERE status IN ('COMPLETED', 'FAILED') AND created_at < TIMESTAMP '1997-12-31'
 UNION ALL SELECT 'manifest', 'record', count(*) FROM jobs WHERE created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY
 UNION ALL SELECT 'delivery', CASE WHEN outcome_code = 200 THEN 'SUCCESS' WHEN attempts + 1 >= 5 THEN 'DEAD' ELSE 'PENDING' END, count(*) FROM deliveries WHERE status = 'PENDING' AND next_attempt_at <= TIMESTAMP '1998-01-01' GROUP BY ALL
-UNION ALL SELECT 'jobs', status, count(*) FROM jobs GROUP BY status UNION ALL SELECT 'deliveries', status, count(*) FROM deliveries GROUP BY status""")
+UNION ALL SELECT 'jobs', status, count(*) FROM jobs GROUP BY status UNION ALL SELECT 'deliveries', status, count(*) FROM deliveries GROUP BY status
+UNION ALL SELECT 'kept', 'jobs', count(*) FROM jobs WHERE job_id NOT IN (SELECT job_id FROM old) HAVING count(*) > 0
+UNION ALL SELECT 'kept', 'utterances', count(*) FROM stored WHERE recording_id NOT IN (SELECT job_id FROM old) HAVING count(*) > 0
+UNION ALL SELECT 'kept', 'deliveries', count(*) FROM deliveries WHERE job_id NOT IN (SELECT job_id FROM old) HAVING count(*) > 0
+UNION ALL SELECT 'stage', stage || ' ' || le, cumulative FROM (""" + HISTOGRAM + """)
+UNION ALL SELECT 'fallback', from_engine || ' ' || to_engine || ' ' || reason, count(*) FROM skips GROUP BY ALL
+UNION ALL SELECT 'gauge', g, v FROM (SELECT (SELECT count(*) + count(*) FILTER (value > 50) FROM job_events)::BIGINT AS queue_depth,
+ (SELECT count(*) FROM jobs WHERE status = 'PENDING' AND updated_at < TIMESTAMP '1998-01-01') AS pending_jobs,
+ CAST(floor(greatest(0, epoch(TIMESTAMP '2024-01-15') - (SELECT min(epoch_us(ts) // 1000) FROM job_events) / 1000.0)) AS BIGINT) AS oldest_age_seconds) UNPIVOT (v FOR g IN (queue_depth, pending_jobs, oldest_age_seconds))""",
+"old AS (SELECT job_id FROM jobs WHERE created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY),\n" + ENGINES)
+SQL["jobs_table"] = sql("jobs", """
+SELECT job_id, external_id, storage_uri, file_name, status, callback_url, attempts, num_speakers, NULL::VARCHAR AS language, created_at FROM jobs WHERE status = 'PENDING'""")
 
 # --- signal ---
 SQL["downmix"] = sql("samples", "SELECT recording_id, pos, round((value + value / 2 + 0.01) / 2, 8) AS value FROM samples")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +39,32 @@ def single_speaker_segments(gated: DataFrame, unbounded: float = DEFAULTS.unboun
     )
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Utterances, and per recording the gate, duration and overlap totals; the pairs behind them."""
+    """Utterances, and per recording the gate, duration and overlap totals; the pairs behind them.
+
+    Each result is planned when it is first asked for: summaries alone neither attribute words nor write anything.
+    """
+
+    def __init__(
+        self, gated: DataFrame, heard: DataFrame, used: DataFrame, filtered: bool, params: Params, block_rows: int
+    ) -> None:
+        self._gated, self._heard, self._used, self._filtered = gated, heard, used, filtered
+        self._params, self._block_rows = params, block_rows
 
-    utterances: DataFrame
-    summaries: DataFrame
-    pairs: DataFrame
+    @cached_property
+    def utterances(self) -> DataFrame:
+        heard = cut(self._heard, "heard") if self._filtered else self._heard
+        fused = utterances.fuse(heard, self._used, self._params.max_silence, self._block_rows)
+        return refine.refine(fused.withColumnRenamed("utt_key", "utt_no"), self._params, self._block_rows)
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        timed = intervals.effective_duration(self._gated, self._heard, self._used)
+        return intervals.overlap_summary(timed, intervals.overlap_totals(self._used, self._params.overlap_floor))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return intervals.overlap_pairs(self._used, self._params.overlap_floor)
 
 
 def analyse(
@@ -70,12 +90,8 @@ def analyse(
     used = real.unionByName(single_speaker_segments(gated, params.unbounded_duration))
     heard = words.select("recording_id", "pos", "word", "start_time", "end_time")
     if speech is not None:
-        heard = cut(intervals.vad_filter(heard, speech, params.vad_tolerance, block_rows=block_rows), "heard")
-    timed = intervals.effective_duration(gated, heard, used)
-    pairs = intervals.overlap_pairs(used, params.overlap_floor)
-    fused = utterances.fuse(heard, used, params.max_silence, block_rows)
-    refined = refine.refine(fused.withColumnRenamed("utt_key", "utt_no"), params, block_rows)
-    return Analysis(refined, intervals.overlap_summary(timed, intervals.overlap_totals(used, params.overlap_floor)), pairs)
+        heard = intervals.vad_filter(heard, speech, params.vad_tolerance, block_rows=block_rows)
+    return Analysis(gated, heard, used, speech is not None, params, block_rows)
 
 
 @dataclass(frozen=True)
@@ -99,12 +115,38 @@ class Operations:
     expired: DataFrame
     deliveries: DataFrame
     counts: DataFrame
+    kept: tuple[DataFrame, DataFrame, DataFrame] | None = None
+    gauges: DataFrame | None = None
+    histogram: DataFrame | None = None
+    fallbacks: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Queue:
+    """State of the queue: consumer groups (lag, pending), messages (msg_id), the time in epoch seconds."""
+
+    groups: DataFrame
+    messages: DataFrame
+    as_of_seconds: Column
 
 
 def operate(
-    job_table: DataFrame, deliveries: DataFrame, as_of: Column, url_safe: Column, params: Params = DEFAULTS
+    job_table: DataFrame,
+    deliveries: DataFrame,
+    as_of: Column,
+    url_safe: Column,
+    params: Params = DEFAULTS,
+    utterances: DataFrame | None = None,
+    stages: DataFrame | None = None,
+    skips: DataFrame | None = None,
+    queue: Queue | None = None,
 ) -> Operations:
-    """Housekeeping on one snapshot: repair stale jobs, list expired data, settle due deliveries, count everything."""
+    """Housekeeping on one snapshot: repair stale jobs, list expired data, settle due deliveries, count everything.
+
+    With ``utterances`` the expired records are removed with all that depends on them (``kept``: jobs, utterances,
+    deliveries). ``stages`` (stage, seconds) give the duration histogram, ``skips`` the engine fallbacks, ``queue`` the
+    gauges; each is also counted in ``counts`` (what, item, n).
+    """
     repairs = jobs.sweep(job_table, as_of, None, params)
     manifest, expired = jobs.retention(
         job_table, as_of, params.audio_retention_hours, params.result_retention_days
@@ -113,17 +155,31 @@ def operate(
     if "outcome_text" not in due.columns:
         due = due.withColumn("outcome_text", F.lit(None).cast("string"))
     settled = jobs.delivery_step(due, as_of, url_safe, params.webhook_max_attempts)
-    count = lambda df, what, by: df.groupBy(F.col(by).alias("item")).agg(F.count(F.lit(1)).alias("n")).select(
+    count = lambda df, what, by: df.groupBy(by.alias("item")).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(what).alias("what"), "item", "n"
     )
-    counts = blocks.union_all(
-        [
-            count(repairs, "repair", "action"),
-            count(manifest, "manifest", "reason"),
-            count(settled, "delivery", "status"),
-            metrics.status_counts({"jobs": job_table, "deliveries": deliveries}).select(
-                F.col("tbl").alias("what"), F.col("status").alias("item"), "n"
-            ),
-        ]
-    )
-    return Operations(repairs, manifest, expired, settled, counts)
+    named = lambda df, what, item, n: df.select(F.lit(what).alias("what"), item.alias("item"), F.col(n).cast("long").alias("n"))
+    counts = [
+        count(repairs, "repair", F.col("action")),
+        count(manifest, "manifest", F.col("reason")),
+        count(settled, "delivery", F.col("status")),
+        metrics.status_counts({"jobs": job_table, "deliveries": deliveries}).select(
+            F.col("tbl").alias("what"), F.col("status").alias("item"), "n"
+        ),
+    ]
+    kept = gauges = histogram = fallbacks = None
+    if utterances is not None:
+        by_time = F.coalesce(blocks.block_of("start_time", 600.0), F.lit(-1).cast("long"))
+        kept = jobs.cascade_delete(job_table, utterances, deliveries, expired, by_time, jobs.salt("delivery_id"))
+        counts += [count(df, "kept", F.lit(name)) for df, name in zip(kept, ("jobs", "utterances", "deliveries"))]
+    if stages is not None:
+        histogram = metrics.stage_histogram(stages)
+        counts.append(named(histogram, "stage", F.concat_ws(" ", "stage", "le"), "cumulative"))
+    if skips is not None:
+        fallbacks = metrics.fallback_counts(skips)
+        counts.append(named(fallbacks, "fallback", F.concat_ws(" ", "from_engine", "to_engine", "reason"), "n"))
+    if queue is not None:
+        gauges = metrics.queue_gauges(queue.groups, queue.messages, job_table, queue.as_of_seconds, as_of)
+        rows = F.array(*[F.struct(F.lit(g).alias("item"), F.col(g).cast("long").alias("n")) for g in gauges.columns])
+        counts.append(named(gauges.select(F.inline(rows)), "gauge", F.col("item"), "n"))
+    return Operations(repairs, manifest, expired, settled, blocks.union_all(counts), kept, gauges, histogram, fallbacks)

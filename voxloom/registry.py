@@ -17,7 +17,7 @@ from voxloom.operators import transcripts as X
 from voxloom.params import Params
 from voxloom.plans import diarise as diarise_plan
 from voxloom.plans import jobs as jobs_plan
-from voxloom.sources import contracts
+from voxloom.sources import contracts, tables
 from voxloom.sources import derived as D
 from voxloom.streaming import jobs as streams
 
@@ -660,14 +660,18 @@ def stage_histogram(spark, sf):
     return h.select("stage", "le", "cumulative", F.round("total", 4).alias("total"), "n")
 
 
-@query
-def queue_gauges(spark, sf):
+def _queue(spark, sf):
     e = D.job_events(spark, sf)
     groups = e.groupBy("kind").agg(F.count(F.lit(1)).alias("lag"), F.count_if(F.col("value") > 50).alias("pending"))
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     msgs = e.select(F.concat(ms.cast("string"), F.lit("-0")).alias("msg_id"))
-    now = F.unix_seconds(F.lit(EVENTS_AS_OF + "+00:00").cast("timestamp"))
-    out = metrics.queue_gauges(groups, msgs, D.jobs(spark, sf), now, _at(AS_OF))
+    return jobs_plan.Queue(groups, msgs, F.unix_seconds(F.lit(EVENTS_AS_OF + "+00:00").cast("timestamp")))
+
+
+@query
+def queue_gauges(spark, sf):
+    q = _queue(spark, sf)
+    out = metrics.queue_gauges(q.groups, q.messages, D.jobs(spark, sf), q.as_of_seconds, _at(AS_OF))
     return out.select("queue_depth", "pending_jobs", F.round("oldest_age_seconds", 3).alias("oldest_age_seconds"))
 
 
@@ -705,8 +709,28 @@ def capacity_plan(spark, sf):
 
 @query
 def operate(spark, sf):
-    """Repair, retention and delivery results of one snapshot, counted."""
-    return jobs_plan.operate(D.jobs(spark, sf), D.deliveries(spark, sf), _at(AS_OF), F.lit(True)).counts
+    """Repairs, retention with its cascade, deliveries, durations, fallbacks and gauges of one snapshot, counted."""
+    out = jobs_plan.operate(
+        D.jobs(spark, sf),
+        D.deliveries(spark, sf),
+        _at(AS_OF),
+        F.lit(True),
+        utterances=D.stored_utterances(spark, sf),
+        stages=D.stages(spark, sf),
+        skips=_engines(spark, sf)[2],
+        queue=_queue(spark, sf),
+    )
+    return out.counts
+
+
+@query
+def jobs_table(spark, sf):
+    """The job table written in its fixed schema and read back; ``status`` folders leave the others unread."""
+    path = session.shared_dir(spark, "jobs")
+    tables.write_table(D.jobs(spark, sf), path, contracts.JOBS)
+    back = tables.read_table(spark, path, contracts.JOBS).where("status = 'PENDING'")
+    same = ["job_id", "external_id", "storage_uri", "file_name", "status", "callback_url", "attempts", "num_speakers", "language"]
+    return back.select(*same, F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 # --- signal ------------------------------------------------------------------------
