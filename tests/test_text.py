@@ -199,3 +199,33 @@ def test_transcript_forms(spark):
     ]
     prompt = X.render_prompts(df).collect()[0].prompt
     assert "SPEAKER_00: selam\nSPEAKER_UNKNOWN: x" in prompt
+
+
+def test_many_phrases_are_found_as_few_are(spark, monkeypatch):
+    """List order, first occurrences and the offset decide, whichever way the phrases are searched; overlapping, repeated
+    and empty phrases, characters beyond 16 bits, blank and null texts are among them."""
+    rng = random.Random(4)
+    letters = ["a", "b", "c", "ş", "😀", " "]
+    make = lambda lo, hi: "".join(rng.choices(letters, k=rng.randint(lo, hi)))
+    phrases = [make(2, 4) for _ in range(24)] + ["ab", "ab", "", "bc"]
+    texts = [make(0, 30) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def plain(text, offset):
+        places = [(text.find(p) + 1) if text is not None else 0 for p in phrases]
+        return next((p for p in places if p > offset), 0)
+
+    for offset in (0, 1, 6):
+        want = [plain(t, offset) for t in texts]
+        for few in (1, 100):
+            monkeypatch.setattr(T, "FEW_PHRASES", few)
+            got = [r[0] for r in df.select(T.trigger_place(F.col("t"), phrases, offset)).collect()]
+            assert got == want
+    assert sum(w > 0 for w in want) > 50
+
+
+def test_roles_split_at_many_phrases(spark):
+    phrases = [f"ifade {n:04}x" for n in range(1000)]
+    df = spark.createDataFrame([(1, 0, "SPEAKER_00", 0.0, 10.0, "evet tamam efendim ifade 0900x ve ifade 0001x dedim")], SCHEMA)
+    got = [(r.speaker_id, r.text) for r in refine.split_roles(df, phrases).orderBy("part").collect()]
+    assert got == [("SPEAKER_00", "evet tamam efendim ifade 0900x ve"), ("SPEAKER_01", "ifade 0001x dedim")]
