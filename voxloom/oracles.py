@@ -132,6 +132,7 @@ cleaned AS (SELECT {keys}, {carry} CASE WHEN trim(text) = '' THEN text WHEN len(
 
 
 def turkish(text: str) -> str:
+    # Day names.
     days = "pazartesi|salı|çarşamba|perşembe|cuma|cumartesi|pazar"
     # RE2 has no look-around and an ASCII word boundary: boundaries are spelled out as blanks and punctuation.
     edge = "(^|[ .,?!:;])"
@@ -154,6 +155,7 @@ SQL["normalise_turkish"] = sql("utterances", f"""
 SELECT recording_id, utt_no, {turkish("concat(text, ' Cumagünü geldi , bir  beyni tüpçe akıcık arkadaşıar salısabahı !')")} AS text FROM utterances""")
 
 TRIGGERS = [
+    # Role triggers.
     "buyurun", "müşteri hizmetleri", "nasıl yardımcı olabilirim", "anladım hanımefendi", "anladım beyefendi", "anladım efendim",
     "şikayetinizi not aldım", "size geri dönüş yapacağız", "merhaba ben", "şikayetim var", "sorunlar yaşıyorum", "iade edilmesini talep ediyorum",
 ]
@@ -203,6 +205,7 @@ joined AS (SELECT recording_id, seq, arg_min(speaker_id, idx) AS speaker_id, arg
 
 
 SQL["merge_short_gaps"] = sql("utterances", "SELECT * FROM joined", merged("utterances", "utt_no"))
+# Greetings.
 GREET = "(lower(text) LIKE '%müşteri hizmetleri%' OR lower(text) LIKE '%hizmetleri birimi%' OR lower(text) LIKE '%hoş geldiniz%' OR lower(text) LIKE '%çağrı merkezi%' OR lower(text) LIKE '%temsilciniz%')"
 
 
