@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from voxloom.llm import attribution, licences, packing, quality, simhash
+from voxloom.llm import attribution, common, licences, packing, quality, simhash
 from voxloom.llm.tokens import Encoder, paths
 from tests.llm.corpus import frame, rows
 
@@ -352,3 +353,12 @@ def test_reduction_never_costs_a_sequence():
         fixed = sum(n for _, n in packing.reduced(h, room))
         rest = [s for s, n in h.left.items() for _ in range(n)]
         assert fixed + (optimum(sorted(rest, reverse=True), room) if rest else 0) == optimum(sizes, room)
+
+
+def test_near_duplicates_out_leaves_one_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (4, "something else entirely")], "doc_id long, text string")
+    kept = simhash.near_duplicates_out(docs)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["gone"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import math
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,40 @@ BROADCAST_ROWS = 1_000_000
 LAST = np.int64(2**63 - 1)
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
+_passing: ContextVar[list[str] | None] = ContextVar("_passing", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the shared folder and read back: later steps neither repeat it nor lose it."""
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written below the shared folder and read back: later steps neither repeat it nor lose it.
+
+    Inside ``passing`` it goes with the block unless it is ``lasting``."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    folders = _passing.get()
+    if folders is not None and not lasting:
+        folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``written`` makes inside the block are deleted at its end, after an error too."""
+    folders: list[str] = []
+    token = _passing.set(folders)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in folders:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def payload(text: Column) -> Column:
     """A text as UTF-8 bytes; null as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, boxed, map_arrow, mix, payload, row_key, unboxed, written
+from voxloom.llm.common import blocks, boxed, map_arrow, mix, passing, payload, row_key, unboxed, written
 
 BITS = 64
 ROUNDS = 4  # against heads before what is left meets by its deltas
@@ -277,7 +277,7 @@ def _overlapping(delta: DataFrame, least: float) -> DataFrame:
 
 
 def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, seed: int) -> DataFrame:
-    """Keys of the rows that another row of their group replaces, as ``_gone``."""
+    """Ids and keys of the rows that another row of their group replaces, as ``_id`` and ``_gone``."""
     key = row_key(F.col("doc_id"), F.col("text"))
     lean = docs.select("doc_id", key.alias("key"), payload(F.col("text")).alias("body"))
 
@@ -340,7 +340,8 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
     grouped = labelled(nodes.select("node", "none", "doc_id", "key"), "node", "label")
     best = grouped.groupBy("label").agg(F.min(F.struct("none", "doc_id", "key")).alias("best")).select("label", F.col("best.key").alias("best"))
     known = grouped.select("node", "label").join(best, "label").select("node", "best")
-    return prints.select("node", "key").join(known, "node").where("key <> best").select(F.col("key").alias("_gone")).distinct()
+    gone = prints.select("node", "doc_id", "key").join(known, "node").where("key <> best")
+    return gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).distinct()
 
 
 def near_duplicates_out(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 8, seed: int = 42) -> DataFrame:
@@ -352,7 +353,11 @@ def near_duplicates_out(docs: DataFrame, shingle: int = 5, least: float = 0.8, b
     probability 1 - (1 - s ** rows) ** bands: 0.9994 at 0.80, over 0.99999 from 0.85. (Fingerprints of 64 bits differ in
     9.7 bits on average at 0.80, and a radius that finds those holds too many unrelated texts.) Links of all bands are
     found on the same input. Of rows equal in id and text one stays; null and empty texts are copies of each other.
+    Of the tables written on the way only the rows to leave out outlive the call.
     """
-    left = boxed(docs).withColumn("_k", row_key(F.col("_row.doc_id"), F.col("_row.text")))
-    gone = written(_near_copies(docs.select("doc_id", "text"), shingle, least, bands, rows, seed), "gone")
-    return unboxed(left.join(gone, F.col("_k") == F.col("_gone"), "left_anti").dropDuplicates(["_k"]), docs)
+    own = F.col("_row.doc_id")
+    left = boxed(docs).withColumns({"_d": own, "_k": row_key(own, F.col("_row.text"))})
+    with passing(docs.sparkSession):
+        gone = written(_near_copies(docs.select("doc_id", "text"), shingle, least, bands, rows, seed), "gone", lasting=True)
+    same = (F.col("_k") == F.col("_gone")) & F.col("_d").eqNullSafe(F.col("_id"))
+    return unboxed(left.join(gone, same, "left_anti").dropDuplicates(["_d", "_k"]), docs)
