@@ -80,7 +80,66 @@ SELECT item_id, rank, doc_id, score FROM (
 WHERE rank <= 20
 """
 
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _gram(size: int) -> str:
+    """The window of ``size`` words that starts at a row of ``placed``; null where the text ends before."""
+    return " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER following" for k in range(1, size)]])
+
+
+_SUBSTRINGS = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+placed AS (SELECT r, coalesce(doc_id, 9223372036854775807) AS o, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+grams AS (SELECT r, o, i, word, {_gram(13)} AS words FROM placed WINDOW following AS (PARTITION BY r ORDER BY i)),
+hits AS (SELECT r, i, word, words IS NOT NULL AND min(o) OVER (PARTITION BY words) < o AS hit FROM grams),
+marked AS (SELECT r, i, word, max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM marked),
+sums AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+  string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM docs LEFT JOIN sums USING (r)
+"""
+
+_QUALITY = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce({_WORDS}, []) AS w FROM documents),
+placed AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+grams AS (SELECT r, i, word, {_gram(5)} AS five, {_gram(10)} AS ten FROM placed WINDOW following AS (PARTITION BY r ORDER BY i)),
+starts AS (SELECT r, i, ten, five IS NOT NULL AND count(*) OVER (PARTITION BY r, five) > 1 AS fives, ten IS NOT NULL AND count(*) OVER (PARTITION BY r, ten) > 1 AS tens FROM grams),
+inside AS (SELECT r, tens, max(fives) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS by_fives,
+  max(tens) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS by_tens FROM starts),
+sums AS (SELECT r, count(*) FILTER (by_fives) AS n_repeat_words, count(*) FILTER (by_tens) AS n_covered, count(*) FILTER (tens) AS n_repeats FROM inside GROUP BY r),
+again AS (SELECT r, i, ten FROM starts WHERE tens),
+diagonal AS (SELECT a.r, b.i - a.i AS apart, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS run
+  FROM again a JOIN again b ON a.r = b.r AND a.ten = b.ten AND a.i < b.i),
+longest AS (SELECT r, max(n) + 9 AS longest FROM (SELECT r, count(*) AS n FROM diagonal GROUP BY r, apart, run) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_covered, 0)::BIGINT AS n_covered, coalesce(n_repeats, 0)::BIGINT AS n_repeats,
+    coalesce(longest, 0)::BIGINT AS longest_repeat
+  FROM docs JOIN lines USING (r) LEFT JOIN sums USING (r) LEFT JOIN longest USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_covered::DOUBLE / greatest(n_words, 1)::DOUBLE AS covered_fraction FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND covered_fraction <= 0.15::DOUBLE AND longest_repeat <= 60 AS kept, n_covered, covered_fraction, longest_repeat, n_repeats
+FROM judged
+"""
+
+_ARCHIVES = """
+WITH bodies AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+hashed AS (SELECT page_id, url, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM bodies)
+SELECT page_id, url, payload_bytes, list_reduce(list_transform(range(32), lambda k:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || substr(hex, (5 * (k // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT & 31) + 1]),
+    lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM hashed
+"""
+
 SQL = {
+    "op6_substring_dedup": _SUBSTRINGS,
+    "op8_quality_rules": _QUALITY,
+    "op10_warc": _ARCHIVES,
     "op12_conversation_repair": _REPAIR,
     "op13_lexical_search": _SEARCH,
 }
