@@ -86,12 +86,32 @@ def test_percentiles_match_numpy(spark):
     rng = np.random.default_rng(0)
     vals = np.round(rng.normal(size=300) * 5, 1)
     df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vals)], "k long, v double")
-    got = B.percentiles(B.value_ranks(df, ["k"], "v"), ["k"], "v", {"a": 0.3, "b": 0.5, "c": 1.0}).collect()
+    got = B.percentiles(df, ["k"], "v", {"a": 0.3, "b": 0.5, "c": 1.0}).collect()
     for r in got:
         mine = vals[np.arange(300) % 3 == r.k]
         np.testing.assert_allclose([r.a, r.b, r.c], np.percentile(mine, [30, 50, 100]))
 
 
+def test_ranks_are_exact_at_any_range(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    wide = np.concatenate([10.0 ** rng.uniform(-320, 308, 400), -(10.0 ** rng.uniform(-320, 308, 400)), [0.0, -0.0, 5e-324]])
+    dense = 1.0 + np.arange(3000) * 2.0**-52
+    crowd = np.repeat(rng.normal(size=7), 400)
+    data = {"wide": wide, "dense": rng.permutation(dense), "crowd": rng.permutation(crowd), "one": np.array([3.5])}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = {"first": lambda n: n - n, "third": lambda n: F.floor(n / 3), "last": lambda n: n - 1}
+    got = {r.k: r for r in B.select_ranks(df, ["k"], "v", at).collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        order, n = np.sort(vs), len(vs)
+        assert [got[k].first, got[k].third, got[k].last, got[k].n] == [order[0], order[n // 3], order[-1], n]
+        if k != "wide":
+            np.testing.assert_allclose([got[k].third_below, got[k].last_below], [order[: n // 3].sum(), order[:-1].sum()], rtol=1e-9, atol=1e-9)
+
+
 def test_exact_round(spark):
     rng = random.Random(3)
     vals = [2.675, 0.125, 0.375, 1.005, -1.005, -0.125] + [rng.randint(0, 10**7) / 1000 for _ in range(5000)]
@@ -122,8 +142,8 @@ def test_null_keys_and_blocks_lose_no_row(spark):
     same(found.select("k", "s", (F.col("idx") + 1).alias("c")), df.select("k", "s", numbered))
     pages = B.nest_pages(df, ["k"], ["i", "s"], blk, F.col("s"), 4)
     same(pages.select("k", F.explode("items").alias("s")), df.select("k", "s"))
-    ranks = B.value_ranks(df, ["k"], "v")
-    assert {(r.k, r.v, r.cnt, r.total) for r in ranks.collect()} == {(k, float(n), 5, 15) for k in (None, 0, 1) for n in range(3)}
+    ranks = B.select_ranks(df, ["k"], "v", {"mid": lambda n: F.floor(n / 2)}).collect()
+    assert {(r.k, r.mid, r.mid_below, r.n, r.sum) for r in ranks} == {(k, 1.0, 2.0, 15, 15.0) for k in (None, 0, 1)}
     stats = spark.createDataFrame([(0, "a")], "k long, t string")
     counts = {how: B.attach(df, stats, ["k"], blk, how).count() for how in ("left", "inner", "left_semi", "left_anti")}
     assert counts == {"left": 45, "inner": 15, "left_semi": 15, "left_anti": 30}

@@ -354,42 +354,71 @@ def nest_pages(
     return nested.select(*keys, "page_no", F.transform("_l", lambda x: x["_item"]).alias(name))
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, per_octave: int = 16) -> DataFrame:
-    """Distinct values with their 0-based rank range and the key's row count.
+def _digits(v: Column) -> Column:
+    """A whole number that never falls as ``v`` grows: the logarithm of its size in 1 966 080 steps an octave, signed."""
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1024.0)) + 1100) * (30 * 65536))
+    return F.when(v > 0, size + 1).when(v < 0, -1 - size).otherwise(F.lit(0)).cast("long")
 
-    Columns: keys, value, ``cnt``, ``lo`` (rank of the first copy), ``hi`` (last), ``total``.
-    Equal values are counted before the shuffle; the order is cut by magnitude.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    v = F.col(value)
-    far = 2**40
-    size = F.floor(F.log2(F.abs(v)) * per_octave)
-    block = F.when(v > 0, F.lit(far) + size).when(v < 0, F.lit(-far) - size).otherwise(F.lit(0))
-    ranked = running(
-        counts, keys, [value], block, sums={"hi": F.col("cnt")}, total_sums={"total": F.col("cnt")}
-    )
-    return ranked.select(
-        *keys, value, "cnt", (F.col("hi") - F.col("cnt")).alias("lo"), (F.col("hi") - 1).alias("hi"), "total"
-    )
 
+def _met(rows: DataFrame, found: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``on``, where null meets null."""
+    other = found.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return rows.join(other, same, how).drop(*[f"_r_{c}" for c in on])
 
-def percentiles(ranks: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated percentiles (fractions) per key from ``value_ranks``."""
-    aggs = []
-    for name, q in wanted.items():
-        h = (F.col("total") - 1) * F.lit(float(q))
-        low = F.floor(h)
-        high = F.least(low + 1, F.col("total") - 1)
-        for side, r in (("a", low), ("b", high)):
-            aggs.append(
-                F.max(F.when((F.col("lo") <= r) & (r <= F.col("hi")), F.col(value))).alias(f"_{name}_{side}")
-            )
-        aggs.append(F.max(h - low).alias(f"_{name}_f"))
-    out = ranks.groupBy(*keys).agg(*aggs, F.max("total").alias("n"))
-    picks = [
-        (F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_f")).alias(n) for n in wanted
-    ]
-    return out.select(*keys, *picks, "n")
+
+def _before(counts: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """Adds ``_from`` and ``_under``: count and sum of the smaller entries of the same ``within``."""
+    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda c, none: F.coalesce(F.sum(c).over(w), F.lit(none))
+    return counts.withColumns({"_from": first("_c", 0), "_under": first("_s", 0.0)})
+
+
+_HIT = "_from <= _r AND _r < _from + _c"
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact order statistics per key, without ordering the rows.
+
+    ``ranks`` gives 0-based ranks within 0 to n - 1 as functions of the key's row count. Columns: keys, ``n``, ``sum``,
+    and for each name the value at its rank and ``<name>_below``, the sum of the values at smaller ranks.
+
+    Radix selection: a histogram by the upper digits of each value's size (at most 130 000 buckets a key, whatever the
+    rows) says which bucket holds a rank. Rows of these buckets alone are counted by the lower digits, and of those only
+    what shares all digits with a wanted rank is put in order, equal values counted as one. Nulls don't count; null keys
+    are one key.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"), _digits(v).alias("_f"))
+    rows = rows.withColumn("_b", F.shiftright("_f", 16))
+    counted = [F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s")]
+    all_of = Window.partitionBy(*keys)
+    wide = _before(rows.groupBy(*keys, "_b").agg(*counted), keys, "_b")
+    wide = wide.withColumns({"n": F.sum("_c").over(all_of), "sum": F.sum("_s").over(all_of)})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("r")) for name, rank in ranks.items()])
+    wide = wide.withColumn("_w", F.explode(wanted)).withColumn("_r", F.col("_w.r")).where(_HIT)
+    wide = cut(wide.select(*keys, "_b", "n", "sum", F.col("_w.name").alias("_name"), (F.col("_r") - F.col("_from")).alias("_r"), F.col("_under").alias("_u")), "digits")
+
+    near = cut(_met(rows, wide.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi"), "near")
+    fine = _before(near.groupBy(*keys, "_b", "_f").agg(*counted), [*keys, "_b"], "_f")
+    fine = _met(fine, wide, [*keys, "_b"]).where(_HIT).drop("_c", "_s", "_b")
+    fine = fine.withColumns({"_r": F.col("_r") - F.col("_from"), "_u": F.col("_u") + F.col("_under")}).drop("_from", "_under")
+
+    last = near.groupBy(*keys, "_f", "_v").agg(*counted)
+    last = _met(last, fine.select(*keys, "_f").distinct(), [*keys, "_f"], "left_semi")
+    last = _met(_before(last, [*keys, "_f"], "_v"), fine, [*keys, "_f"]).where(_HIT)
+    below = F.col("_u") + F.col("_under") + F.col("_v") * (F.col("_r") - F.col("_from"))
+    picked = [F.max(F.when(F.col("_name") == name, c)).alias(f"{name}{end}") for name in ranks for c, end in ((F.col("_v"), ""), (below, "_below"))]
+    return last.groupBy(*keys).agg(F.max("n").alias("n"), F.max("sum").alias("sum"), *picked)
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles (fractions) per key, and the row count ``n``."""
+    low = {name: lambda n, q=q: F.floor((n - 1) * F.lit(float(q))) for name, q in wanted.items()}
+    high = {f"{name}_b": lambda n, q=q: F.least(F.floor((n - 1) * F.lit(float(q))) + 1, n - 1) for name, q in wanted.items()}
+    at = select_ranks(df, keys, value, low | high)
+    share = lambda q: (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+    return at.select(*keys, *[(F.col(p) + (F.col(f"{p}_b") - F.col(p)) * share(q)).alias(p) for p, q in wanted.items()], "n")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -86,8 +86,7 @@ def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLO
     axis = summed.groupBy(*REC).applyInPandas(_axis_of, "recording_id bigint, axis array<double>")
     side = blocks.attach(unit, axis, REC, block).withColumn("side", _dot("unit", "axis")).drop("axis")
     side = cut(side, "side")
-    ranks = blocks.value_ranks(side, REC, "side")
-    middle = blocks.percentiles(ranks, REC, "side", {"median": 0.5}).select(*REC, "median")
+    middle = blocks.percentiles(side, REC, "side", {"median": 0.5}).select(*REC, "median")
     seeded = blocks.attach(side, middle, REC, block)
     seed = (F.col("side") > F.col("median")).cast("bigint")
     state = cut(seeded.select(*REC, IDX, "unit", seed.alias("seed"), seed.alias("label")), "seed")

@@ -94,14 +94,12 @@ def snr_db(samples: DataFrame) -> DataFrame:
     sums = cut(_frame_sums(samples, seconds_to_samples(0.02)), "frames")
     size = sums.select(*REC).distinct()
     frames = _whole_frames(sums)
-    ranks = blocks.value_ranks(frames, REC, "energy")
-    top = F.greatest(F.lit(1), F.floor(F.lit(0.3) * F.col("total")))
-    low = F.greatest(F.lit(1), F.floor(F.lit(0.2) * F.col("total")))
-    in_top = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.col("total") - top) + 1)
-    in_low = F.greatest(F.lit(0), F.least("hi", low - 1) - F.col("lo") + 1)
-    stats = ranks.groupBy(*REC).agg(
-        (F.sum(F.col("energy") * in_top) / F.max(top)).alias("_sig"),
-        (F.sum(F.col("energy") * in_low) / F.max(low)).alias("_noise"),
+    top = lambda n: F.greatest(F.lit(1), F.floor(F.lit(0.3) * n))
+    low = lambda n: F.greatest(F.lit(1), F.floor(F.lit(0.2) * n))
+    at = blocks.select_ranks(frames, REC, "energy", {"loud": lambda n: n - top(n), "quiet": lambda n: low(n) - 1})
+    n = F.col("n")
+    stats = at.select(
+        *REC, ((F.col("sum") - F.col("loud_below")) / top(n)).alias("_sig"), ((F.col("quiet_below") + F.col("quiet")) / low(n)).alias("_noise")
     )
     value = (
         F.when(F.col("_sig").isNull(), 30.0)
@@ -124,7 +122,7 @@ def denoise_gate(
 
 def energy_thresholds(energies: DataFrame, value: str = "energy") -> DataFrame:
     """Speech, silence-skip and hold thresholds from interpolated percentiles of a recording's energies."""
-    p = blocks.percentiles(blocks.value_ranks(energies, REC, value), REC, value, {"p30": 0.30, "p05": 0.05, "p20": 0.20})
+    p = blocks.percentiles(energies, REC, value, {"p30": 0.30, "p05": 0.05, "p20": 0.20})
     return p.select(
         *REC,
         F.greatest(F.lit(1e-4), F.col("p30") * 1.5).alias("speech"),
