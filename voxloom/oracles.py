@@ -496,6 +496,11 @@ frames AS (SELECT recording_id, pos // 10 AS frame, sum(value * value) / 10 AS e
 # --- diarisation ---
 SQL["pairwise_cosine"] = sql("window_embeddings", """
 SELECT recording_id, win_idx, round(list_cosine_similarity(embedding, p), 6) AS similarity FROM (SELECT *, lag(embedding) OVER (PARTITION BY recording_id ORDER BY win_idx) AS p FROM window_embeddings) WHERE p IS NOT NULL""")
+SQL["similar_windows"] = sql("window_embeddings", """
+SELECT recording_id, win_idx, CAST(rank AS INTEGER) AS rank, other_idx, round(similarity, 6) AS similarity FROM (
+ SELECT *, row_number() OVER (PARTITION BY recording_id, win_idx ORDER BY similarity DESC, other_idx) AS rank FROM (
+  SELECT a.recording_id, a.win_idx, b.win_idx AS other_idx, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity
+  FROM window_embeddings a JOIN window_embeddings b ON a.recording_id = b.recording_id AND a.win_idx <> b.win_idx)) WHERE rank <= 5""")
 SQL["standardise"] = sql("window_embeddings", """
 SELECT recording_id, win_idx, f, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6), 5) + 0.0 AS v FROM (
  SELECT recording_id, win_idx, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS f, unnest(embedding) AS v FROM window_embeddings) WINDOW w AS (PARTITION BY recording_id, f)""")

@@ -12,7 +12,7 @@ from voxloom import session
 from voxloom.functions import audio, guards
 from voxloom.functions import text as T
 from voxloom.operators import blocks, diarise, intervals, jobs, metrics, refine, signal, utterances
-from voxloom.operators import cluster, lifecycle
+from voxloom.operators import cluster, lifecycle, similar
 from voxloom.operators import transcripts as X
 from voxloom.params import Params
 from voxloom.plans import diarise as diarise_plan
@@ -805,6 +805,12 @@ def pairwise_cosine(spark, sf):
     return s.select("recording_id", "win_idx", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def similar_windows(spark, sf):
+    s = similar.similar_windows(D.window_embeddings(spark, sf), tile_rows=16)
+    return s.select("recording_id", "win_idx", "rank", "other_idx", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def standardise(spark, sf):
     z = diarise.standardise(D.window_embeddings(spark, sf))
