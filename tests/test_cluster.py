@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from voxloom.operators import cluster
 
@@ -111,3 +112,12 @@ def test_single_window_is_speaker_zero(spark):
     df, _ = make(spark, [1])
     assert labels(cluster.cluster_bisect(df))[0] == [0]
     assert labels(cluster.cluster_average_linkage(df))[0] == [0]
+
+
+def test_recordings_named_by_strings(spark):
+    df, _ = make(spark, [12, 5], seed=8, noise=0.8)
+    named = df.withColumn("recording_id", F.concat(F.lit("r"), "recording_id"))
+    known = {f"r{k}": v for k, v in labels(cluster.cluster_average_linkage(df, 3)).items()}
+    assert labels(cluster.cluster_average_linkage(named, 3)) == known
+    assert labels(cluster.cluster_average_linkage(named, 3, max_rows=8)) == known
+    assert set(labels(cluster.cluster_bisect(named))) == set(known)

@@ -125,6 +125,17 @@ def test_table_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(status" in pending._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_and_contracts_with_string_ids(spark, tmp_path):
+    uuid = "0b1e6f0c-6f0e-4a57-9d3b-0a6a4c1f2d3e"
+    schema = contracts.with_string_ids(contracts.JOBS)
+    tables.write_table(spark.createDataFrame([(uuid, "PENDING")], "job_id string, status string"), str(tmp_path / "named"), schema)
+    assert [(r.job_id, r.status) for r in tables.read_table(spark, str(tmp_path / "named"), schema).collect()] == [(uuid, "PENDING")]
+    segs = spark.createDataFrame([(uuid, 0, "A", 0.0, 1.0)], "recording_id string, seg_no bigint, speaker_id string, start_time double, end_time double")
+    assert contracts.check_rows(segs, contracts.SEGMENTS).first().n == 1
+    with pytest.raises(TypeError):
+        contracts.check_schema(segs.withColumn("seg_no", F.lit("x")), contracts.SEGMENTS)
+
+
 def test_contracts(spark):
     good = spark.createDataFrame([(1, 0, "A", 0.0, 1.0), (1, 1, None, 2.0, 1.0)], "recording_id bigint, seg_no int, speaker_id string, start_time double, end_time double")
     row = contracts.check_rows(good, contracts.SEGMENTS).first()

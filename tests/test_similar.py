@@ -38,6 +38,9 @@ def test_best_partners_equal_all_pairs(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     for tile in (4, 512):
         assert got(similar.similar_windows(df, 3, tile)) == plain(rows, 3)
+    named = [(f"job-{rec}", i, v) for rec, i, v in rows]
+    df = spark.createDataFrame(named, SCHEMA.replace("recording_id bigint", "recording_id string"))
+    assert got(similar.similar_windows(df, 3, 4)) == plain(named, 3)
 
 
 def test_far_tiles_never_meet(spark, monkeypatch):

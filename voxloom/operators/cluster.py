@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import blocks
 from voxloom.params import BLOCK_ROWS, DEFAULTS
 from voxloom.session import cut
+from voxloom.sources.contracts import id_kind
 
 REC = ["recording_id"]
 IDX = "win_idx"
@@ -80,10 +81,10 @@ def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLO
     block = blocks.block_of(IDX, block_rows)
     unit = cut(_unit(windows), "unit")
     cells = unit.withColumn(blocks.BLK, block).groupBy(*REC, blocks.BLK).applyInPandas(
-        _gram_block, "recording_id bigint, cell bigint, v double"
+        _gram_block, id_kind(unit, "recording_id bigint, cell bigint, v double")
     )
     summed = cells.groupBy(*REC, "cell").agg(F.sum("v").alias("v"))
-    axis = summed.groupBy(*REC).applyInPandas(_axis_of, "recording_id bigint, axis array<double>")
+    axis = summed.groupBy(*REC).applyInPandas(_axis_of, id_kind(summed, "recording_id bigint, axis array<double>"))
     side = blocks.attach(unit, axis, REC, block).withColumn("side", _dot("unit", "axis")).drop("axis")
     side = cut(side, "side")
     middle = blocks.percentiles(side, REC, "side", {"median": 0.5}).select(*REC, "median")
@@ -207,7 +208,7 @@ def _nearest(asking: DataFrame, clusters: DataFrame, tile_rows: int) -> DataFram
     columns = [*REC, "cid", "n", "s"]
     mine = blocks.attach(asking.select(*columns), count, REC, block).select(*columns, F.lit(True).alias("asks"), deal("_na").alias("_i"), every("_nc").alias("_j"))
     all_ = blocks.attach(clusters.select(*columns), count, REC, block).select(*columns, F.lit(False).alias("asks"), deal("_nc").alias("_j"), every("_na").alias("_i"))
-    near = mine.unionByName(all_).groupBy(*REC, "_i", "_j").applyInPandas(_nearest_in_tile, "recording_id bigint, cid bigint, other bigint, dist double")
+    near = mine.unionByName(all_).groupBy(*REC, "_i", "_j").applyInPandas(_nearest_in_tile, id_kind(clusters, "recording_id bigint, cid bigint, other bigint, dist double"))
     best = near.groupBy(*REC, "cid").agg(F.min(F.struct("dist", "other")).alias("b"))
     return best.select(*REC, "cid", F.col("b.other").alias("other"), F.col("b.dist").alias("dist"))
 
@@ -295,8 +296,8 @@ def cluster_average_linkage(
 
     many = clusters.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
     if not many.take(1):
-        return clusters.groupBy(*REC).applyInPandas(whole, LABELS)
-    in_tasks = blocks.attach(clusters, many, REC, block, "left_anti").groupBy(*REC).applyInPandas(whole, LABELS)
+        return clusters.groupBy(*REC).applyInPandas(whole, id_kind(windows, LABELS))
+    in_tasks = blocks.attach(clusters, many, REC, block, "left_anti").groupBy(*REC).applyInPandas(whole, id_kind(windows, LABELS))
     busy = cut(blocks.attach(clusters, many, REC, block, "left_semi"), "clusters")
     return in_tasks.unionByName(_linkage_rounds(busy, n_speakers, threshold, max_speakers, max_rows))
 
@@ -324,7 +325,7 @@ def _linkage_rounds(busy: DataFrame, n_speakers: int | None, threshold: float, m
         still = still.select(*REC, "cid", "other", "dist").join(busy.select(*REC, "cid"), [*REC, "cid"], "left_semi")
         asking = busy.join(still.select(*REC, "cid"), [*REC, "cid"], "left_anti")
         best = cut(still.unionByName(_nearest(asking, busy, tile)), "nearest")
-    last = blocks.union_all(small).groupBy(*REC).applyInPandas(_finish_group, "recording_id bigint, cid bigint, child bigint, height double")
+    last = blocks.union_all(small).groupBy(*REC).applyInPandas(_finish_group, id_kind(busy, "recording_id bigint, cid bigint, child bigint, height double"))
     tree = cut(blocks.union_all([*merges, last]), "tree")
     done = tree.join(_dropped_merges(tree, n_speakers, threshold, max_speakers), [*REC, "child"], "left_anti")
     up = done.select(*REC, F.col("child").alias("cid"), F.col("cid").alias("parent"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.session import cut
+from voxloom.sources.contracts import id_kind
 
 REC = ["recording_id"]
 SLACK = 1e-7  # of cosines, for rounding in the bounds
@@ -52,7 +53,7 @@ def _tile(k: int):
         spread = np.pi if loose else float(np.arccos(np.clip(unit @ mean, -1, 1)).max())
         floor = float(_best(_products(unit, idx, unit, idx), idx, k)[0][:, -1].min()) if len(idx) > k else -np.inf
         row = [group.column("recording_id")[0].as_py(), size, group.column("tile")[0].as_py(), len(idx), mean.tolist(), spread, floor, idx.tobytes(), unit.tobytes()]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+        kinds = [group.schema.field("recording_id").type, pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
         names = [part.split()[0] for part in TILE.split(", ")]
         return pa.table([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
 
@@ -62,22 +63,23 @@ def _tile(k: int):
 def _stream(k: int):
     """Rows of one tile come together, the tile itself first; its partners follow one by one."""
 
-    def out(state: tuple) -> pa.RecordBatch:
+    def out(state: tuple, kind: pa.DataType) -> pa.RecordBatch:
         rec, idx, _, sims, others = state
         row, place = np.nonzero(np.isfinite(sims))
-        columns = [pa.array([rec] * len(row), pa.int64()), idx[row], (place + 1).astype(np.int32), others[row, place], sims[row, place]]
+        columns = [pa.array([rec] * len(row), kind), idx[row], (place + 1).astype(np.int32), others[row, place], sims[row, place]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["recording_id", "win_idx", "rank", "other_idx", "similarity"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
             columns = [batch.column(c) for c in ("recording_id", "size", "partner", "idx", "unit")]
+            kind = columns[0].type
             for rec, size, partner, idx, unit in zip(*columns, strict=True):
                 idx = np.frombuffer(idx.as_py(), np.int64)
                 unit = np.frombuffer(unit.as_py(), np.float64).reshape(len(idx), size.as_py())
                 if partner.as_py() is None:
                     if state:
-                        yield out(state)
+                        yield out(state, kind)
                     state = (rec.as_py(), idx, unit, *_best(_products(unit, idx, unit, idx), idx, k))
                     continue
                 rec_, own_idx, own, sims, others = state
@@ -86,7 +88,7 @@ def _stream(k: int):
                 order = np.lexsort((whose, -sims), axis=1)[:, :k]
                 state = (rec_, own_idx, own, np.take_along_axis(sims, order, 1), np.take_along_axis(whose, order, 1))
         if state:
-            yield out(state)
+            yield out(state, kind)
 
     return work
 
@@ -113,7 +115,7 @@ def similar_windows(windows: DataFrame, k: int = 5, tile_rows: int = 512) -> Dat
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
     rows = windows.where(usable).select(*REC, "win_idx", F.size("embedding").alias("size"), "embedding")
     rows = rows.withColumn("tile", F.floor(F.col("win_idx") / tile_rows).cast("long"))
-    tiles = cut(rows.groupBy(*REC, "size", "tile").applyInArrow(_tile(k), TILE), "tiles")
+    tiles = cut(rows.groupBy(*REC, "size", "tile").applyInArrow(_tile(k), id_kind(rows, TILE)), "tiles")
 
     pairs = meeting(tiles)
     held = tiles.select(F.col("recording_id").alias("_rec"), F.col("size").alias("_size"), F.col("tile").alias("_tile"), "idx", "unit")
@@ -122,4 +124,4 @@ def similar_windows(windows: DataFrame, k: int = 5, tile_rows: int = 512) -> Dat
     own = tiles.select(*REC, "size", "tile", F.lit(None).cast("long").alias("partner"), "idx", "unit")
     key = [*REC, "size", "tile"]
     dealt = own.unionByName(sent).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("partner"))
-    return dealt.mapInArrow(_stream(k), BEST)
+    return dealt.mapInArrow(_stream(k), id_kind(rows, BEST))

@@ -43,6 +43,19 @@ DELIVERIES = _struct(
 )
 
 
+ID_COLUMNS = ("job_id", "recording_id", "delivery_id")
+
+
+def with_string_ids(schema: T.StructType) -> T.StructType:
+    """The same table with ids as strings, for jobs named by UUIDs."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in ID_COLUMNS else f for f in schema.fields])
+
+
+def id_kind(df: DataFrame, schema: str, column: str = "recording_id") -> str:
+    """``schema`` with an id column of the type that ``df`` has."""
+    return ", ".join(f"{column} {df.schema[column].dataType.simpleString()}" if part.split()[0] == column else part for part in schema.split(", "))
+
+
 @dataclass(frozen=True)
 class Contract:
     name: str
@@ -68,12 +81,13 @@ SAMPLES = Contract(
 
 
 def check_schema(df: DataFrame, contract: Contract) -> None:
-    """Raise when a column is missing or has another type (integers may be narrower)."""
+    """Raise when a column is missing or has another type (integers may be narrower, ids integers or strings)."""
     have = {f.name: f.dataType for f in df.schema.fields}
     for f in contract.schema.fields:
         got = have.get(f.name)
         both_int = isinstance(got, T.IntegralType) and isinstance(f.dataType, T.IntegralType)
-        if got is None or (got != f.dataType and not both_int):
+        named = f.name in ID_COLUMNS and isinstance(got, T.StringType)
+        if got is None or (got != f.dataType and not both_int and not named):
             raise TypeError(f"{contract.name}.{f.name}: expected {f.dataType.simpleString()}, got {got}")
 
 
