@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -143,6 +144,19 @@ def test_overlap_totals_equal_the_pairs(spark):
     assert totals(df.limit(0)) == {}
 
 
+def test_overlap_percentage_rounds_the_binary_difference(spark):
+    """2.3 - 2.0 lies below 0.3, so 16 seconds of it are less than 1.875 %; so does the sum of three of these of 240."""
+    one = [(1, 0, "A", 0.0, 2.3), (1, 1, "B", 2.0, 9.0)]
+    three = [(2, 2 * n + k, "AB"[k], s, e) for n, (lo, hi) in enumerate([(2.0, 2.3), (102.2, 102.5), (150.8, 151.1)]) for k, (s, e) in enumerate([(lo - 1.0, hi), (lo, hi + 1.0)])]
+    segs = spark.createDataFrame(one + three, "recording_id long, seg_no long, speaker_id string, start_time double, end_time double")
+    rec = spark.createDataFrame([(1, 16.0), (2, 240.0)], "recording_id long, effective_duration double")
+    totals = intervals.overlap_totals(segs)
+    exact = {r.recording_id: r.overlap_seconds for r in totals.collect()}
+    assert exact == {1: 2.3 - 2.0, 2: math.fsum([2.3 - 2.0, 102.5 - 102.2, 151.1 - 150.8])}
+    got = {r.recording_id: (r.overlap_percentage, r.total_overlap_seconds) for r in intervals.overlap_summary(rec, totals).collect()}
+    assert got == {1: (1.87, 0.3), 2: (0.37, 0.9)}
+
+
 def test_overlap_totals_of_ten_thousand_at_once(spark):
     n = 10000
     df = spark.range(n).selectExpr(

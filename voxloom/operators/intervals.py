@@ -12,6 +12,7 @@ from voxloom.params import BIN_SECONDS, BLOCK_ROWS, DEFAULTS, UNKNOWN_SPEAKER
 
 BIN = "_bin"
 NEAR_SECONDS = 1e-6
+STEPS = 2.0**56  # a second, in sums of times by their binary values
 
 
 def midpoint() -> Column:
@@ -161,9 +162,10 @@ def overlap_totals(
 
     A pair overlaps by more than the floor just when both of its segments, shortened by the floor at their ends, still
     overlap. A sweep over the starts and shortened ends keeps the number k of running segments: a start meets the k that
-    run before it, and every stretch of time counts for k * (k - 1) / 2 pairs, summed by parts in exact decimals. Pairs of
-    one speaker are counted by the same sweep per speaker and taken off. Rows are linear in the segments, however many of
-    them overlap. Times count to the nanosecond and up to 9e9 seconds.
+    run before it and takes its time off for each, an end gives its time for each pair it ends. Pairs of one speaker are
+    counted by the same sweep per speaker and taken off. Rows are linear in the segments, however many of them overlap.
+    Sums are of the binary values of the times (to 2 ** -56 seconds, up to 9e9) as whole numbers, so one pair's total is the
+    double ``end - start`` and not that of its decimal digits, which may lie on the other side of a rounding limit.
 
     Subtracting the floor from an end may round differently than the pair's own test; distinct starts and shortened ends
     that lie within a millionth of a second are compared singly and the counts corrected.
@@ -181,13 +183,13 @@ def overlap_totals(
     keys = ["recording_id", "sign", "who"]
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     events = F.array(
-        F.struct(F.col("_s").alias("at"), one.alias("starts"), none.alias("ends")),
-        F.struct(F.col("_g").alias("at"), none.alias("starts"), one.alias("ends")),
+        F.struct(F.col("_s").alias("at"), one.alias("starts"), none.alias("ends"), F.lit(None).cast("double").alias("end")),
+        F.struct(F.col("_g").alias("at"), none.alias("starts"), one.alias("ends"), F.col("_e").cast("double").alias("end")),
     )
     points = (
         long.select(*keys, F.inline(events))
         .groupBy(*keys, "at")
-        .agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+        .agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.max("end").alias("end"))
     )
     swept = blocks.running(
         points,
@@ -199,9 +201,20 @@ def overlap_totals(
     k, new = F.col("k"), F.col("starts")
     met = new * (k - new) + F.shiftright(new * (new - 1), 1)
     was = k - new + F.col("ends")
-    change = F.shiftright(was * (was - 1) - k * (k - 1), 1).cast("decimal(18,0)")
-    exact = lambda c: F.greatest(F.least(c, F.lit(9e9)), F.lit(-9e9)).cast("decimal(19,9)")
-    shared = exact(F.col("at")) * change
+    gone_pairs = F.shiftright(was * (was - 1) - (k - new) * (k - new - 1), 1)
+    times = lambda part, n: part.cast("decimal(18,0)") * n.cast("decimal(18,0)")
+
+    def shared(end: Column, n_end: Column, start: Column, n_start: Column) -> list[Column]:
+        """Whole seconds, and the rest in steps of 1 / STEPS, of ``n_end`` times ``end`` less ``n_start`` times ``start``."""
+        bound = lambda c: F.greatest(F.least(c.cast("double"), F.lit(9e9)), F.lit(-9e9))
+        whole = lambda c: F.floor(bound(c)).cast("long")
+        rest = lambda c: ((bound(c) - F.floor(bound(c))) * F.lit(STEPS)).cast("long")
+        return [
+            F.coalesce(times(part(end), F.col("sign") * n_end), F.lit(0).cast("decimal(37,0)"))
+            - times(part(start), F.col("sign") * n_start)
+            for part in (whole, rest)
+        ]
+
     width = F.lit(NEAR_SECONDS)
     gone = long.groupBy(*keys, "_e", "_g").agg(F.count(F.lit(1)).alias("_ng")).withColumn("_near", F.floor(F.col("_g") / width))
     begun = long.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_ns"))
@@ -210,14 +223,15 @@ def overlap_totals(
     swept_off, really_off = F.col("_g") <= F.col("_s"), F.col("_e") - F.col("_s") <= floor
     wrong = gone.join(begun, [*keys, "_near"]).where(swept_off != really_off)
     amend = F.col("_ng") * F.col("_ns") * F.when(swept_off, 1).otherwise(-1)
-    own = F.col("sign") < 0
-    parts = swept.select("recording_id", (F.col("sign") * met).alias("_n"), F.when(own, -shared).otherwise(shared).alias("_t")).unionByName(
-        wrong.select("recording_id", (F.col("sign") * amend).alias("_n"), F.lit(0).cast("decimal(38,9)").alias("_t"))
-    )
-    sums = parts.groupBy("recording_id").agg(F.sum("_n").alias("pairs"), F.sum("_t").alias("_t"))
-    return sums.where("pairs > 0").select(
-        "recording_id", "pairs", (F.col("_t") + F.col("pairs").cast("decimal(18,0)") * exact(floor)).cast("double").alias("overlap_seconds")
+    whole, rest = shared(F.col("end"), gone_pairs, F.col("at"), met)
+    more, bits = shared(F.col("_e"), amend, F.col("_s"), amend)
+    parts = swept.select("recording_id", (F.col("sign") * met).alias("_n"), whole.alias("_w"), rest.alias("_r")).unionByName(
+        wrong.select("recording_id", (F.col("sign") * amend).alias("_n"), more.alias("_w"), bits.alias("_r"))
     )
+    sums = parts.groupBy("recording_id").agg(F.sum("_n").alias("pairs"), F.sum("_w").alias("_w"), F.sum("_r").alias("_r"))
+    # Both parts in steps, in one number before it becomes a double.
+    steps = F.col("_w").cast("decimal(20,0)") * F.lit(int(STEPS)).cast("decimal(17,0)") + F.col("_r")
+    return sums.where("pairs > 0").select("recording_id", "pairs", (steps.cast("double") / F.lit(STEPS)).alias("overlap_seconds"))
 
 
 def overlap_summary(recordings: DataFrame, totals: DataFrame) -> DataFrame:
