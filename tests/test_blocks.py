@@ -188,3 +188,19 @@ def test_range_running_splits_a_burst(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert B.range_running(df.limit(0), ["k"], ["at", "id"], {"n": F.lit(1)}).count() == 0
+
+
+def test_short_row_numbers_equal_the_rule_for_short_and_long_keys(spark):
+    rows = [(k, n * 37 % 101) for k, size in ((1, 3), (2, 50), (None, 20), (3, 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "k long, o long")
+    whole = {}
+    for k, o in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        whole[k, o] = whole.get(("n", k), 0) + 1
+        whole["n", k] = whole[k, o]
+    for few in (10, 1000):
+        out = B.short_row_numbers(df, ["k"], ["o"], B.block_of("o", 16), "no", few)
+        got = {(r.k, r.o): r.no for r in out.collect()}
+        assert got == {key: n for key, n in whole.items() if key[0] != "n"}
+    out = B.short_row_numbers(df, ["k"], ["o"], B.block_of("o", 16), "no", 1000)
+    shuffles = out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1  # short keys: the rows move once, without summaries

@@ -187,6 +187,22 @@ def row_numbers(
     return running(df, keys, order, block, sums={name: F.lit(1).cast("long")})
 
 
+def short_row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "row_no", few: int = 4096
+) -> DataFrame:
+    """``row_numbers`` where nearly all keys have few rows: these cost one shuffle of the rows and no summaries.
+
+    Keys of more than ``few`` rows, found by counting, are numbered by blocks as ever.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    long = cut(counts.where(F.col("_c") > few).select(*keys), "long")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    if not long.take(1):
+        return df.withColumn(name, number)
+    rest = _met(df, long, keys, "left_anti").withColumn(name, number)
+    return rest.unionByName(row_numbers(_met(df, long, keys, "left_semi"), keys, order, block, name))
+
+
 def range_running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], descending: bool = False
 ) -> DataFrame:

@@ -246,7 +246,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"]
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols)
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
-    n = blocks.row_numbers(line, ["l_orderkey"], cols, div(day, 30), "no")
+    n = blocks.short_row_numbers(line, ["l_orderkey"], cols, div(day, 30), "no")
     host = F.concat(F.lit("https://h"), (F.col("l_suppkey") % 20).cast("string"), F.lit(".example.com/cb"))
     return n.select(
         (F.col("l_orderkey") * 1000 + F.col("no")).alias("delivery_id"),
