@@ -123,6 +123,16 @@ def test_near_duplicates_out(spark):
     assert set(lone) <= set(ids)
 
 
+def test_near_duplicates_out_links_near_fingerprints(spark):
+    """Without bands of minima the fingerprints alone still find a near copy, and none of other texts."""
+    words = [f"w{i * 7919 % 9973}" for i in range(1200)]
+    a, b, c = " ".join(words[:600]), " ".join([*words[:599], "other"]), " ".join(words[600:])
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5, 42)) for t in (a, b, c)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[0] ^ prints[2]).bit_count()
+    out = simhash.near_duplicates_out(frame(spark, [(1, a), (2, b), (3, c), (4, a)]), bands=0)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_near_duplicates_out_finds_all_near_the_limit(spark):
     rng = random.Random(5)
 

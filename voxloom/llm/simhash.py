@@ -276,34 +276,50 @@ def _overlapping(delta: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, seed: int) -> DataFrame:
+def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, seed: int, radius: int) -> DataFrame:
     """Ids and keys of the rows that another row of their group replaces, as ``_id`` and ``_gone``."""
     key = row_key(F.col("doc_id"), F.col("text"))
     lean = docs.select("doc_id", key.alias("key"), payload(F.col("text")).alias("body"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for part in blocks(batches, ["doc_id", "key", "body"], "body"):
-            sets = [np.unique(shingle_hashes(t, shingle, seed)) for t in part["body"]]
+            hashes = [shingle_hashes(t, shingle, seed) for t in part["body"]]
+            fp = [fingerprint(h) for h in hashes]
+            sets = [np.unique(h) for h in hashes]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
-            yield {"doc_id": part["doc_id"], "key": part["key"], "node": node, "n": [len(s) for s in sets], "bands": [band_keys(s, bands, rows, seed) for s in sets]}
+            yield {"doc_id": part["doc_id"], "key": part["key"], "node": node, "n": [len(s) for s in sets], "bands": [band_keys(s, bands, rows, seed) for s in sets], "fp": fp}
 
-    prints = written(map_arrow(lean, work, "doc_id long, key long, node long, n long, bands array<long>"), "prints")
+    prints = written(map_arrow(lean, work, "doc_id long, key long, node long, n long, bands array<long>, fp long"), "prints")
     texts = docs.select(key.alias("_key"), payload(F.col("text")).alias("body"))
     # texts of one shingle set are similar to the same texts: one node
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n", "bands")).alias("first")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n", "bands", "fp")).alias("first")
     nodes = written(prints.groupBy("node").agg(first).select("node", "first.*"), "nodes")
 
+    # near fingerprints first: each against its least neighbour, then against each component that is still another one
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = nodes.select("node", "fp").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = near_pairs(nodes, radius).select("a", "b")
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
+    near = written(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "near")
+    star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(equal)
+    labels = written(components(_verified(star, nodes, texts, shingle, least)), "labels")
+
+    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+        known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
+
+    other = labelled(labelled(near, "a", "la"), "b", "lb").where("la <> lb").groupBy("b", "la").agg(F.min("a").alias("a"))
+    labels = _joined(labels, _verified(other, nodes, texts, shingle, least))
+
     each = nodes.select("node", "n", F.explode("bands").alias("band"))
     heads = each.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     members = written(each.join(heads, "band"), "members")
 
     # nodes of one component need no comparison, so each is held first against one head, then against heads of all its bands in turn
     one = members.groupBy("node").agg(F.min("head").alias("a")).where("node <> a").select("a", F.col("node").alias("b"))
-    labels = written(components(_verified(one, nodes, texts, shingle, least)), "labels")
-
-    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
+    one = labelled(labelled(one, "a", "la"), "b", "lb").where("la <> lb")
+    labels = _joined(labels, _verified(one, nodes, texts, shingle, least))
 
     def mixed(apart: DataFrame) -> DataFrame:
         """Bands that still hold several components, each with one of its nodes, another one each round."""
@@ -344,20 +360,21 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
     return gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).distinct()
 
 
-def near_duplicates_out(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 8, seed: int = 42) -> DataFrame:
+def near_duplicates_out(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 40, rows: int = 8, seed: int = 42, radius: int = 4) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with one document of each group of near copies.
 
     Two texts are near copies if their sets of word shingles have a Jaccard similarity of ``least`` or more; groups are the
     components of these pairs, and the smallest doc_id of each stays (rows without an id only where no other is). Pairs
-    are verified; candidates share one of ``bands`` keys of ``rows`` minima. A pair at similarity s is a candidate with
-    probability 1 - (1 - s ** rows) ** bands: 0.9994 at 0.80, over 0.99999 from 0.85. (Fingerprints of 64 bits differ in
-    9.7 bits on average at 0.80, and a radius that finds those holds too many unrelated texts.) Links of all bands are
-    found on the same input. Of rows equal in id and text one stays; null and empty texts are copies of each other.
+    are verified. Candidates are first the texts whose SimHash fingerprints (operator 2) differ in at most ``radius`` bits, by
+    multi-index hashing. Fingerprints of 64 bits differ in 9.7 bits on average at 0.80, and a radius that finds those holds
+    too many unrelated texts, so what is not linked by them meets by ``bands`` keys of ``rows`` minima: a pair at similarity
+    s shares one with probability 1 - (1 - s ** rows) ** bands, 0.9994 at 0.80, over 0.99999 from 0.85. All links are found
+    on the same input. Of rows equal in id and text one stays; null and empty texts are copies of each other.
     Of the tables written on the way only the rows to leave out outlive the call.
     """
     own = F.col("_row.doc_id")
     left = boxed(docs).withColumns({"_d": own, "_k": row_key(own, F.col("_row.text"))})
     with passing(docs.sparkSession):
-        gone = written(_near_copies(docs.select("doc_id", "text"), shingle, least, bands, rows, seed), "gone", lasting=True)
+        gone = written(_near_copies(docs.select("doc_id", "text"), shingle, least, bands, rows, seed, radius), "gone", lasting=True)
     same = (F.col("_k") == F.col("_gone")) & F.col("_d").eqNullSafe(F.col("_id"))
     return unboxed(left.join(gone, same, "left_anti").dropDuplicates(["_d", "_k"]), docs)
