@@ -121,3 +121,22 @@ def test_recordings_named_by_strings(spark):
     assert labels(cluster.cluster_average_linkage(named, 3)) == known
     assert labels(cluster.cluster_average_linkage(named, 3, max_rows=8)) == known
     assert set(labels(cluster.cluster_bisect(named))) == set(known)
+
+
+def test_bisect_writes_the_windows_twice_whatever_the_rounds(spark, monkeypatch):
+    """Rounds write centroids, a row per recording; the windows' vectors are written before them only."""
+    rng = np.random.default_rng(3)
+    rows = [(r, i, rng.normal(size=6).tolist()) for r in ("a", "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "recording_id string, win_idx long, embedding array<double>")
+    written, keep = [], cluster.cut
+
+    def spy(table, name="cut"):
+        out = keep(table, name)
+        written.append((name, "unit" in table.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(cluster, "cut", spy)
+    assert cluster.cluster_bisect(df, block_rows=16).count() == len(rows)
+    assert sum(vectors for _, vectors, _ in written) == 2
+    rounds = [n for name, _, n in written if name == "centroids"]
+    assert len(rounds) > 3 and max(rounds) <= 2

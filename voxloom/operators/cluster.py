@@ -8,8 +8,11 @@ recording of unbounded length.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,22 +64,46 @@ def _axis_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "axis": [axis.tolist()]})
 
 
-def _centroids(rows: DataFrame) -> DataFrame:
-    """Normalised mean vector of both labels, per recording."""
-    cells = rows.select(*REC, "label", F.posexplode("unit").alias("f", "v"))
-    means = cells.groupBy(*REC, "label", "f").agg(F.avg("v").alias("m"))
-    vec = means.groupBy(*REC, "label").agg(F.sort_array(F.collect_list(F.struct("f", "m"))).alias("c"))
-    vec = vec.select(*REC, "label", F.transform("c", lambda x: x["m"]).alias("c"))
-    vec = vec.withColumn("_n", F.sqrt(_dot("c", "c")) + 1e-8)
-    vec = vec.select(*REC, "label", F.transform("c", lambda v: v / F.col("_n")).alias("c"))
-    pick = lambda k: F.max(F.when(F.col("label") == k, F.col("c"))).alias(f"c{k}")
-    return vec.groupBy(*REC).agg(pick(0), pick(1))
+def _side_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, recording and label: number and sum of the vectors, and whether a label moved."""
+    for batch in batches:
+        sizes = batch.column("unit").value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            part = batch.filter(pa.array(sizes == size))
+            recs = part.column("recording_id").dictionary_encode("encode")
+            key = recs.indices.to_numpy() * 2 + part.column("label").to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            units = part.column("unit").flatten().to_numpy().reshape(len(key), int(size))[order]
+            sums = np.add.reduceat(units, first, axis=0)
+            moved = np.maximum.reduceat(part.column("moved").to_numpy()[order], first)
+            n = np.diff(first, append=len(key))
+            found = key[order][first]
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * np.int32(size)), pa.array(sums.ravel()))
+            columns = [recs.dictionary.take(pa.array(found // 2)), pa.array(found % 2), pa.array(n), vectors, pa.array(moved)]
+            yield pa.RecordBatch.from_arrays(columns, names=["recording_id", "label", "n", "s", "moved"])
+
+
+def _centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Normalised mean vector of both labels of a recording, from partial sums."""
+    centre: list = [None, None]
+    for label, rows in pdf.groupby("label"):
+        mean = np.vstack(rows["s"].to_numpy()).sum(axis=0) / rows["n"].sum()
+        centre[int(label)] = (mean / (np.sqrt(mean @ mean) + 1e-8)).tolist()
+    one = centre[0] is None or centre[1] is None
+    return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[:1].to_numpy(), "moved": [bool(pdf["moved"].max())], "one": [one], "c0": [centre[0]], "c1": [centre[1]]})
+
+
+def _nearer(c0: str, c1: str) -> Column:
+    return F.coalesce((_dot("unit", c1) > _dot("unit", c0)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Label 0 or 1 per window: block sums for the axis, exact median, then rounds of assignment.
 
-    Every round is written to the shared folder; finished recordings keep their labels.
+    A label follows from the centroids of its round, so a round writes those alone, one row per recording: it reads the
+    windows once, tells whether labels moved between the last two sets of centroids and sums the vectors for the next. The
+    windows are written twice, whatever the number of rounds. Recordings that are finished take no part in later rounds.
     """
     block = blocks.block_of(IDX, block_rows)
     unit = cut(_unit(windows), "unit")
@@ -85,31 +112,35 @@ def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLO
     )
     summed = cells.groupBy(*REC, "cell").agg(F.sum("v").alias("v"))
     axis = summed.groupBy(*REC).applyInPandas(_axis_of, id_kind(summed, "recording_id bigint, axis array<double>"))
-    side = blocks.attach(unit, axis, REC, block).withColumn("side", _dot("unit", "axis")).drop("axis")
+    side = blocks.attach(unit, cut(axis, "axis"), REC, block).withColumn("side", _dot("unit", "axis")).drop("axis")
     side = cut(side, "side")
-    middle = blocks.percentiles(side, REC, "side", {"median": 0.5}).select(*REC, "median")
-    seeded = blocks.attach(side, middle, REC, block)
-    seed = (F.col("side") > F.col("median")).cast("bigint")
-    state = cut(seeded.select(*REC, IDX, "unit", seed.alias("seed"), seed.alias("label")), "seed")
+    middle = blocks.percentiles(side.select(*REC, "side"), REC, "side", {"median": 0.5}).select(*REC, "median")
+    seeded = blocks.attach(side, cut(middle, "median"), REC, block).withColumn("seed", (F.col("side") > F.col("median")).cast("bigint"))
+
+    def centred(rows: DataFrame) -> DataFrame:
+        sums = rows.mapInArrow(_side_sums, id_kind(unit, "recording_id bigint, label bigint, n bigint, s array<double>, moved int"))
+        return sums.groupBy(*REC).applyInPandas(_centroids, id_kind(unit, "recording_id bigint, moved boolean, one boolean, c0 array<double>, c1 array<double>"))
+
+    now = cut(centred(seeded.select(*REC, "unit", F.col("seed").alias("label"), F.lit(1).alias("moved"))), "centroids")
+    now = now.select(*REC, "c0", "c1")
+    was = None
     finished: list[DataFrame] = []
     for _ in range(max_iter):
-        near = blocks.attach(state, _centroids(state), REC, block)
-        new = (_dot("unit", "c1") > _dot("unit", "c0")).cast("bigint")
-        step = cut(near.withColumn("new", F.coalesce(new, F.lit(0))).drop("c0", "c1"), "step")
-        facts = step.groupBy(*REC).agg(
-            F.max((F.col("new") != F.col("label")).cast("int")).alias("_moved"),
-            (F.min("new") == F.max("new")).alias("_one"),
-        )
-        verdict = cut(blocks.attach(step, facts, REC, block), "verdict")
-        over = (F.col("_moved") == 0) | F.col("_one")
-        final = F.when(F.col("_moved") == 0, F.col("label")).otherwise(F.col("seed"))
-        finished.append(verdict.where(over).select(*REC, IDX, final.alias("label")))
-        state = verdict.where(~over).select(*REC, IDX, "unit", "seed", F.col("new").alias("label"))
-        if not state.take(1):
+        both = now if was is None else now.join(was.select(*REC, F.col("c0").alias("b0"), F.col("c1").alias("b1")), REC)
+        rows = blocks.attach(seeded, both, REC, block, "inner")
+        before = F.col("seed") if was is None else _nearer("b0", "b1")
+        rows = rows.select(*REC, "unit", _nearer("c0", "c1").alias("label"), before.alias("_b"))
+        step = cut(centred(rows.select(*REC, "unit", "label", (F.col("label") != F.col("_b")).cast("int").alias("moved"))), "centroids")
+        over = ~F.col("moved") | F.col("one")
+        ended = step.where(over).select(*REC, F.col("moved").alias("_reset"))
+        finished.append(now.join(ended, REC))
+        was, now = now, step.where(~over).select(*REC, "c0", "c1")
+        if not now.take(1):
             break
     else:
-        finished.append(state.select(*REC, IDX, "label"))
-    return blocks.union_all(finished)
+        finished.append(was.join(now.select(*REC), REC, "left_semi").withColumn("_reset", F.lit(False)))
+    last = blocks.attach(seeded, cut(blocks.union_all(finished), "centroids"), REC, block, "inner")
+    return last.select(*REC, IDX, F.when(F.col("_reset"), F.col("seed")).otherwise(_nearer("c0", "c1")).alias("label"))
 
 
 # --- unknown number of speakers: average linkage over cosine distance ---
