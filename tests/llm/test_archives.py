@@ -128,6 +128,23 @@ def test_shards(spark):
     assert training_order.training_order(spark, frame(spark, [])).collect() == []
 
 
+def test_ids_on_the_way_are_short(spark):
+    order = np.random.default_rng(3).permutation(1 << 16)
+    codes = training_order.ShortIds(order)
+    ids = np.r_[np.arange(1 << 16), order[:300], 0, 65535].astype("<u2")
+    for stride in (1, 7, 512):
+        pieces = codes.pieces(ids, stride)
+        assert len(pieces) == -(-len(ids) // stride)
+        assert codes.back(b"".join(pieces)) == ids.tobytes()
+        assert codes.back(pieces[-1]) == ids[(len(pieces) - 1) * stride :].tobytes()
+    from voxloom.llm.tokens import paths
+
+    docs = frame(spark, [(i, f"the voice of speaker {i % 7} is heard in the hall again and again") for i in range(300)])
+    codes = training_order.ShortIds(training_order.frequent_first(docs, "text", paths()))
+    made = training_order.sequences(docs, 512, "doc_id", "text", paths(), codes).collect()
+    assert sum(len(r.ids) for r in made) < 1.1 * sum(r.n_tokens for r in made)  # two bytes each before
+
+
 PAGES = [(1, "http://a", "<p>one</p>"), (2, "http://b", "<p>two</p>"), (3, None, "<p>one</p>"), (4, "u", None), (5, "u", ""), (6, "l", "é" * 70000), (7, "x\ny", "<p>one</p>"), (None, "n", "<p>two</p>")]
 
 

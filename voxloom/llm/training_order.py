@@ -24,6 +24,49 @@ SLOTTED = "<qqiI"  # slot and the same, on the way to its shard
 HEAD_BYTES, RECORD_BYTES, SLOTTED_BYTES = struct.calcsize(HEAD), struct.calcsize(RECORD), struct.calcsize(SLOTTED)
 SHARD_RECORDS = 8192
 TOGETHER = 4  # shards written by one task: few, long strings on the way pack better than many short ones
+RUN = 2048  # pieces that are coded or decoded at once
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 4096  # what the order of the short codes is taken from
+
+
+class ShortIds:
+    """16-bit numbers as one to three bytes on the way, those that ``order`` names first the shortest: seven bits a byte, the
+    last byte of each below 128. Any order of all numbers gives them back as they were."""
+
+    def __init__(self, order: np.ndarray):
+        self.order = order.astype("<u2")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.n = 1 + (rank >= 1 << 7) + (rank >= 1 << 14)
+        self.bytes = np.stack([rank >> 7 * k & 127 | np.where(self.n > k + 1, 128, 0) for k in range(3)], 1).astype(np.uint8)
+
+    def pieces(self, ids: np.ndarray, stride: int) -> list[bytes]:
+        """Of every ``stride`` numbers."""
+        n = self.n[ids]
+        data = self.bytes[ids][np.arange(3) < n[:, None]].tobytes()
+        ends = np.cumsum(n)[np.minimum(np.arange(stride, len(ids) + stride, stride), len(ids)) - 1].tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def back(self, data: bytes) -> bytes:
+        """The numbers of joined pieces, two bytes each."""
+        part = np.frombuffer(data, np.uint8)
+        end = np.flatnonzero(part < 128)
+        n = np.diff(end, prepend=-1)
+        rank = part[end].astype(np.int32)
+        for k in (1, 2):
+            more = n > k
+            rank[more] = rank[more] << 7 | part[end[more] - k] & 127
+        return self.order[rank].tobytes()
+
+
+def frequent_first(docs: DataFrame, text_col: str, source: tuple) -> np.ndarray:
+    """All numbers, those frequent in the beginnings of a few texts first. It sets only how many bytes the ids take on the way."""
+    some = docs.select(payload(F.substring(F.col(text_col), 1, SAMPLE_CHARS)).alias("body")).limit(SAMPLE_ROWS).collect()
+    encode = encoder(*source)
+    counts = np.zeros(1 << 16, np.int64)
+    counts[END] = len(some)
+    for row in some:
+        counts += np.bincount(np.asarray(encode.ids(bytes(row.body).decode()), np.int64), minlength=1 << 16)
+    return np.argsort(-counts, kind="stable")
 
 
 def permuted(index: np.ndarray, total: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -43,9 +86,8 @@ def permuted(index: np.ndarray, total: int, key: int, rounds: int = 4) -> np.nda
     return value.astype(np.int64)
 
 
-def sequences(docs: DataFrame, stride: int, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """Rows doc_id, piece, n_tokens, ids: each text's ids and the end id in pieces of up to ``stride`` 16-bit numbers."""
-    source = paths(vocabulary)
+def sequences(docs: DataFrame, stride: int, id_col: str, text_col: str, source: tuple, codes: ShortIds) -> DataFrame:
+    """Rows doc_id, piece, n_tokens, ids: each text's ids and the end id in pieces of up to ``stride`` numbers, coded."""
     lean = docs.select(F.col(id_col).alias("doc_id"), payload(F.col(text_col)).alias("body"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -54,12 +96,12 @@ def sequences(docs: DataFrame, stride: int, id_col: str, text_col: str, vocabula
             out: dict[str, list] = {"doc_id": [], "piece": [], "n_tokens": [], "ids": []}
             for doc_id, body in zip(part["doc_id"], part["body"], strict=True):
                 ids = np.append(encode.ids(body.decode()), np.uint32(END)).astype("<u2")
+                for at in range(0, len(ids), RUN * stride):
+                    out["ids"] += codes.pieces(ids[at : at + RUN * stride], stride)
                 for k in range(-(-len(ids) // stride)):
-                    own = ids[k * stride : (k + 1) * stride]
                     out["doc_id"].append(doc_id)
                     out["piece"].append(k)
-                    out["n_tokens"].append(len(own))
-                    out["ids"].append(own.tobytes())
+                    out["n_tokens"].append(min(stride, len(ids) - k * stride))
             yield out
 
     return map_arrow(lean, work, "doc_id long, piece int, n_tokens int, ids binary")
@@ -77,9 +119,11 @@ def materialise(
     repeated task changes nothing. Null and empty texts are a sequence of the end id; a null id is written as the largest number.
     """
     spark = docs.sparkSession
+    vocabulary_paths = paths(vocabulary)
+    codes = ShortIds(frequent_first(docs, text_col, vocabulary_paths))
     source = shared_dir(spark, "sequences")
     packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
-    sequences(docs, stride, id_col, text_col, vocabulary).write.options(**packed).parquet(source)
+    sequences(docs, stride, id_col, text_col, vocabulary_paths, codes).write.options(**packed).parquet(source)
     made = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
 
     # numbers without gaps: the rows of the files before, and the row in its own file
@@ -98,8 +142,8 @@ def materialise(
             part = slot // (shard_records * TOGETHER)
             by = np.argsort(part, kind="stable")
             columns = [batch.column(name) for name in ("doc_id", "piece", "n_tokens", "ids")]
-            for own in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
-                if len(own):
+            for same in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+                for own in np.array_split(same, -(-len(same) // RUN)) if len(same) else ():
                     rows = [struct.pack(SLOTTED, slot[i], LAST if (d := columns[0][i].as_py()) is None else d, columns[1][i].as_py(), columns[2][i].as_py()) for i in own.tolist()]
                     body = b"".join(rows) + b"".join(columns[3][i].as_py() for i in own.tolist())
                     yield {"part": [part[own[0]]], "blob": [packer.compress(struct.pack("<q", len(own)) + body)]}
@@ -111,9 +155,10 @@ def materialise(
         for blob in group.column("blob"):
             body = zstandard.ZstdDecompressor().decompress(blob.as_py())
             n = struct.unpack_from("<q", body)[0]
-            at = 8 + n * SLOTTED_BYTES
-            for slot, doc_id, piece, used in struct.iter_unpack(SLOTTED, body[8:at]):
-                record = struct.pack(RECORD, doc_id, piece, used) + body[at : at + 2 * used]
+            ids = codes.back(body[8 + n * SLOTTED_BYTES :])
+            at = 0
+            for slot, doc_id, piece, used in struct.iter_unpack(SLOTTED, body[8 : 8 + n * SLOTTED_BYTES]):
+                record = struct.pack(RECORD, doc_id, piece, used) + ids[at : at + 2 * used]
                 out[(slot - begin) * size : (slot - begin) * size + len(record)] = record
                 at += 2 * used
         made: dict[str, list] = {"shard": [], "path": [], "first_slot": [], "n_records": [], "bytes": [], "crc32": []}
