@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxloom.llm import attribution, common, licences, packing, quality, simhash
@@ -372,3 +375,27 @@ def test_near_duplicates_out_leaves_one_folder(spark, tmp_path, monkeypatch):
     kept = simhash.near_duplicates_out(docs)
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["gone"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_shuffles_of_passing_steps_go(spark):
+    from voxloom.llm.common import SHUFFLE_CLEANUP, passing, written
+
+    folders = [Path(d.toString()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f.name for d in folders for f in d.glob("*/shuffle_*.data")}
+    before, old = held(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    with passing(spark):
+        assert written(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counted").count() == 100
+        for _ in range(50):
+            left = held() - before
+            if not left:
+                break
+            time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == old
+
+
+def test_joined_labels_by_component(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2)], "node long, label long")
+    links = spark.createDataFrame([(4, 5), (6, 7), (5, 8)], "a long, b long")
+    found = {r.node: r.label for r in simhash._joined(labels, links).collect()}
+    assert found == {1: 1, 4: 1, 2: 1, 5: 1, 8: 1, 6: 6, 7: 6}

@@ -18,6 +18,7 @@ from voxloom.session import shared_dir
 BLOCK_BYTES = 2 << 20
 ARROW_BYTES = "8m"
 BROADCAST_ROWS = 1_000_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LAST = np.int64(2**63 - 1)
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -43,13 +44,19 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Folders that ``written`` makes inside the block are deleted at its end, after an error too."""
+    """Folders that ``written`` makes inside the block are deleted at its end, after an error too.
+
+    As each step reads what the one before has written, what a step shuffles is of no use after it: Spark removes those
+    files at the end of each query in the block, not when the driver next collects its garbage."""
     folders: list[str] = []
     token = _passing.set(folders)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
         _passing.reset(token)
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
         for path in folders:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import blocks, boxed, map_arrow, mix, passing, payload, row_key, unboxed, written
 
 BITS = 64
-ROUNDS = 4  # against heads before what is left meets by its deltas
+HEADS = 4  # nodes of a band that all others are held against before what is left meets by its deltas
 FEW = 12  # nodes of a band that are compared with each other as they are
 REFERENCE = 32  # nodes of a band that set what its deltas differ from
 
@@ -207,11 +207,20 @@ def _verified(asked: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return written(map_arrow(asked.join(right, "b").join(left, "a"), verify, "a long, b long"), "sure")
 
 
+def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """With the component of a node; one that has no label is its own."""
+    known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links."""
+    """Labels after more links, found among the components that these join."""
     if not links.limit(1).count():
         return labels
-    return written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
+    ends = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    after = _labelled(labels.select("node", F.col("label").alias("was")), moved, "was", "label").select("node", "label")
+    return written(after.unionByName(moved.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def _possible(least: float) -> Column:
@@ -295,7 +304,7 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n", "bands", "fp")).alias("first")
     nodes = written(prints.groupBy("node").agg(first).select("node", "first.*"), "nodes")
 
-    # near fingerprints first: each against its least neighbour, then against each component that is still another one
+    # near fingerprints first: each against its least neighbour, and against the head of one of its bands
     firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     equal = nodes.select("node", "fp").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = near_pairs(nodes, radius).select("a", "b")
@@ -303,38 +312,31 @@ def _near_copies(docs: DataFrame, shingle: int, least: float, bands: int, rows:
         near = near.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
     near = written(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "near")
     star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(equal)
-    labels = written(components(_verified(star, nodes, texts, shingle, least)), "labels")
-
-    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        return df.join(known, F.col(node) == F.col("_n"), "left").withColumn(label, F.coalesce("_l", node)).drop("_n", "_l")
-
-    other = labelled(labelled(near, "a", "la"), "b", "lb").where("la <> lb").groupBy("b", "la").agg(F.min("a").alias("a"))
-    labels = _joined(labels, _verified(other, nodes, texts, shingle, least))
-
     each = nodes.select("node", "n", F.explode("bands").alias("band"))
     heads = each.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
     members = written(each.join(heads, "band"), "members")
-
-    # nodes of one component need no comparison, so each is held first against one head, then against heads of all its bands in turn
     one = members.groupBy("node").agg(F.min("head").alias("a")).where("node <> a").select("a", F.col("node").alias("b"))
-    one = labelled(labelled(one, "a", "la"), "b", "lb").where("la <> lb")
-    labels = _joined(labels, _verified(one, nodes, texts, shingle, least))
-
-    def mixed(apart: DataFrame) -> DataFrame:
-        """Bands that still hold several components, each with one of its nodes, another one each round."""
-        head = F.min_by("node", F.xxhash64("node", F.lit(rounds))).alias("head")
-        return apart.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), head).where("_lo <> _hi").select("band", "head")
-
-    for rounds in range(ROUNDS):
-        apart = labelled(members.drop("head"), "node", "label")
-        star = apart.join(mixed(apart), "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("label").alias("lb")).distinct()
-        links = _verified(labelled(star, "a", "la").where("la <> lb"), nodes, texts, shingle, least)
-        if not links.limit(1).count():
-            break
-        labels = _joined(labels, links)
+    asked = star.unionByName(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = written(components(_verified(asked, nodes, texts, shingle, least)), "labels")
 
-    apart = labelled(members.drop("head"), "node", "label")
+    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+        return _labelled(df, labels, node, label)
+
+    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
+        """Bands that hold several components."""
+        return rows.groupBy("band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), *more).where("_lo <> _hi").drop("_lo", "_hi")
+
+    # nodes of one component need no comparison. Near fingerprints meet each component that is still another one, and the
+    # nodes of a band a few of its nodes at once
+    other = labelled(labelled(near, "a", "la"), "b", "lb").where("la <> lb").groupBy("b", "la").agg(F.min("a").alias("a")).select("a", "b")
+    apart = written(labelled(members.drop("head"), "node", "label"), "apart")
+    few_heads = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HEADS)]))
+    star = apart.join(mixed(apart, few_heads.alias("heads")), "band").select(F.explode("heads").alias("a"), F.col("node").alias("b"), F.col("label").alias("lb"))
+    star = labelled(star.where("a <> b").distinct(), "a", "la").where("la <> lb").select("a", "b").unionByName(other)
+    asked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = _joined(labels, _verified(asked, nodes, texts, shingle, least))
+
+    apart = labelled(apart.drop("label"), "node", "label")
     apart = written(apart.join(mixed(apart), "band").select("band", "node", "n", "label"), "apart")
     # bands of a few nodes compare them all, which is linear in their rows
     crowd = apart.groupBy("band").agg(F.count("*").alias("_c")).where(F.col("_c") > FEW).select("band")
