@@ -58,3 +58,27 @@ def test_far_tiles_never_meet(spark, monkeypatch):
 
 def test_no_windows(spark):
     assert similar.similar_windows(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_window_is_sent_at_most_sixteen_times_however_long_its_recording(spark, monkeypatch):
+    """Small tiles of a long recording without structure: their number, which every window is sent to, doesn't grow; pieces meet as whole tiles do."""
+    met = []
+    real = similar.meeting
+    monkeypatch.setattr(similar, "meeting", lambda tiles: met.append(real(tiles)) or met[-1])
+    monkeypatch.setattr(similar, "PIECE", 7)
+    rng = np.random.default_rng(9)
+    for n in (120, 480):
+        rows = [(1, 3 * i, [float(round(v, 1)) for v in rng.normal(size=4)]) for i in range(n)]
+        rows[5] = rows[50] = rows[90] = (1, 3 * n, rows[5][2])
+        rows = list({r[1]: r for r in rows}.values())
+        assert got(similar.similar_windows(spark.createDataFrame(rows, SCHEMA), 3, 4)) == plain(rows, 3)
+    for pairs in met:
+        tiles = {r.tile for r in pairs.collect()}
+        assert len(tiles) <= similar.TILES and pairs.count() <= similar.TILES * (similar.TILES - 1)
+
+
+def test_many_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PIECE", 8)
+    rows = [(1, i, [1.0, 0.0] if i % 5 else [float(i % 3), 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(similar.similar_windows(df, 4, 4)) == plain(rows, 4)
