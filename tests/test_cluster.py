@@ -140,3 +140,17 @@ def test_bisect_writes_the_windows_twice_whatever_the_rounds(spark, monkeypatch)
     assert sum(vectors for _, vectors, _ in written) == 2
     rounds = [n for name, _, n in written if name == "centroids"]
     assert len(rounds) > 3 and max(rounds) <= 2
+
+
+def test_rounds_send_a_cluster_a_bounded_number_of_times(spark):
+    """However many tiles of ``max_rows`` a recording has; the nearest ones are those of all pairs, ties going to smaller numbers."""
+    rng = np.random.default_rng(17)
+    vectors = rng.normal(size=(120, 3)).round(0) + 0.5
+    rows = [("a", 2 * i, 1.0, [float(x) for x in v], i % 4 > 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "recording_id string, cid bigint, n double, s array<double>, asks boolean")
+    assert cluster._dealt(df, 4).count() <= 120 * (cluster.TILES + cluster.PARTS)
+    dist = np.round(1 - vectors @ vectors.T, 9)
+    np.fill_diagonal(dist, np.inf)
+    want = {(2 * i, 2 * int(dist[i].argmin()), float(dist[i].min())) for i in range(120) if i % 4}
+    for max_rows in (4, 16, 200):
+        assert {(r.cid, r.other, r.dist) for r in cluster._nearest(df, max_rows).collect()} == want

@@ -24,6 +24,7 @@ from voxloom.sources.contracts import id_kind
 REC = ["recording_id"]
 IDX = "win_idx"
 MAX_ROWS = 4096
+TILES, PARTS = 8, 4  # of a recording, in a round over tables
 LABELS = "recording_id bigint, win_idx bigint, label bigint"
 
 
@@ -207,39 +208,94 @@ def linkage_labels(s: np.ndarray, n_clusters: int | None, threshold: float, max_
     return np.unique(top, return_inverse=True)[1].astype(np.int64)
 
 
-def _nearest_in_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best partner of the asking clusters of one bucket among the clusters of another."""
-    pdf = pdf.sort_values("cid")
-    rows, cols = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-    out = pd.DataFrame({"recording_id": rows["recording_id"], "cid": rows["cid"]})
-    if not len(rows) or not len(cols):
-        return out.iloc[:0].assign(other=[], dist=[])
-    own, others = rows["cid"].to_numpy(), cols["cid"].to_numpy()
-    dist = _distances(np.vstack(rows["s"].to_numpy()), rows["n"].to_numpy(float), np.vstack(cols["s"].to_numpy()), cols["n"].to_numpy(float))
-    dist[own[:, None] == others[None, :]] = np.inf
-    best = dist.argmin(axis=1)
-    out = out.assign(other=others[best], dist=dist[np.arange(len(own)), best])
-    return out[np.isfinite(out["dist"])]
-
-
-def _nearest(asking: DataFrame, clusters: DataFrame, tile_rows: int) -> DataFrame:
-    """(recording_id, cid, other, dist): the nearest partner of each asking cluster.
-
-    Clusters of a recording are dealt to tiles of about ``tile_rows``; a task holds two of them and emits one row per
-    asking cluster.
+class _Asking:
+    """Clusters of one tile and the nearest partner of each that has come past; of equally near ones the smallest number."""
+
+    def __init__(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray):
+        self.cid, self.n, self.s = cid, n, s
+        self.dist, self.other = np.full(len(cid), np.inf), np.full(len(cid), -1)
+
+    def meet(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray, tile: int = 1024) -> None:
+        order = np.argsort(cid)
+        for some in (order[at : at + tile] for at in range(0, len(order), tile)):
+            for at in range(0, len(self.cid), tile):
+                rows = slice(at, at + tile)
+                own, others = self.cid[rows], cid[some]
+                found = _distances(self.s[rows], self.n[rows], s[some], n[some])
+                place = np.minimum(np.searchsorted(others, own), len(others) - 1)
+                itself = np.flatnonzero(others[place] == own)
+                found[itself, place[itself]] = np.inf
+                best = found.argmin(axis=1)
+                dist, other = found[np.arange(len(own)), best], others[best]
+                nearer = (dist < self.dist[rows]) | ((dist == self.dist[rows]) & (other < self.other[rows]))
+                self.dist[rows] = np.where(nearer, dist, self.dist[rows])
+                self.other[rows] = np.where(nearer, other, self.other[rows])
+
+
+def _nearest_past(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per tile, whose asking clusters come first: the best partner of each among the clusters that follow."""
+
+    def out(rec: pa.Scalar, asking: _Asking) -> pa.RecordBatch:
+        known = np.isfinite(asking.dist)
+        recs = pa.array([rec.as_py()] * int(known.sum()), rec.type)
+        columns = [recs, pa.array(asking.cid[known]), pa.array(asking.other[known]), pa.array(asking.dist[known])]
+        return pa.RecordBatch.from_arrays(columns, names=["recording_id", "cid", "other", "dist"])
+
+    key, own, asking = None, [], None
+    for batch in batches:
+        recs = batch.column("recording_id")
+        keys = np.stack([recs.dictionary_encode().indices.to_numpy(), *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_i", "_j", "asks"))])
+        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if batch.num_rows else []
+        for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+            part = batch.slice(at, end - at)
+            cid, n = part.column("cid").to_numpy(), part.column("n").to_numpy()
+            rows = (cid, n, part.column("s").flatten().to_numpy().reshape(len(cid), -1))
+            tile = (recs[at].as_py(), keys[1, at], keys[2, at])
+            if tile != key:
+                if asking:
+                    yield out(recording, asking)
+                key, recording, own, asking = tile, recs[at], [], None
+            if keys[3, at]:
+                own.append(rows)
+                continue
+            if own and asking is None:
+                asking = _Asking(*(np.concatenate(column) for column in zip(*own)))
+            if asking:
+                asking.meet(*rows)
+    if asking:
+        yield out(recording, asking)
+
+
+def _dealt(clusters: DataFrame, max_rows: int) -> DataFrame:
+    """Clusters by tile (recording_id, _i, _j): those that ask are dealt once to ``_i``, all of them go past each ``_i``.
+
+    A recording has at most ``TILES`` tiles ``_i`` until these reach 4 ``max_rows`` clusters, and its clusters go past in up to
+    ``PARTS`` parts ``_j``: until then a cluster is sent ``TILES + PARTS`` times at most.
     """
-    block = F.pmod(F.xxhash64("cid"), F.lit(64))
+    few = lambda n, rows, most: F.least(F.ceil(n / rows), F.lit(most)).cast("int")
+    asks, all_ = F.count_if("asks"), F.count(F.lit(1))
+    count = clusters.groupBy(*REC).agg(
+        F.greatest(few(asks, max_rows, TILES), F.ceil(asks / (4 * max_rows)).cast("int")).alias("_na"),
+        few(all_, 4 * max_rows, PARTS).alias("_nc"),
+    ).where("_na > 0")
+    rows = blocks.attach(clusters, count, REC, F.pmod(F.xxhash64("cid"), F.lit(64)), "inner")
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
+    place = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.alias("_i"), j.alias("_j"))
+    mine = every("_nc", lambda j: place(True, deal("_na"), j))
+    past = every("_na", lambda i: place(False, i, deal("_nc")))
+    places = F.explode(F.when(F.col("asks"), F.concat(mine, past)).otherwise(past)).alias("p")
+    return rows.select(*REC, "cid", "n", "s", places).select(*REC, "cid", "n", "s", "p.*")
 
-    def tiles(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*REC).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias(name))
 
-    count = tiles(asking, "_na").join(tiles(clusters, "_nc"), REC)
-    deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = [*REC, "cid", "n", "s"]
-    mine = blocks.attach(asking.select(*columns), count, REC, block).select(*columns, F.lit(True).alias("asks"), deal("_na").alias("_i"), every("_nc").alias("_j"))
-    all_ = blocks.attach(clusters.select(*columns), count, REC, block).select(*columns, F.lit(False).alias("asks"), deal("_nc").alias("_j"), every("_na").alias("_i"))
-    near = mine.unionByName(all_).groupBy(*REC, "_i", "_j").applyInPandas(_nearest_in_tile, id_kind(clusters, "recording_id bigint, cid bigint, other bigint, dist double"))
+def _nearest(clusters: DataFrame, max_rows: int) -> DataFrame:
+    """(recording_id, cid, other, dist): the nearest partner of each cluster that asks.
+
+    A task holds a tile of asking clusters while others of the recording stream past, and emits one row per asking cluster.
+    """
+    key = [*REC, "_i", "_j"]
+    dealt = _dealt(clusters, max_rows).repartition(*key).sortWithinPartitions(*key, F.desc("asks"))
+    near = dealt.mapInArrow(_nearest_past, id_kind(clusters, "recording_id bigint, cid bigint, other bigint, dist double"))
     best = near.groupBy(*REC, "cid").agg(F.min(F.struct("dist", "other")).alias("b"))
     return best.select(*REC, "cid", F.col("b.other").alias("other"), F.col("b.dist").alias("dist"))
 
@@ -254,15 +310,10 @@ def _mutual(best: DataFrame) -> DataFrame:
 def _merge_round(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters after the pairs have merged into their smaller number."""
     to = pairs.select(*REC, F.col("child").alias("cid"), F.col("cid").alias("into"))
-    kept = clusters.join(to, [*REC, "cid"], "left_anti")
-    gone = clusters.join(to, [*REC, "cid"]).select(*REC, F.col("into").alias("cid"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    both = kept.join(gone, [*REC, "cid"], "left")
-    return both.select(
-        *REC,
-        "cid",
-        (F.col("n") + F.coalesce("n2", F.lit(0.0))).alias("n"),
-        F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda a, b: a + b)).alias("s"),
-    )
+    named = clusters.join(to, [*REC, "cid"], "left").select(*REC, F.coalesce("into", "cid").alias("cid"), "n", "s")
+    both = named.groupBy(*REC, "cid").agg(F.sum("n").alias("n"), F.collect_list("s").alias("_s"))
+    one, two = F.element_at("_s", 1), F.try_element_at("_s", F.lit(2))
+    return both.select(*REC, "cid", "n", F.when(two.isNull(), one).otherwise(F.zip_with(one, two, lambda a, b: a + b)).alias("s"))
 
 
 def _finish_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -337,25 +388,26 @@ def _linkage_rounds(busy: DataFrame, n_speakers: int | None, threshold: float, m
     """Labels of recordings of more than ``max_rows`` windows: rounds over tables, the last ones in tasks."""
     block = F.pmod(F.xxhash64("cid"), F.lit(64))
     leaves = busy.select(*REC, "cid")
-    tile = max(1, max_rows // 2)
     small: list[DataFrame] = []
     merges: list[DataFrame] = []
-    best = cut(_nearest(busy, busy, tile), "nearest")
+    best = cut(_nearest(busy.withColumn("asks", F.lit(True)), max_rows), "nearest")
     while True:
         pairs = cut(_mutual(best), "pairs")
         merges.append(pairs)
         busy = cut(_merge_round(busy, pairs), "clusters")
-        many = busy.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
-        if not many.take(1):
+        many = cut(busy.groupBy(*REC).count().withColumn("many", F.col("count") > max_rows).drop("count"), "many")
+        if not many.where("many").take(1):
             small.append(busy)
             break
-        small.append(cut(blocks.attach(busy, many, REC, block, "left_anti"), "clusters"))
-        busy = cut(blocks.attach(busy, many, REC, block, "left_semi"), "clusters")
+        if many.where("not many").take(1):
+            small.append(cut(blocks.attach(busy, many.where("not many"), REC, block, "left_semi"), "clusters"))
+            busy = cut(blocks.attach(busy, many.where("many"), REC, block, "left_semi"), "clusters")
         moved = pairs.select(*REC, "cid").unionByName(pairs.select(*REC, F.col("child").alias("cid")))
         still = best.join(moved, [*REC, "cid"], "left_anti").join(moved.withColumnRenamed("cid", "other"), [*REC, "other"], "left_anti")
         still = still.select(*REC, "cid", "other", "dist").join(busy.select(*REC, "cid"), [*REC, "cid"], "left_semi")
-        asking = busy.join(still.select(*REC, "cid"), [*REC, "cid"], "left_anti")
-        best = cut(still.unionByName(_nearest(asking, busy, tile)), "nearest")
+        known = still.select(*REC, "cid", F.lit(False).alias("asks"))
+        asking = busy.join(known, [*REC, "cid"], "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+        best = cut(still.unionByName(_nearest(asking, max_rows)), "nearest")
     last = blocks.union_all(small).groupBy(*REC).applyInPandas(_finish_group, id_kind(busy, "recording_id bigint, cid bigint, child bigint, height double"))
     tree = cut(blocks.union_all([*merges, last]), "tree")
     done = tree.join(_dropped_merges(tree, n_speakers, threshold, max_speakers), [*REC, "child"], "left_anti")
