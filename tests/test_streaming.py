@@ -187,3 +187,23 @@ def test_attempts_meet_answers_as_in_batch(spark, tmp_path):
             drop(spark, tmp_path / name, part, kind, f"part{k}")
     met = S.attempt_outcomes(*(stream(spark, tmp_path / n, k) for n, k in zip(("sent", "told"), kinds)), late="1 hour")
     assert pick(S.run_to_table(met, spark, "t-attempts").where("delivery_id <> 'z' or delivery_id is null")) == want
+
+
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    """A store for each of many shuffle partitions, or four in a join, cost every batch its time; the session keeps its settings."""
+    kinds = "delivery_id long, attempts int, sent_at timestamp", "delivery_id long, attempts int, answered_at timestamp, outcome_code int, outcome_text string"
+    drop(spark, tmp_path / "sent", [(1, 0, T0)], kinds[0], "part0")
+    drop(spark, tmp_path / "told", [(1, 0, T0, 200, None)], kinds[1], "part0")
+    met = S.attempt_outcomes(*(stream(spark, tmp_path / n, k) for n, k in zip(("sent", "told"), kinds)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        query = S.start(met, S.batch_folder(str(tmp_path / "out")), str(tmp_path / "progress"))
+        query.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+        assert all(spark.conf.get(key, None) != value for key, value in S.STATE.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    state = query.lastProgress["stateOperators"][0]
+    most = S.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert state["numShufflePartitions"] <= most and state["numStateStoreInstances"] <= most

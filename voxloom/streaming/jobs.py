@@ -21,6 +21,12 @@ from voxloom.session import cut, shared_dir
 from voxloom.streaming.states import job_states  # noqa: F401
 
 SALTS = 32
+STORES_PER_CORE = 2
+#: A batch writes its changes to the state, not the state's files; the two sides of a join share one store per partition.
+STATE = {
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -52,9 +58,21 @@ def start(
     available_now: bool = True,
     trigger: str = "10 seconds",
 ) -> StreamingQuery:
+    """Start the query. It has at most ``STORES_PER_CORE`` state partitions per core, as each costs a load and a commit in
+    every batch whatever it holds; a checkpoint keeps the number and the form of the state that it began with."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
-    return writer.start()
+    spark = stream.sparkSession
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STORES_PER_CORE * spark.sparkContext.defaultParallelism)
+    settings = STATE | {"spark.sql.shuffle.partitions": str(stores)}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:  # the query copies the session's settings when it starts
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        return writer.start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def batch_folder(out: str) -> Callable[[DataFrame, int], None]:
