@@ -45,21 +45,26 @@ class JobStates(StatefulProcessor):
         """The state up to the watermark, stored, and the events that stay held."""
         events.sort(key=lambda e: (e[0], e[1] is not None, e[1] or 0))
         done = sum(e[0] <= watermark_us for e in events)
-        state = State(*self.settled.get()) if self.settled.exists() else State()
+        stored = self.settled.get()
+        state = State(*stored) if stored is not None else State()
         if done:
             state = self._folded(state, events[:done])
-        if state.status is not None:
-            self.settled.update((state.status, state.attempts, state.token, state.updated))
+            if state.status is not None:
+                self.settled.update((state.status, state.attempts, state.token, state.updated))
         if events[done:]:
             self.held.put(events[done:])
         else:
             self.held.clear()
         return state, events[done:]
 
-    def _wake(self, state: State, held: list[tuple], watermark_ms: int) -> None:
-        """One timer: when the last held event is settled, or when the claim lapses if that is watched."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _wake(self, state: State, held: list[tuple], watermark_ms: int, waiting: bool = False) -> None:
+        """One timer: when the last held event is settled, or when the claim lapses if that is watched. One that waits for
+        events held before (``waiting``) stays, as it comes no later; when it fires, what is still held gets a new one."""
+        if waiting and held and not self.watch_stale:
+            return
+        if waiting or self.watch_stale:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         due = held[-1][0] if held else None
         if self.watch_stale and state.status == PROCESSING:
             due = max(due or 0, state.updated + self.stale_us)
@@ -71,17 +76,18 @@ class JobStates(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        events = list(self.held.get()) if self.held.exists() else []
+        events = list(self.held.get())
+        waiting = bool(events)
         events += [(r.us, r.event_id, r.kind, r.token, r.permanent) for r in rows]
         state, held = self._settle([tuple(e) for e in events], watermark * 1000)
         state = self._folded(state, held)
-        self._wake(state, held, watermark)
+        self._wake(state, held, watermark, waiting)
         if state.status is not None:
             yield self._row(key, state, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        state, held = self._settle([tuple(e) for e in self.held.get()] if self.held.exists() else [], watermark * 1000)
+        state, held = self._settle([tuple(e) for e in self.held.get()], watermark * 1000)
         lapsed = self.watch_stale and not held and state.status == PROCESSING and state.updated + self.stale_us < watermark * 1000
         if lapsed:
             again = state.attempts < self.max_attempts
