@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -154,3 +156,53 @@ def test_rounds_send_a_cluster_a_bounded_number_of_times(spark):
     want = {(2 * i, 2 * int(dist[i].argmin()), float(dist[i].min())) for i in range(120) if i % 4}
     for max_rows in (4, 16, 200):
         assert {(r.cid, r.other, r.dist) for r in cluster._nearest(df, max_rows).collect()} == want
+
+
+def test_a_long_recording_takes_no_rounds_over_tables(spark, monkeypatch):
+    """Rounds over tables are for what no task should hold: 5000 windows are merged in one, with the same labels."""
+    df, _ = make(spark, [5000], d=4, seed=21, noise=0.5)
+    rounds = labels(cluster.cluster_average_linkage(df, 4, max_rows=2500))
+    written, keep = [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda table, name="cut": written.append(name) or keep(table, name))
+    assert labels(cluster.cluster_average_linkage(df, 4)) == rounds
+    assert written == []
+
+
+def test_merging_holds_pieces_of_bounded_size():
+    """Beside the vectors a task holds a piece of the distances, whatever the number of windows."""
+    x = np.random.default_rng(4).normal(size=(6000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    try:
+        merges = cluster.linkage_merges(x, np.ones(len(x)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(merges) == 5999
+    assert peak < 40e6
+
+
+def test_nearest_partners_in_pieces_are_those_of_all_distances(monkeypatch):
+    """Ties, silent windows, a vector without numbers, sizes, and gaps that single precision can't tell."""
+    monkeypatch.setattr(cluster._Asking, "ROWS", 7)
+    monkeypatch.setattr(cluster._Asking, "COLUMNS", 16)
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(3, 5))
+    for kind in range(4):
+        s = base[rng.integers(0, 3, 90)] + rng.normal(size=(90, 5)) * (0, 3e-8, 1e-4, 0.5)[kind]
+        s /= np.linalg.norm(s, axis=1, keepdims=True)
+        if kind % 2:
+            s[[4, 50]] = 0
+            s[33] = np.nan
+        n = rng.integers(1, 6, 90).astype(float)
+        s *= n[:, None]
+        cid = np.sort(rng.choice(500, 90, replace=False))
+        dist = np.round(1 - np.einsum("ik,jk->ij", s, s) / np.outer(n, n), 9)
+        dist[np.isnan(dist)] = cluster.FAR
+        np.fill_diagonal(dist, np.inf)
+        asks = rng.random(90) < 0.6
+        asking = cluster._Asking(cid[asks], n[asks], s[asks])
+        for part in np.array_split(rng.permutation(90), 3):
+            asking.meet(cid[part], n[part], s[part])
+        assert asking.other.tolist() == cid[dist.argmin(axis=1)][asks].tolist()
+        assert asking.dist.tolist() == dist.min(axis=1)[asks].tolist()

@@ -3,7 +3,8 @@
 Both operators work in rounds that are the same at every size. Average linkage
 runs its rounds over tables while a recording has more than ``max_rows``
 clusters, and the rest of them in one task, so that no task ever holds a
-recording of unbounded length.
+recording of unbounded length. The first rounds hold most of the comparing,
+the many later ones little: over tables these would cost mostly their jobs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from voxloom.operators import blocks
@@ -23,8 +24,9 @@ from voxloom.sources.contracts import id_kind
 
 REC = ["recording_id"]
 IDX = "win_idx"
-MAX_ROWS = 4096
+MAX_ROWS = 49_152  # clusters of a recording that one task merges to the end
 TILES, PARTS = 8, 4  # of a recording, in a round over tables
+TILE_ROWS = 4096  # clusters of a recording from which a round over tables cuts it into tiles
 LABELS = "recording_id bigint, win_idx bigint, label bigint"
 
 
@@ -160,24 +162,78 @@ def cluster_bisect(windows: DataFrame, max_iter: int = 50, block_rows: int = BLO
 DIGITS = 9
 
 
+FAR = 1e9  # distance from a vector that holds no number
+
+
 def _distances(s: np.ndarray, n: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.round(1.0 - (s @ others.T) / np.outer(n, sizes), DIGITS)
+    found = np.round(1.0 - (s @ others.T) / np.outer(n, sizes), DIGITS)
+    found[np.isnan(found)] = FAR
+    return found
+
+
+class _Asking:
+    """Clusters and the nearest partner of each that has come past; of equally near ones the smallest number.
+
+    Mean vectors in single precision tell which partners can be the nearest, with room for their rounding; the distances of
+    these few are taken from the sums. Where that leaves many, as with repeated vectors, all distances are taken.
+    """
+
+    ROWS, COLUMNS, FEW = 512, 2048, 32
+
+    def __init__(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray):
+        self.cid, self.n, self.s = cid, n, s
+        self.mean, self.length = self._means(n, s)
+        self.dist, self.other = np.full(len(cid), np.inf), np.full(len(cid), -1)
+
+    @staticmethod
+    def _means(n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = s / n[:, None]
+        return mean.astype(np.float32), np.sqrt((mean * mean).sum(axis=1))
+
+    def meet(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray) -> None:
+        order = np.argsort(cid)
+        for some in (order[at : at + self.COLUMNS] for at in range(0, len(order), self.COLUMNS)):
+            others = (cid[some], n[some], s[some], *self._means(n[some], s[some]))
+            for at in range(0, len(self.cid), self.ROWS):
+                self._meet(slice(at, at + self.ROWS), *others)
+
+    def _meet(self, rows: slice, cid: np.ndarray, n: np.ndarray, s: np.ndarray, mean: np.ndarray, length: np.ndarray) -> None:
+        own = self.cid[rows]
+        place = np.minimum(np.searchsorted(cid, own), len(cid) - 1)
+        itself = np.flatnonzero(cid[place] == own)
+        place = place[itself]
+        like = self.mean[rows] @ mean.T
+        like[itself, place] = -np.inf
+        slack = 2 * (s.shape[1] + 8) * np.finfo(np.float32).eps * self.length[rows] * length.max() + 3 * 10.0**-DIGITS
+        close = like >= (np.maximum(like.max(axis=1), 1.0 - self.dist[rows]) - slack)[:, None].astype(np.float32)
+        close[itself, place] = False
+        if np.isfinite(slack).all() and np.count_nonzero(close) <= self.FEW * len(own):
+            row, col = np.nonzero(close)
+            at = row + rows.start
+            dist = np.round(1.0 - np.einsum("ij,ij->i", self.s[at], s[col]) / (self.n[at] * n[col]), DIGITS)
+            order = np.lexsort((col, dist, row))
+            first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+            at, dist, other = at[first], dist[first], cid[col[first]]
+        else:
+            found = _distances(self.s[rows], self.n[rows], s, n)
+            found[itself, place] = np.inf
+            best = found.argmin(axis=1)
+            at, dist, other = np.arange(len(own)) + rows.start, found[np.arange(len(own)), best], cid[best]
+        nearer = (dist < self.dist[at]) | ((dist == self.dist[at]) & np.isfinite(dist) & (other < self.other[at]))
+        self.dist[at[nearer]], self.other[at[nearer]] = dist[nearer], other[nearer]
 
 
-def linkage_merges(sums: np.ndarray, sizes: np.ndarray, tile: int = 1024) -> list[tuple[int, int, float]]:
+def linkage_merges(sums: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
     """Average-linkage merges (kept, absorbed, height) of clusters in the order of their numbers, round by round."""
     s, n = sums.astype(np.float64).copy(), sizes.astype(np.float64).copy()
     near, dist = np.zeros(len(s), dtype=np.int64), np.full(len(s), np.inf)
     alive = np.arange(len(s))
-    asking = alive
+    rows = alive
     merges: list[tuple[int, int, float]] = []
     while len(alive) > 1:
-        for at in range(0, len(asking), tile):
-            rows = asking[at : at + tile]
-            found = _distances(s[rows], n[rows], s[alive], n[alive])
-            found[np.arange(len(rows)), np.searchsorted(alive, rows)] = np.inf
-            best = found.argmin(axis=1)
-            near[rows], dist[rows] = alive[best], found[np.arange(len(rows)), best]
+        asking = _Asking(rows, n[rows], s[rows])
+        asking.meet(alive, n[alive], s[alive])
+        near[rows], dist[rows] = asking.other, asking.dist
         lo = alive[(near[near[alive]] == alive) & (alive < near[alive])]
         if not len(lo):  # rounding told two sides of a pair differently
             first = min(alive.tolist(), key=lambda i: (dist[i], min(i, near[i]), max(i, near[i])))
@@ -190,7 +246,7 @@ def linkage_merges(sums: np.ndarray, sizes: np.ndarray, tile: int = 1024) -> lis
         changed = np.zeros(len(s), dtype=bool)
         changed[lo] = changed[hi] = True
         alive = np.setdiff1d(alive, hi, assume_unique=True)
-        asking = alive[changed[alive] | changed[near[alive]]]
+        rows = alive[changed[alive] | changed[near[alive]]]
     return merges
 
 
@@ -208,30 +264,6 @@ def linkage_labels(s: np.ndarray, n_clusters: int | None, threshold: float, max_
     return np.unique(top, return_inverse=True)[1].astype(np.int64)
 
 
-class _Asking:
-    """Clusters of one tile and the nearest partner of each that has come past; of equally near ones the smallest number."""
-
-    def __init__(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray):
-        self.cid, self.n, self.s = cid, n, s
-        self.dist, self.other = np.full(len(cid), np.inf), np.full(len(cid), -1)
-
-    def meet(self, cid: np.ndarray, n: np.ndarray, s: np.ndarray, tile: int = 1024) -> None:
-        order = np.argsort(cid)
-        for some in (order[at : at + tile] for at in range(0, len(order), tile)):
-            for at in range(0, len(self.cid), tile):
-                rows = slice(at, at + tile)
-                own, others = self.cid[rows], cid[some]
-                found = _distances(self.s[rows], self.n[rows], s[some], n[some])
-                place = np.minimum(np.searchsorted(others, own), len(others) - 1)
-                itself = np.flatnonzero(others[place] == own)
-                found[itself, place[itself]] = np.inf
-                best = found.argmin(axis=1)
-                dist, other = found[np.arange(len(own)), best], others[best]
-                nearer = (dist < self.dist[rows]) | ((dist == self.dist[rows]) & (other < self.other[rows]))
-                self.dist[rows] = np.where(nearer, dist, self.dist[rows])
-                self.other[rows] = np.where(nearer, other, self.other[rows])
-
-
 def _nearest_past(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per tile, whose asking clusters come first: the best partner of each among the clusters that follow."""
 
@@ -266,17 +298,17 @@ def _nearest_past(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out(recording, asking)
 
 
-def _dealt(clusters: DataFrame, max_rows: int) -> DataFrame:
+def _dealt(clusters: DataFrame, tile_rows: int) -> DataFrame:
     """Clusters by tile (recording_id, _i, _j): those that ask are dealt once to ``_i``, all of them go past each ``_i``.
 
-    A recording has at most ``TILES`` tiles ``_i`` until these reach 4 ``max_rows`` clusters, and its clusters go past in up to
+    A recording has at most ``TILES`` tiles ``_i`` until these reach 4 ``tile_rows`` clusters, and its clusters go past in up to
     ``PARTS`` parts ``_j``: until then a cluster is sent ``TILES + PARTS`` times at most.
     """
     few = lambda n, rows, most: F.least(F.ceil(n / rows), F.lit(most)).cast("int")
     asks, all_ = F.count_if("asks"), F.count(F.lit(1))
     count = clusters.groupBy(*REC).agg(
-        F.greatest(few(asks, max_rows, TILES), F.ceil(asks / (4 * max_rows)).cast("int")).alias("_na"),
-        few(all_, 4 * max_rows, PARTS).alias("_nc"),
+        F.greatest(few(asks, tile_rows, TILES), F.ceil(asks / (4 * tile_rows)).cast("int")).alias("_na"),
+        few(all_, 4 * tile_rows, PARTS).alias("_nc"),
     ).where("_na > 0")
     rows = blocks.attach(clusters, count, REC, F.pmod(F.xxhash64("cid"), F.lit(64)), "inner")
     deal = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
@@ -288,13 +320,13 @@ def _dealt(clusters: DataFrame, max_rows: int) -> DataFrame:
     return rows.select(*REC, "cid", "n", "s", places).select(*REC, "cid", "n", "s", "p.*")
 
 
-def _nearest(clusters: DataFrame, max_rows: int) -> DataFrame:
+def _nearest(clusters: DataFrame, tile_rows: int) -> DataFrame:
     """(recording_id, cid, other, dist): the nearest partner of each cluster that asks.
 
     A task holds a tile of asking clusters while others of the recording stream past, and emits one row per asking cluster.
     """
     key = [*REC, "_i", "_j"]
-    dealt = _dealt(clusters, max_rows).repartition(*key).sortWithinPartitions(*key, F.desc("asks"))
+    dealt = _dealt(clusters, tile_rows).repartition(*key).sortWithinPartitions(*key, F.desc("asks"))
     near = dealt.mapInArrow(_nearest_past, id_kind(clusters, "recording_id bigint, cid bigint, other bigint, dist double"))
     best = near.groupBy(*REC, "cid").agg(F.min(F.struct("dist", "other")).alias("b"))
     return best.select(*REC, "cid", F.col("b.other").alias("other"), F.col("b.dist").alias("dist"))
@@ -332,6 +364,12 @@ def _finish_group(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _by_recording(rows: DataFrame) -> GroupedData:
+    """Rows grouped by recording, dealt over ranges by number of rows: large recordings do not share a task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *REC).groupBy(*REC)
+
+
 def _dropped_merges(merges: DataFrame, n_clusters: int | None, threshold: float, max_clusters: int) -> DataFrame:
     """The highest merges, which are not performed: at most one less than the wanted clusters."""
     limit = (n_clusters if n_clusters is not None else max_clusters) - 1
@@ -363,7 +401,7 @@ def cluster_average_linkage(
     """Speaker label per window, numbered by first appearance: recording_id, win_idx, label.
 
     Merges stop at ``n_speakers``, or where clusters are ``threshold`` or more apart, then at ``max_speakers``. Windows
-    without an embedding are no points and get no row; repeated (recording, window) rows must not occur.
+    without an embedding are no points and get no row; a vector with NaN is farthest from all; repeated (recording, window) rows must not occur.
     """
     x = windows.where("embedding IS NOT NULL").select(*REC, F.col(IDX).cast("bigint").alias("cid"), F.transform("embedding", lambda v: v.cast("double")).alias("_x"))
     x = x.withColumn("_n", F.sqrt(_dot("_x", "_x")))
@@ -378,8 +416,8 @@ def cluster_average_linkage(
 
     many = clusters.groupBy(*REC).count().where(F.col("count") > max_rows).select(*REC)
     if not many.take(1):
-        return clusters.groupBy(*REC).applyInPandas(whole, id_kind(windows, LABELS))
-    in_tasks = blocks.attach(clusters, many, REC, block, "left_anti").groupBy(*REC).applyInPandas(whole, id_kind(windows, LABELS))
+        return _by_recording(clusters).applyInPandas(whole, id_kind(windows, LABELS))
+    in_tasks = _by_recording(blocks.attach(clusters, many, REC, block, "left_anti")).applyInPandas(whole, id_kind(windows, LABELS))
     busy = cut(blocks.attach(clusters, many, REC, block, "left_semi"), "clusters")
     return in_tasks.unionByName(_linkage_rounds(busy, n_speakers, threshold, max_speakers, max_rows))
 
@@ -387,10 +425,11 @@ def cluster_average_linkage(
 def _linkage_rounds(busy: DataFrame, n_speakers: int | None, threshold: float, max_speakers: int, max_rows: int) -> DataFrame:
     """Labels of recordings of more than ``max_rows`` windows: rounds over tables, the last ones in tasks."""
     block = F.pmod(F.xxhash64("cid"), F.lit(64))
+    tile_rows = min(max_rows, TILE_ROWS)
     leaves = busy.select(*REC, "cid")
     small: list[DataFrame] = []
     merges: list[DataFrame] = []
-    best = cut(_nearest(busy.withColumn("asks", F.lit(True)), max_rows), "nearest")
+    best = cut(_nearest(busy.withColumn("asks", F.lit(True)), tile_rows), "nearest")
     while True:
         pairs = cut(_mutual(best), "pairs")
         merges.append(pairs)
@@ -407,8 +446,8 @@ def _linkage_rounds(busy: DataFrame, n_speakers: int | None, threshold: float, m
         still = still.select(*REC, "cid", "other", "dist").join(busy.select(*REC, "cid"), [*REC, "cid"], "left_semi")
         known = still.select(*REC, "cid", F.lit(False).alias("asks"))
         asking = busy.join(known, [*REC, "cid"], "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
-        best = cut(still.unionByName(_nearest(asking, max_rows)), "nearest")
-    last = blocks.union_all(small).groupBy(*REC).applyInPandas(_finish_group, id_kind(busy, "recording_id bigint, cid bigint, child bigint, height double"))
+        best = cut(still.unionByName(_nearest(asking, tile_rows)), "nearest")
+    last = _by_recording(blocks.union_all(small)).applyInPandas(_finish_group, id_kind(busy, "recording_id bigint, cid bigint, child bigint, height double"))
     tree = cut(blocks.union_all([*merges, last]), "tree")
     done = tree.join(_dropped_merges(tree, n_speakers, threshold, max_speakers), [*REC, "child"], "left_anti")
     up = done.select(*REC, F.col("child").alias("cid"), F.col("cid").alias("parent"))

@@ -36,7 +36,7 @@ def diarise_windows(
 
     The quietest windows are not clustered; they take a neighbour's label.
     """
-    limits = signal.energy_thresholds(windows).select(*REC, "skip")
+    limits = cut(signal.energy_thresholds(windows).select(*REC, "skip"), "limits")
     rows = blocks.attach(windows, limits, REC, blocks.block_of("win_idx", block_rows))
     loud = rows.where(F.col("energy") >= F.col("skip"))
     labels = cluster.cluster_average_linkage(
